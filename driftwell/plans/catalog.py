@@ -1,0 +1,26 @@
+"""The registered queries over the operators of this engine, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def parity_both_ways(spark: SparkSession, d: str) -> DataFrame:
+    left = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").select("doc_id")
+    right = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").select("doc_id")
+    return left.join(right, "doc_id", "left_anti").withColumn("problem", F.lit("left_only")).union(right.join(left, "doc_id", "left_anti").withColumn("problem", F.lit("right_only")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"parity_both_ways": parity_both_ways}
+
+ORACLE_SQL: dict[str, str] = {
+    "parity_both_ways": """
+SELECT d.doc_id, 'left_only' AS problem FROM documents d
+WHERE d.lang = 'en' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.quality = 1 AND l.doc_id = d.doc_id)
+UNION ALL
+SELECT l.doc_id, 'right_only' FROM labels l
+WHERE l.quality = 1 AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = 'en' AND d.doc_id = l.doc_id)"""
+}
