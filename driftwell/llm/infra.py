@@ -70,7 +70,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
         else:
             spark.conf.set(_CLEAN, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Removes the tables of cuts that no later step reads."""
+    for df in cuts:
+        _remove(df.sparkSession, df._cut_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -4,9 +4,11 @@ A document is the set of its distinct k-word shingles; two link when
 den * |A & B| >= num * |A | B|.  Let o(n) = ceil(num * n / den): a set of n shingles
 shares at least o(n) of them with every partner.
 
-1. *Screen.*  In the order of their hashes, the first n - o(n) + 1 shingles of linked
-   sets have one in common.  Documents none of whose first shingles is seen elsewhere
-   are done.  Documents with equal sets become one.
+1. *Screen.*  In the order of their hashes, the i-th common shingle of linked sets is
+   among the first n - o(n) + i of both.  With l(n) about half of n - o(n), each set shows
+   its first n - o(n) + l(n) shingles, and a linked one sees l(o(n)) of them elsewhere
+   (its smallest partner has o(n) shingles).  Documents that see fewer are done.
+   Documents with equal sets become one.
 2. *Counts.*  The rest count how many of them hold each shingle.  Fewer than o(n)
    shingles held elsewhere: no link.  From here the order is rarest first.
 3. *Heavy and light.*  Sets of fewer than B shingles send the 2-subsets of their first
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .infra import as_bytes, blobs, bucket_of, cut, joined, n_buckets, row_id, ship
+from .infra import as_bytes, blobs, bucket_of, cut, discard, joined, n_buckets, row_id, ship
 from .substring_dedup import _send, shared_places
 from .wordhash import U, Words, mix
 
@@ -71,6 +73,11 @@ def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * n // den)
 
 
+def _depth(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Shingles beyond the plain prefix (counted from 1) that a set of n sends to the screen; never falls with n."""
+    return np.maximum(1, (n - _need(n, num, den) + 1) // 2)
+
+
 def _screen(k: int, num: int, den: int, n_keys: int) -> Callable[[pa.Table], pa.Table]:
     schema = pa.schema([("src", pa.int32()), ("key", pa.int32()), ("data", pa.binary()), *((c, pa.int64()) for c in ("rid", "n", "d1", "d2"))])
 
@@ -78,7 +85,7 @@ def _screen(k: int, num: int, den: int, n_keys: int) -> Callable[[pa.Table], pa.
         table = table.sort_by("rid")
         h, d, n = _sets(as_bytes(table["text"]), k)
         rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        first = rank < (n - _need(n, num, den) + 1)[d]
+        first = rank < (n - _need(n, num, den) + _depth(n, num, den))[d]
         sent = _send(table["src"][0].as_py(), h[first], np.zeros(int(first.sum()), np.uint64), d[first], n_keys)
         with np.errstate(over="ignore"):
             ends, total = np.cumsum(n), []
@@ -91,21 +98,25 @@ def _screen(k: int, num: int, den: int, n_keys: int) -> Callable[[pa.Table], pa.
     return send
 
 
-def _collect(k: int, n_keys: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _collect(k: int, num: int, den: int, n_keys: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Sets of the documents that the screen leaves, and their counts in this bucket."""
     schema = pa.schema([("src", pa.int32()), ("key", pa.int32()), ("data", pa.binary()), ("rid", pa.int64()), ("n", pa.int64()), ("toks", pa.binary())])
 
     def send(docs: pa.Table, hits: pa.Table) -> pa.Table:
         docs = docs.sort_by("rid")
-        at = np.unique(joined(hits["data"], np.dtype("<u4"))).astype(np.int64)
+        at, seen = np.unique(joined(hits["data"], np.dtype("<u4")).astype(np.int64), return_counts=True)
         rid = docs["rid"].to_numpy()
         copies = hits["rid"].drop_null().to_numpy()
-        at = at[~np.isin(rid[at], copies) & np.r_[True, rid[at][1:] != rid[at][:-1]]] if len(at) else at
+        if len(at):
+            new = ~np.isin(rid[at], copies) & np.r_[True, rid[at][1:] != rid[at][:-1]]
+            at, seen = at[new], seen[new]
         if not len(at):
             return schema.empty_table()
         src = docs["src"][0].as_py()
         docs = docs.take(pa.array(at))
-        h, _, n = _sets(as_bytes(docs["text"]), k)
+        h, d, n = _sets(as_bytes(docs["text"]), k)
+        stays = seen >= _depth(_need(n, num, den), num, den)
+        h, n, at, docs = h[stays[d]], n[stays], at[stays], docs.filter(pa.array(stays))
         cuts = np.r_[0, np.cumsum(n)]
         raw = h.astype("<u8").tobytes()
         sets = pa.table({"src": pa.array(np.full(len(at), src, np.int32)), "rid": docs["rid"], "n": pa.array(n.astype(np.int64)), "toks": pa.array([raw[8 * a : 8 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
@@ -252,16 +263,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     thin = own.select(bucket_of(F.col("rid"), n).alias("src"), "rid", "text")
 
     first = cut(thin.groupBy("src").applyInArrow(_screen(k, num, den, n), _FIRST), "screen")
-    info = first.where("rid is not null").select("rid", "n", "d1", "d2")
+    info = first.where("rid is not null").select("rid", "n", "d1", "d2").distinct()
     rep = info.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep"))
-    member = cut(info.where("n > 0").distinct().join(rep, ["d1", "d2", "n"]).select("rid", "rep"), "members")
+    member = cut(info.join(rep, ["d1", "d2", "n"], "left").select("rid", "n", "rep"), "members")
     hits = shared_places(first.where("key is not null").select("src", "key", "data"), "shared")
+    discard(first)
     copies = member.where("rid <> rep").select(bucket_of(F.col("rid"), n).alias("src"), F.lit(None).cast("binary").alias("data"), "rid")
     known = hits.withColumn("rid", F.lit(None).cast("long")).unionByName(copies)
 
-    sets = cut(thin.groupBy("src").cogroup(known.groupBy("src")).applyInArrow(_collect(k, n), _SETS), "sets")
+    sets = cut(thin.groupBy("src").cogroup(known.groupBy("src")).applyInArrow(_collect(k, num, den, n), _SETS), "sets")
     counts = sets.where("key is not null").select("src", "key", "data").repartition("key").sortWithinPartitions("key").mapInArrow(_count, "src int, data binary")
     ready = cut(sets.where("rid is not null").select("src", "rid", "n", "toks").groupBy("src").cogroup(counts.groupBy("src")).applyInArrow(_prefixes(num, den, n), _READY), "ready")
+    discard(sets, hits)
 
     b = _boundary(ready, num, den)
     lists = cut(ready.select("rid", "n", "first", "single").mapInArrow(_signatures(b, num, den), "key long, rid long, n long"), "lists")
@@ -291,8 +304,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = star.where(linked).select("a", "b").union(more.where(linked).select("a", "b"))
     whole = components(links)
 
-    label = member.join(whole.withColumnRenamed("vertex", "rep"), "rep", "left").select("rid", F.coalesce("component", "rep").alias("comp"))
-    ids = own.select("id", "rid")
-    placed = cut(ids.join(info.select("rid", "n").distinct(), "rid").join(label, "rid", "left"), "placed")
+    label = member.join(whole.withColumnRenamed("vertex", "rep"), "rep", "left").select("rid", "n", F.coalesce("component", "rep").alias("comp"))
+    placed = cut(own.select("id", "rid").join(label, "rid"), "placed")
     least = placed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("low"))
     return placed.join(least, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
