@@ -1,9 +1,11 @@
 """Connected components of a graph that no machine can hold.
 
 Edges are contracted inside each partition by a union-find (a path of any length
-inside one becomes a star), then alternate large-star and small-star steps run as
-joins and aggregations until nothing changes.  Vertices are longs; labels are the
-smallest vertex of a component.  Only a count of changes reaches the driver.
+inside one becomes a star).  Then, round by round, each vertex takes the smallest of
+its neighbours and itself as its parent, edges move to the parents, and those inside
+one parent go; the graph shrinks until no edge is left, and the parents of all rounds
+give the labels.  Vertices compete by a one-to-one hash, so the order of ids (chains
+of rising ids, say) cannot slow this down.  Only a flag reaches the driver.
 """
 
 from __future__ import annotations
@@ -51,31 +53,38 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges: two long columns.  Returns (vertex, component) for every vertex with an edge to another.
+def components(edges: DataFrame, most_rounds: int = 60, partial: bool = False) -> DataFrame:
+    """edges: two long columns.  Returns (vertex, component) for every vertex with an edge to another; component is a vertex of it.
 
     Nulls and self-edges are ignored; an empty input gives an empty result.  Raises
-    RuntimeError if most_rounds is not enough, never a partial result.
+    RuntimeError if most_rounds is not enough, never a partial result, unless partial:
+    then one round is made, and equal labels mean one component, but not the reverse.
     """
     ship(edges.sparkSession)
     x, y = edges.columns[:2]
-    e = edges.select(F.col(x).cast("long").alias("u"), F.col(y).cast("long").alias("v")).where("u <> v")
-    e = cut(e.mapInArrow(_contract, "u long, v long"), "edges")
+    scrambled = [F.xxhash64(F.col(c).cast("long")).alias(n) for c, n in ((x, "u"), (y, "v"))]
+    e = edges.where(F.col(x) != F.col(y)).select(*scrambled, F.col(x).cast("long").alias("p"), F.col(y).cast("long").alias("q"))
+    names = e.select(F.col("u").alias("h"), F.col("p").alias("vertex")).union(e.select(F.col("v").alias("h"), F.col("q").alias("vertex"))).distinct()
+    e = cut(e.select("u", "v").mapInArrow(_contract, "u long, v long"), "edges")
+    label = None
     for _ in range(most_rounds):
-        # every edge points from the larger to the smaller end; m is the smallest neighbour, itself included
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        own = least.where("m < u").select("u", F.col("m").alias("v"))
-        step = large.union(own).where("u <> v").distinct()
-        # small star: smaller neighbours of u, and u, point to the smallest of them
-        low = step.groupBy("u").agg(F.min("v").alias("m"))
-        small = step.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        new = cut(small.mapInArrow(_contract, "u long, v long"), "stars")
-        # done when it is a set of stars: no vertex has two parents and no root is a child
-        kids = new.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
-        bad = kids.where("n > 1").select("u").union(kids.select(F.col("v").alias("u")).join(new.select("u"), "u", "left_semi")).limit(1).count()
-        e = new
-        if not bad:
-            return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(e.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parent = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "parents")
+        up = parent.withColumnRenamed("u", "c")
+        label = parent.select(F.col("u").alias("h"), F.col("m").alias("c")) if label is None else label.join(up, "c", "left").select("h", F.coalesce("m", "c").alias("c"))
+        if partial:
+            break
+        moved = e.join(parent, "u").select(F.col("v").alias("u"), F.col("m").alias("x")).join(parent, "u").select(F.col("x").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = cut(moved.mapInArrow(_contract, "u long, v long"), "edges")
+        if e.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    named = names.join(label, "h").select("vertex", "c")
+    return named.join(names.select(F.col("h").alias("c"), F.col("vertex").alias("component")), "c").select("vertex", "component")
+
+
+def smallest(labelled: DataFrame) -> DataFrame:
+    """(vertex, component) with the smallest vertex of each component as its label."""
+    low = labelled.groupBy("component").agg(F.min("vertex").alias("low"))
+    return labelled.join(low, "component").select("vertex", F.col("low").alias("component"))

@@ -15,11 +15,12 @@ shares at least o(n) of them with every partner.
    n - o(n) + 2 shingles (linked light sets share one); the others send their first
    n - o(n) + 1 shingles to inverted lists, and so do light ones large enough to link
    with a heavy one.  B is the cheapest boundary by the counts at hand.
-4. *Lists.*  Each document of a list is compared with its smallest one, exactly.
-   Documents of a list that are in one component by now need no more.  The others are
-   compared with those of other components, unless sizes or the triangle inequality of
-   the Jaccard distance (to the smallest one) rule a link out.  So a list of m copies
-   costs m comparisons, and no link between components is lost.
+4. *Lists.*  Each document of a list is compared with its smallest one, exactly.  Lists
+   whose documents are in one component by now need no more.  The documents of the
+   others fall into groups that share lists; a group is cut into blocks, and each two
+   blocks meet in a task, which compares two documents only while they share a first
+   shingle and no chain of links joins them.  It returns the links of a spanning forest,
+   so no group emits its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ _LOCAL = np.dtype([("a", "<u4"), ("b", "<u2"), ("n", "<u4")])
 _DF = np.dtype([("t", "<u8"), ("n", "<u4")])
 #: Sets of this size and more are heavy at any boundary; it bounds the table of costs on the driver.
 MOST_LIGHT = 512
+#: Documents of a block, as long as a group has at most MOST_BLOCKS blocks; documents of the blocks of larger groups.
+BLOCK, MOST_BLOCKS, LARGE_BLOCK = 128, 128, 16_384
 
 
 def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,16 +227,19 @@ def _signatures(b: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch
     return emit
 
 
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """How many values two sorted sets share; p is the smaller."""
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    return int((q[at] == p).sum())
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
             p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            out.append(int((q[at] == p).sum()))
+            out.append(_common(p, q) if len(p) <= len(q) else _common(q, p))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(out, pa.int64())], names=["a", "b", "na", "nb", "both"])
 
 
@@ -245,6 +251,42 @@ def _verified(pairs: DataFrame, ready: DataFrame, label: str) -> DataFrame:
     return cut(wide.mapInArrow(_overlaps, "a long, b long, na long, nb long, both long"), label)
 
 
+def _block_links(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
+    """Links that join the components of the documents of two blocks (or of one): a spanning forest, found by inverted lists of first shingles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = sorted((d for row in table["docs"].to_pylist() for d in row), key=lambda d: (d["n"], d["rid"]))
+        sets = [np.frombuffer(d["toks"], "<u8") for d in docs]
+        up = list(range(len(docs)))
+        lists: dict[int, list[int]] = {}
+        a, b = [], []
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for i, d in enumerate(docs):
+            met: set[int] = set()
+            for t in np.frombuffer(d["first"], "<u8")[: d["single"]].tolist():
+                here = lists.setdefault(t, [])
+                met.update(here)
+                here.append(i)
+            for j in met:  # sizes rise, so docs[j] is the smaller
+                small = docs[j]["n"]
+                if den * small < num * d["n"] or root(i) == root(j):
+                    continue
+                both = _common(sets[j], sets[i])
+                if den * both >= num * (small + d["n"] - both):
+                    up[root(i)] = root(j)
+                    a.append(d["rid"])
+                    b.append(docs[j]["rid"])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs: set size, and the smallest id reachable by links.
 
@@ -283,25 +325,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = f"{den} * least(n, hn) >= {num} * greatest(n, hn)"
     star = _verified(rows.where("rid <> hub").where(sizes).select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), ready, "star")
     linked = f"{den} * both >= {num} * (na + nb - both)"
-    part = components(star.where(linked).select("a", "b"))
+    part = components(star.where(linked).select("a", "b"), partial=True)
 
-    # what is left of the lists: documents of different components
-    far = 1 - num / den + 1e-9
+    # what is left: lists with documents of different components
     tagged = rows.join(part.withColumnRenamed("vertex", "rid"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    dist = star.select(F.col("a").alias("hub"), F.col("b").alias("rid"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-    open_ = cut(tagged.join(mixed, "key", "left_semi").join(dist, ["hub", "rid"], "left").withColumn("d", F.when(F.col("rid") == F.col("hub"), 0.0).otherwise(F.col("d"))).select("key", "rid", "n", "comp", "d", "hub"), "open")
-    p, q = open_.alias("p"), open_.alias("q")
-    rest = (
-        p.join(q, F.expr("p.key = q.key and p.rid < q.rid and p.comp <> q.comp"))
-        .where(f"{den} * least(p.n, q.n) >= {num} * greatest(p.n, q.n)")
-        .where(f"p.d is null or q.d is null or abs(p.d - q.d) <= {far}")
-        .where("p.rid <> p.hub and q.rid <> q.hub")  # those were compared, or their sizes forbid a link
-        .select(F.col("p.rid").alias("a"), F.col("q.rid").alias("b"))
-        .distinct()
-    )
-    more = _verified(rest, ready, "rest")
-    links = star.where(linked).select("a", "b").union(more.where(linked).select("a", "b"))
+    loose = cut(components(rows.join(mixed, "key", "left_semi").where("rid <> hub").select("hub", "rid")), "loose")
+    blocks = loose.groupBy("component").agg(F.count("*").alias("m")).select("component", F.least(F.ceil(F.col("m") / BLOCK), F.greatest(F.lit(MOST_BLOCKS), F.ceil(F.col("m") / LARGE_BLOCK))).cast("int").alias("nb"))
+    placed = loose.join(blocks, "component").select("component", "nb", F.col("vertex").alias("rid"), F.pmod(F.xxhash64("vertex", F.lit(6)), F.col("nb")).cast("int").alias("block"))
+    packed = ready.select("rid", "n", "toks", "first", "single").join(placed, "rid").groupBy("component", "nb", "block").agg(F.collect_list(F.struct("rid", "n", "toks", "first", "single")).alias("docs"))
+    pairs = packed.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "docs")
+    more = cut(pairs.groupBy("component", "lo", "hi").applyInArrow(_block_links(num, den), "a long, b long"), "more")
+    links = star.where(linked).select("a", "b").union(more)
     whole = components(links)
 
     label = member.join(whole.withColumnRenamed("vertex", "rep"), "rep", "left").select("rid", "n", F.coalesce("component", "rep").alias("comp"))
