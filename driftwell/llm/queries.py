@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import ann, bpe, chat, language_id, quality, toxicity
+from .embedding_dedup import near_dedup
+from .labelled import HELD_OUT, fold
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .substring_dedup import substring_dedup
@@ -26,8 +28,8 @@ def vocabulary(name: str) -> str:
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return bpe.decode(ids, path).select(
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
+    return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -35,6 +37,23 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, threshold=0.7).select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, threshold=0.5).select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"), capacity=1024)
@@ -49,6 +68,20 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_encode_decode, op5_best_fit_packing, op6_ngram_jaccard_join, op7_substring_dedup)}
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.TextModel(language_id.pair_counts(table(spark, sf_dir, "documents"), "text", "lang"))
+    return language_id.fuse(table(spark, sf_dir, "pages"), model, "page_id", "html", "url")
+
+
+def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+_ALL = (op1_bpe_encode_decode, op2_nearest_neighbours, op3_toxicity, op4_quality, op5_best_fit_packing, op6_ngram_jaccard_join, op7_substring_dedup, op8_embedding_near_dedup, op9_language_id, op10_chat_rotation)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_chat_rotation": chat.ROTATE_SQL}
