@@ -263,51 +263,6 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", d
     return df.select(*[f"`{c}`" for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema.add(decoded, "string") if decoded else schema)
 
 
-def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-@lru_cache(maxsize=4)
-def _load(path: str) -> WordBPE:
-    return WordBPE(path)
-
-
-def _slices(values: list, most: int = 1 << 22) -> Iterator[list]:
-    held, size = [], 0
-    for v in values:
-        held.append(v)
-        size += len(v)
-        if size > most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """df with `out`: the ids of its texts, packed as little-endian unsigned 32-bit integers (binary).
-
-    As the tokenizers library does with the vocabulary file at `path` (a path on every
-    executor), no special tokens added, no truncation or padding; special strings in a text
-    are special tokens.  Null and empty texts have no ids; very long texts are encoded whole;
-    repeated rows come back as often; a column named `out` is replaced; no rows, no result.
-    """
-    ship(df.sparkSession)
-    keep = [c for c in df.columns if c != out or c == text_col]
-    place = keep.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _load(path)
-        for b in batches:
-            texts = [x or "" for x in b.column(place).to_pylist()]
-            ids = [y for part in _slices(texts) for y in bpe.encode(part)]
-            cols = [*b.columns, pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays([c for c, n in zip(cols, [*keep, out], strict=True) if n != out or c is cols[-1]], names=[*[n for n in keep if n != out], out])
-
-    schema = df.select(*[f"`{c}`" for c in keep if c != out]).schema.add(out, "binary")
-    return df.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
-
-
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """df with `out`: the texts of packed ids, special tokens included, as the library's decode gives them.  Null ids: empty text."""
     ship(df.sparkSession)
