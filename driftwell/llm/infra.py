@@ -94,9 +94,20 @@ def bytes_of(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def n_buckets(df: DataFrame, each: int = 1 << 20, least: int = 256) -> int:
-    """A power of two so that a bucket has about `each` bytes of df's files; grows with the data."""
-    want = max(least, bytes_of(df) // each)
+#: Estimates above this many bytes stand for "unknown" (frames that are not read from files).
+_KNOWN = 1 << 48
+#: Buckets at most: at 100 TB a bucket has some 25 MB of files.
+_MOST_BUCKETS = 1 << 22
+
+
+def n_buckets(df: DataFrame, text_col: str, each: int = 1 << 20, least: int = 256) -> int:
+    """A power of two so that a bucket has about `each` bytes of df's files; grows with the data.
+
+    Where the plan has no estimate, the bytes of the texts are summed first."""
+    size = bytes_of(df)
+    if size >= _KNOWN:
+        size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))).alias("n")).first()["n"] or 0
+    want = min(max(least, size // each), _MOST_BUCKETS)
     return 1 << (int(want) - 1).bit_length()
 
 

@@ -172,8 +172,8 @@ def fuse(df: DataFrame, model: TextModel, id_col: str, text_col: str, url_col: s
     out = out.withColumn("post", post).withColumn("top", F.array_max("post"))
     return out.select(
         F.col("id").alias(id_col),
-        F.when(known, names[_best(F.col("post"))]).otherwise("und").alias("lang"),
+        F.when(known, F.get(names, _best(F.col("post")))).otherwise("und").alias("lang"),
         F.when(known, 1 / F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).otherwise(0.0).alias("probability"),
-        names[F.col("best")].alias("text_lang"),
+        F.get(names, F.col("best")).alias("text_lang"),
         "declared",
     )

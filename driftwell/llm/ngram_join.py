@@ -300,7 +300,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     if not 2 * num > den >= num:
         raise ValueError("the threshold must be over one half and at most one")
-    n = n_buckets(docs)
+    n = n_buckets(docs, text_col)
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("rid", row_id("id", "text"))
     thin = own.select(bucket_of(F.col("rid"), n).alias("src"), "rid", "text")
 

@@ -168,7 +168,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -
     period = period_for(window)
     clash = {"n_words", "n_removed", "kept_text"}
     keep = [c for c in docs.columns if c not in clash]
-    n = n_buckets(docs)
+    n = n_buckets(docs, text_col)
     # columns travel under safe names, so that none can clash with ours
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     text = F.col(f"c{keep.index(text_col)}")
