@@ -109,12 +109,12 @@ def registered_scripts(cmds: DataFrame, suffix: str) -> DataFrame:
 def dispatched(cmds: DataFrame, dispatcher: str = "dispatch.sh") -> DataFrame:
     """Distinct scripts that commands pass to the dispatcher, and the dispatcher."""
     arg = F.regexp_extract_all("command", F.lit(rf"""{dispatcher.replace('.', '[.]')}["']?\s+([A-Za-z0-9_-]+)"""), F.lit(1))
-    return cmds.select(F.concat(F.explode(arg), F.lit(".sh")).alias("name")).union(cmds.sparkSession.createDataFrame([(dispatcher,)], "name string")).distinct()
+    return cmds.select(F.explode(arg).alias("arg")).select(F.concat("arg", F.lit(".sh")).alias("name")).union(cmds.sparkSession.createDataFrame([(dispatcher,)], "name string")).distinct()
 
 
 def hook_problems(hooks_file: DataFrame, scripts: DataFrame, dispatcher: str = "dispatch.sh") -> DataFrame:
     """(type, subject) of everything wrong between a registration and the scripts (name, text) on disk."""
-    cmds = commands(hooks_file).cache()
+    cmds = commands(hooks_file)
     row = lambda df, t: df.select(F.lit(t).alias("type"), F.col("name").alias("subject"))
     one = lambda cond, t, subject: cond.select(F.lit(t).alias("type"), F.lit(subject).alias("subject"))
     ps1, sh = (scripts.where(F.endswith("name", F.lit(x))) for x in (".ps1", ".sh"))
@@ -122,7 +122,7 @@ def hook_problems(hooks_file: DataFrame, scripts: DataFrame, dispatcher: str = "
     names = lambda df: df.select("name").distinct()
     not_dispatcher = F.col("name") != dispatcher
     allow = F.split(F.regexp_extract("text", r"(?m)^[ \t]*([A-Za-z0-9_-]+(?:\|[A-Za-z0-9_-]+)*)\)", 1), r"\|")
-    allowed = sh.where(F.col("name") == dispatcher).select(F.explode(allow).alias("s")).select(F.concat("s", F.lit(".sh")).alias("name"))
+    allowed = sh.where(F.col("name") == dispatcher).select(F.explode(allow).alias("arg")).select(F.concat("arg", F.lit(".sh")).alias("name"))
     arg = F.regexp_extract("command", rf"""{dispatcher}["']?\s+([A-Za-z0-9_-]+)""", 1)
     file = F.regexp_extract("command", r"([A-Za-z0-9_-]+)\.ps1", 1)
     parts = [
