@@ -341,5 +341,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     label = member.join(whole.withColumnRenamed("vertex", "rep"), "rep", "left").select("rid", "n", F.coalesce("component", "rep").alias("comp"))
     placed = cut(own.select("id", "rid").join(label, "rid"), "placed")
-    least = placed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("low"))
+    # written first: a join right above its aggregation could not split a large component
+    least = cut(placed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("low")), "least")
     return placed.join(least, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
