@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm import language_id, toxicity
-from driftwell.llm.infra import shared_dir
+from driftwell.llm.infra import cut, row_id, shared_dir
 from driftwell.llm.ngram_join import ngram_join
 from driftwell.llm.packing import pack_documents
 from driftwell.llm.queries import table, vocabulary
@@ -47,11 +47,16 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; wordless documents stay, of rows with one id one."""
-    found = ngram_join(docs, k=5, num=80, den=100)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars")
+    """One row of each group of near copies, that with the smallest id (a null one only where there is no other).
+
+    Rows, not ids, are what is grouped: texts that link with nothing stay, whatever ids they
+    share or lack, and so do wordless ones."""
+    keyed = docs.select(*COLUMNS).withColumn("rid", row_id("doc_id", "text"))
+    found = cut(ngram_join(keyed, id_col="rid", k=5, num=80, den=100).where("n_shingles > 0").distinct(), "groups")
+    ids = keyed.select("doc_id", "rid").join(found, "rid")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("k")).select("k.rid")
+    linked = keyed.join(kept, "rid", "left_semi").groupBy("rid").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return linked.unionByName(keyed.join(found, "rid", "left_anti").select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

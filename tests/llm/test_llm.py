@@ -385,5 +385,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids["packing"] == ids["substring_dedup"]
 
 
+def test_near_copies_are_rows_not_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(13)
+    a, b, c, d, e, f = (some_text(rng, 60) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c), (5, c + " end"), (7, d), (7, e), (7, e), (8, e + " end"), (6, f), (9, f), (9, a[:40]), (None, None), (None, ""), (4, ""), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in pipeline.drop_near_copies(spark, df, str(tmp_path)).collect())
+    assert got == Counter([(None, a), (None, b), (5, c + " end"), (7, d), (7, e), (6, f), (9, a[:40]), (None, None), (None, ""), (4, ""), (4, "")])
+
+
 def test_digest_matches_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
