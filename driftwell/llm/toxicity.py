@@ -39,11 +39,10 @@ for _i in range(26):
 #: Tokens longer than this are not words in disguise; they are scored as they stand.
 MOST_LETTERS = 48
 CACHE = 400_000
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TRIM = "\"'.,;:!?()[]{}<>|*#&%$@~-_`^/\\"
 _ODD = re.compile(r"(?=.*[^\W\d_])(?:.*[\d@$!|+(<€£¥µ§*._~`^%#&=/\\-][^\W_]|.*[^\W_][\d@$!+](?!.)|.*([^\W\d_])\1\1)", re.DOTALL)
 _FRINGE = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|[.,;:?!)\]}>\"']+$|^[\[({<\"']+")
-#: States that the search keeps after each character, the likeliest first.
-BEAM = 32
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t.*_-]+){2,}\S(?!\S)")
 
 
@@ -76,20 +75,73 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log((three + 20 * p2[None]) / (three.sum(2, keepdims=True) + 20))
 
 
+class Trigrams(list):
+    """A language model as nested lists, which are quick to look up, and as an array."""
+
+    table: np.ndarray
+
+    @classmethod
+    def of(cls, lm: list) -> Trigrams:
+        if not isinstance(lm, cls):
+            lm = cls(lm)
+            lm.table = np.asarray(lm, float)
+        return lm
+
+
+def _options(ch: str) -> list[tuple[str, float]]:
+    """What a character may stand for: a letter, or nothing ('')."""
+    if ch.isalpha() and ch not in LOOKALIKES:
+        return [(ch, 0.0)]
+    options = [(x, LOOK) for x in LOOKALIKES.get(ch, "")]
+    if ch in BLANKS:
+        options += [(x, HIDDEN) for x in _LETTERS] + [("", PUT_IN)]
+    return options or [("", PUT_IN)]
+
+
+def _class(x: str) -> int:
+    return ord(x) - 96 if "a" <= x <= "z" else 27
+
+
+def _relax(states: dict, options: list, drawn: float, lm: np.ndarray) -> dict:
+    """One step of the search from many states to many letters, all at once."""
+    p = np.full((_N, _N), -np.inf)
+    outs = np.full((_N, _N), None, object)
+    for (a, b), (q, out, _) in states.items():
+        p[a, b], outs[a, b] = q, out
+    cost, letters = np.full(_N, -np.inf), [chr(96 + c) for c in range(_N)]
+    for x, c in options:
+        if x:
+            cost[_class(x)], letters[_class(x)] = max(cost[_class(x)], c), x
+    other = next((last for (_, b), (_, _, last) in states.items() if b == 27), "")  # the same in all of them
+    stay = np.full((1, _N), max((c for x, c in options if not x), default=-np.inf))
+    stay[0, 1:27] = np.maximum(stay[0, 1:27], cost[1:27] + drawn)  # drawn out: no new letter
+    if other == letters[27]:
+        stay[0, 27] = max(stay[0, 27], cost[27] + drawn)
+    wide = p[:, :, None] + lm
+    best = wide.argmax(0)
+    moved = np.take_along_axis(wide, best[None], 0)[0] + cost
+    stayed = p + stay
+    new = {}
+    for b, c in zip(*np.nonzero(np.isfinite(np.maximum(moved, stayed))), strict=True):
+        if moved[b, c] > stayed[b, c]:
+            new[int(b), int(c)] = (float(moved[b, c]), (outs[best[b, c], b], letters[c]), letters[c])
+        else:
+            new[int(b), int(c)] = (float(stayed[b, c]), outs[b, c], states[b, c][2])
+    return new
+
+
 def restore(token: str, lm: list) -> str:
-    """The likeliest letters behind a token; '' if there are none."""
-    states = {(0, 0): (0.0, "", "")}  # last two classes -> log-probability, letters, last letter read
-    token = token.lower()
+    """The likeliest letters behind a token; '' if there are none.
+
+    The search is exact: it keeps every state, of which there are at most _N * _N."""
+    states = {(0, 0): (0.0, None, "")}  # last two classes -> log-probability, letters (the last and those before), last letter read
+    token, lm = token.lower(), Trigrams.of(lm)
     for i, ch in enumerate(token):
         drawn = REPEAT if token.count(ch, max(0, i - 2), i + 3) >= 3 else TWICE
-        if ch.isalpha() and ch not in LOOKALIKES:
-            options = [(ch, 0.0)]
-        else:
-            options = [(x, LOOK) for x in LOOKALIKES.get(ch, "")]
-            if ch in BLANKS:
-                options += [(chr(97 + i), HIDDEN) for i in range(26)] + [("", PUT_IN)]
-            elif not options:
-                options = [("", PUT_IN)]
+        options = _options(ch)
+        if len(states) * len(options) > 300:
+            states = _relax(states, options, drawn, Trigrams.of(lm).table)
+            continue
         new: dict = {}
         for (a, b), (p, out, last) in states.items():
             row = lm[a][b]
@@ -97,16 +149,21 @@ def restore(token: str, lm: list) -> str:
                 if not x:
                     key, value = (a, b), (p + cost, out, last)
                 else:
-                    c = ord(x) - 96 if "a" <= x <= "z" else 27
-                    key, value = (b, c), (p + cost + row[c], out + x, x)
+                    c = _class(x)
+                    key, value = (b, c), (p + cost + row[c], (out, x), x)
                     if x == last:  # drawn out: no new letter
                         k, v = (a, b), (p + cost + drawn, out, last)
                         if k not in new or new[k][0] < v[0]:
                             new[k] = v
                 if key not in new or new[key][0] < value[0]:
                     new[key] = value
-        states = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:BEAM])
-    return max(((p + lm[a][b][0], out) for (a, b), (p, out, _) in states.items()), default=(0, ""))[1]
+        states = new
+    at = max(((p + lm[a][b][0], out) for (a, b), (p, out, _) in states.items()), key=lambda x: x[0], default=(0, None))[1]
+    letters = []
+    while at:
+        at, x = at
+        letters.append(x)
+    return "".join(reversed(letters))
 
 
 def readings(token: str, lm: list) -> list[str]:
@@ -162,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The language model of all documents; evidence and curve from a sample of at most `most` labelled rows a class.
 
     With no labelled rows of a class, every score is one half."""
-    lm = language_model(letter_counts(docs, text_col)).tolist()
+    lm = Trigrams.of(language_model(letter_counts(docs, text_col)).tolist())
     rows = training_sample(docs, labels, label_col, id_col, text_col, most)
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
     total = Counter(y for _, y, f in rows if f == 0)

@@ -178,6 +178,30 @@ def test_lattice(spark):
     assert toxicity.restore("*" * 40, lm) is not None  # bounded search
 
 
+def brute_restore(token, lm):
+    """The cost of the best of all readings of a token, by recursion over states with nothing thrown away."""
+    best = {(0, 0, ""): 0.0}
+    for i, ch in enumerate(token):
+        new = {}
+        drawn = toxicity.REPEAT if token.count(ch, max(0, i - 2), i + 3) >= 3 else toxicity.TWICE
+        for (a, b, word), p in best.items():
+            for x, cost in toxicity._options(ch):
+                c = toxicity._class(x) if x else b
+                ways = [((b, c, word + x), p + cost + lm[a][b][c])] if x else [((a, b, word), p + cost)]
+                ways += [((a, b, word), p + cost + drawn)] if x and word.endswith(x) else []
+                for k, v in ways:
+                    new[k] = max(new.get(k, -1e9), v)
+        best = new
+    return max((p + lm[a][b][0], w) for (a, b, w), p in best.items())[1]
+
+
+def test_search_is_exact():
+    rng = np.random.default_rng(14)
+    lm = toxicity.language_model(rng.integers(0, 400, 28**3) * (rng.random(28**3) < 0.2)).tolist()
+    for token in ["m**on", "s**m", "*1**t", "b**8", "a*-*e", "x@**", "***", "é**éa", "a*d**b"]:
+        assert toxicity.restore(token, lm) == brute_restore(token, lm)
+
+
 def test_quality(spark):
     docs, labels, known = labelled(spark)
     model = quality.train(docs, labels)
