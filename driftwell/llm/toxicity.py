@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 BLANKS = "*.-_~'`^%#&=/\\,:;"
 #: Natural logarithms of what the channel does: a look-alike, a sign put in, a letter repeated or hidden.
 LOOK, PUT_IN, REPEAT, HIDDEN = -0.7, -1.0, -0.4, -4.5
+#: What a blank inside a word costs, between longer pieces and beside a single letter; one that is a word border costs what the language model says.
+SPLIT, SPLIT_ONE = -4.0, -1.0
 #: A letter that comes just twice is seldom drawn out.
 TWICE = -12.0
 _N = 28  # a border, a to z, any other letter
@@ -39,11 +42,20 @@ for _i in range(26):
 #: Tokens longer than this are not words in disguise; they are scored as they stand.
 MOST_LETTERS = 48
 CACHE = 400_000
+STRETCHES = 100_000
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TRIM = "\"'.,;:!?()[]{}<>|*#&%$@~-_`^/\\"
 _ODD = re.compile(r"(?=.*[^\W\d_])(?:.*[\d@$!|+(<€£¥µ§*._~`^%#&=/\\-][^\W_]|.*[^\W_][\d@$!+](?!.)|.*([^\W\d_])\1\1)", re.DOTALL)
 _FRINGE = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|[.,;:?!)\]}>\"']+$|^[\[({<\"']+")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t.*_-]+){2,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\w)(?:\S[ \t.*_-]+){2,}\S(?!\w)")
+#: Two and more letters, each unlike the next: whatever stands before them, the search has one state after them.
+_CHAIN = re.compile(r"(?:([^\W\d_µ])(?!\1)(?=[^\W\d_µ]))+[^\W\d_µ]")
+_LETTER = re.compile(r"[^\W\d_µ]")
+_UNITS = re.compile(r"\s+|\S")
+_RUN = re.compile(r"(.)\1\1+")
+#: Runs of one sign or letter count up to 64 of them.
+_LONG_RUN = re.compile(r"((\S)\2{63})\2+")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -76,94 +88,191 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Trigrams(list):
-    """A language model as nested lists, which are quick to look up, and as an array."""
+    """A language model as nested lists, which are quick to look up, and as an array; with what was decoded last."""
 
     table: np.ndarray
+    found: dict[tuple[str, bool, bool], str]
 
     @classmethod
     def of(cls, lm: list) -> Trigrams:
         if not isinstance(lm, cls):
             lm = cls(lm)
-            lm.table = np.asarray(lm, float)
+            lm.table, lm.found = np.asarray(lm, float), {}
         return lm
 
+    def __getstate__(self) -> dict:
+        return {"table": self.table, "found": {}}
+
 
-def _options(ch: str) -> list[tuple[str, float]]:
-    """What a character may stand for: a letter, or nothing ('')."""
-    if ch.isalpha() and ch not in LOOKALIKES:
+def _options(ch: str, borders: bool = False, split: float = SPLIT) -> list[tuple[str, float]]:
+    """What a character may stand for: a letter, nothing ('') or, with borders, a word border (' ')."""
+    if _LETTER.match(ch):
         return [(ch, 0.0)]
+    if ch.isspace():
+        return [(" ", 0.0), ("", split)]
     options = [(x, LOOK) for x in LOOKALIKES.get(ch, "")]
     if ch in BLANKS:
         options += [(x, HIDDEN) for x in _LETTERS] + [("", PUT_IN)]
-    return options or [("", PUT_IN)]
+    elif not options:
+        options = [("", PUT_IN)]
+    return options + [(" ", 0.0)] * (borders and not category(ch).startswith("M"))
 
 
 def _class(x: str) -> int:
-    return ord(x) - 96 if "a" <= x <= "z" else 27
-
-
-def _relax(states: dict, options: list, drawn: float, lm: np.ndarray) -> dict:
-    """One step of the search from many states to many letters, all at once."""
-    p = np.full((_N, _N), -np.inf)
-    outs = np.full((_N, _N), None, object)
-    for (a, b), (q, out, _) in states.items():
-        p[a, b], outs[a, b] = q, out
-    cost, letters = np.full(_N, -np.inf), [chr(96 + c) for c in range(_N)]
-    for x, c in options:
-        if x:
-            cost[_class(x)], letters[_class(x)] = max(cost[_class(x)], c), x
+    return ord(x) - 96 if "a" <= x <= "z" else 0 if x == " " else 27
+
+
+def _all_states(states: dict, units: list[str], drawn: list[float], splits: list[float], i: int, lm: np.ndarray, borders: bool, end: float) -> tuple:
+    """The rest of a search from unit i on, over the array of all states; what is read, as a linked list."""
+    p, rows, back = np.full((_N, _N), -np.inf), np.arange(_N), []
+    for k, (q, _, _) in states.items():
+        p[k] = q
     other = next((last for (_, b), (_, _, last) in states.items() if b == 27), "")  # the same in all of them
-    stay = np.full((1, _N), max((c for x, c in options if not x), default=-np.inf))
-    stay[0, 1:27] = np.maximum(stay[0, 1:27], cost[1:27] + drawn)  # drawn out: no new letter
-    if other == letters[27]:
-        stay[0, 27] = max(stay[0, 27], cost[27] + drawn)
-    wide = p[:, :, None] + lm
-    best = wide.argmax(0)
-    moved = np.take_along_axis(wide, best[None], 0)[0] + cost
-    stayed = p + stay
-    new = {}
-    for b, c in zip(*np.nonzero(np.isfinite(np.maximum(moved, stayed))), strict=True):
-        if moved[b, c] > stayed[b, c]:
-            new[int(b), int(c)] = (float(moved[b, c]), (outs[best[b, c], b], letters[c]), letters[c])
+    for ch, again, split in zip(units[i:], drawn[i:], splits[i:], strict=True):
+        cost, stay, names, nothing = np.full(_N, -np.inf), np.full(_N, -np.inf), {0: ch}, -np.inf
+        for x, c in _options(ch, borders, split):
+            if x:
+                k = _class(x)
+                cost[k], names[k] = max(cost[k], c), x if k else ch
+            else:
+                stay[:] = nothing = c
+        stay[1:27] = np.maximum(stay[1:27], cost[1:27] + again)  # drawn out: no new letter
+        if 27 in names:
+            if names[27] == other:
+                stay[27] = max(stay[27], cost[27] + again)
+            other = names[27]
+        some = np.flatnonzero(np.isfinite(cost))
+        if len(some) < 4:
+            moved, best = np.full((_N, _N), -np.inf), np.zeros((_N, _N), np.int8)
+            for k in some:
+                wide = p + lm[:, :, k]
+                best[:, k] = at = wide.argmax(0)
+                moved[:, k] = wide[at, rows] + cost[k]
         else:
-            new[int(b), int(c)] = (float(stayed[b, c]), outs[b, c], states[b, c][2])
-    return new
+            wide = p[:, :, None] + lm
+            best = wide.argmax(0).astype(np.int8)
+            moved = wide.max(0) + cost
+        stayed = p + stay
+        best[stayed >= moved] = -1
+        p = np.maximum(moved, stayed)
+        back.append((best, names, np.where(stay > nothing, "", "\0" + ch)))
+    b, c = divmod(int((p + end * lm[:, :, 0]).argmax()), _N)
+    read = []
+    for best, names, idle in reversed(back):
+        if (a := int(best[b, c])) >= 0:
+            read.append(names[c])
+            b, c = a, b
+        else:
+            read.append(str(idle[c]))
+    out = states[b, c][1]
+    for x in reversed(read):
+        out = (out, x)
+    return out
 
 
-def restore(token: str, lm: list) -> str:
-    """The likeliest letters behind a token; '' if there are none.
+def _drawn(units: list[str]) -> list[float]:
+    """What it costs to read each unit as the letter before it once more: letters count as drawn out in runs of three, whatever signs are between."""
+    out = [REPEAT if units[max(0, i - 2) : i + 3].count(ch) >= 3 else TWICE for i, ch in enumerate(units)]
+    at = [i for i, ch in enumerate(units) if _LETTER.match(ch)]
+    solid = "".join(units[i] for i in at)
+    for i in at:
+        out[i] = TWICE
+    for m in _RUN.finditer(solid):
+        for i in at[m.start() : m.end()]:
+            out[i] = REPEAT
+    return out
+
+
+def _splits(units: list[str]) -> list[float]:
+    """What it costs to read each unit, if it is a blank, as nothing."""
+    solid = [False, *(u not in BLANKS and not u.isspace() for u in units), False]
+    alone = [False, *(solid[i] and not solid[i - 1] and not solid[i + 1] for i in range(1, len(solid) - 1)), False]
+    return [SPLIT_ONE if alone[i] or alone[i + 2] else SPLIT for i in range(len(units))]
+
+
+def _search(before: str, middle: str, after: str, lm: Trigrams, borders: bool) -> str:
+    """The likeliest reading of middle and the first letter of after, between two letters of a chain (or none: a border).
 
     The search is exact: it keeps every state, of which there are at most _N * _N."""
-    states = {(0, 0): (0.0, None, "")}  # last two classes -> log-probability, letters (the last and those before), last letter read
-    token, lm = token.lower(), Trigrams.of(lm)
-    for i, ch in enumerate(token):
-        drawn = REPEAT if token.count(ch, max(0, i - 2), i + 3) >= 3 else TWICE
-        options = _options(ch)
+    # last two classes -> log-probability, what is read (the last sign and those before), last letter read
+    states = {(_class(before[0]), _class(before[1])) if before else (0, 0): (0.0, None, before[-1:])}
+    short = _LONG_RUN.sub(r"\1", middle)
+    units, end = [*before, *_UNITS.findall(short), *after], 0.0 if after else 1.0
+    costs, splits = _drawn(units), _splits(units)
+    for i in range(len(before), len(units)):
+        ch, drawn = units[i], costs[i]
+        options = _options(ch, borders, splits[i])
         if len(states) * len(options) > 300:
-            states = _relax(states, options, drawn, Trigrams.of(lm).table)
-            continue
+            at = _all_states(states, units, costs, splits, i, lm.table, borders, end)
+            break
         new: dict = {}
         for (a, b), (p, out, last) in states.items():
             row = lm[a][b]
             for x, cost in options:
                 if not x:
-                    key, value = (a, b), (p + cost, out, last)
+                    key, value = (a, b), (p + cost, (out, "\0" + ch), last)
                 else:
                     c = _class(x)
-                    key, value = (b, c), (p + cost + row[c], (out, x), x)
-                    if x == last:  # drawn out: no new letter
+                    key, value = (b, c), (p + cost + row[c], (out, x if c else ch), x)
+                    if x == last and c:  # drawn out: no new letter
                         k, v = (a, b), (p + cost + drawn, out, last)
                         if k not in new or new[k][0] < v[0]:
                             new[k] = v
                 if key not in new or new[key][0] < value[0]:
                     new[key] = value
         states = new
-    at = max(((p + lm[a][b][0], out) for (a, b), (p, out, _) in states.items()), key=lambda x: x[0], default=(0, None))[1]
-    letters = []
+    else:
+        at = max(((p + end * lm[a][b][0], out) for (a, b), (p, out, _) in states.items()), key=lambda x: x[0])[1]
+    read = []
     while at:
         at, x = at
-        letters.append(x)
-    return "".join(reversed(letters))
+        read.append(x)
+    read = [x for x in reversed(read) if x][: -1 if after else None]
+    # a sign that is read as nothing goes from within a word only
+    kept, left, right = [], bool(before), bool(after)
+    inside = []
+    for x in reversed(read):
+        right = right if x[0] == "\0" else bool(_LETTER.match(x))
+        inside.append(right)
+    for x, r in zip(read, reversed(inside), strict=True):
+        if x[0] != "\0":
+            left = bool(_LETTER.match(x))
+            kept.append(x)
+        elif borders and not (left and r):
+            kept.append(x[1:])
+    got = "".join(kept)
+    return middle + after[:1] if got == short + after[:1] else got
+
+
+def restore(text: str, lm: list, borders: bool = False) -> str:
+    """The likeliest letters behind a token ('' if there are none); with borders, behind a text, with the signs, blanks and capitals that are no disguise.
+
+    Letters between chains are searched for one stretch after the other, which gives what
+    a search of the whole text gives."""
+    shown, text, lm = text, text.lower(), Trigrams.of(lm)
+    if not borders or len(shown) != len(text):
+        shown = text
+    found, out, end, before = lm.found, [], 0, ""
+
+    def read(start: int, stop: int) -> str:
+        key = (text[end - 2 : stop] if before else "\n" + text[:stop], borders, stop > start)
+        got = found.get(key)
+        if got is None:
+            got = _search(before, text[end:start], text[start:stop], lm, borders)
+            if start - end < 30:
+                if len(found) >= STRETCHES:
+                    found.clear()
+                found[key] = got
+        return shown[end : start + (stop > start)] if got == text[end : start + (stop > start)] else got
+
+    for m in _CHAIN.finditer(text):
+        start = m.start()
+        out.append(read(start, start + 2))
+        end = m.end()
+        out.append(shown[start + 1 : end])
+        before = text[end - 2 : end]
+    out.append(read(len(text), len(text)))
+    return "".join(out)
 
 
 def readings(token: str, lm: list) -> list[str]:
@@ -177,7 +286,7 @@ def readings(token: str, lm: list) -> list[str]:
 
 
 def spaced(text: str) -> list[str]:
-    """Runs of three and more single characters set apart, each as one token."""
+    """Runs of three and more single characters set apart, each as one token; the lattice reads their blanks too, as borders or not."""
     return [re.sub(r"[ \t]+", "", m) for m in _SPACED.findall(text)]
 
 
@@ -191,26 +300,27 @@ class ToxicityModel:
     lm: list
     evidence: dict[str, float]
     curve: tuple[np.ndarray, np.ndarray, np.ndarray]
-    cache: dict[str, float] = field(default_factory=dict)
+    cache: dict[str, tuple[float, str]] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
-    def of_token(self, token: str) -> float:
+    def of_token(self, token: str, plain: bool = False) -> tuple[float, str]:
+        """The strongest evidence in a token's readings (if plain: in the word as it stands), and the word that holds it."""
         found = self.cache.get(token)
         if found is None:
             if len(self.cache) > CACHE:
                 self.cache.clear()
             get = self.evidence.get
-            found = self.cache[token] = max((get(g, 0.0) for w in readings(token, self.lm) for g in grams(w)), default=0.0)
+            found = self.cache[token] = max(((get(g, 0.0), w) for w in ([token] if plain else readings(token, self.lm)) for g in grams(w)), default=(0.0, ""))
         return found
 
     def features(self, text: str) -> np.ndarray:
-        """The three strongest evidences of distinct tokens, and how many there are and their share (as logarithms)."""
+        """The three strongest evidences of distinct words, and how many there are and their share (as logarithms)."""
         tokens = set(text.split())
-        strong = [e for e in map(self.of_token, tokens) if e > 0]
-        strong += [e for t in spaced(text) if (e := self.of_token(t)) > 0]
-        strong.sort(reverse=True)
+        held = [self.of_token(t) for t in tokens] + [self.of_token(w) for t in spaced(text) for w in (t, t[1:], t[:-1])]  # a one-letter word may stand beside a run
+        held += [self.of_token(w, True) for w in set(_WORDS.findall(restore(text, self.lm, True).lower())) - tokens]
+        strong = sorted({w: e for e, w in held if e > 0}.values(), reverse=True)
         top = (strong + [0.0, 0.0, 0.0])[:3]
         return np.array([*top, np.log1p(len(strong)), np.log1p(100 * len(strong) / (len(tokens) + 20))])
 
@@ -225,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = Counter(y for _, y, f in rows if f == 0)
     for t, y, f in rows:
         if f == 0:
-            words = {w for x in [*set(t.split()), *spaced(t)] for w in readings(x, lm)}
+            words = {w for x in [*set(t.split()), *(w for x in spaced(t) for w in (x, x[1:], x[:-1]))] for w in readings(x, lm)} | set(_WORDS.findall(restore(t, lm, True).lower()))
             seen[y].update({g for w in words for g in grams(w)})
     # documents of each class that hold the feature, with a prior that keeps rare ones silent
     evidence = {}
@@ -243,16 +353,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def restored_text(text: str, model: ToxicityModel) -> str:
-    """The text with its disguised tokens restored, white space kept."""
-    text = _SPACED.sub(lambda m: restore(re.sub(r"[ \t]+", "", m[0]), model.lm) or m[0], text)
-
-    def clear(m: re.Match) -> str:
-        core = _FRINGE.sub("", m[0])
-        if len(core) > MOST_LETTERS or not _ODD.match(core):
-            return m[0]
-        return m[0].replace(core, restore(core, model.lm) or core, 1)
-
-    return re.sub(r"\S+", clear, text)
+    """The text with its disguised words restored."""
+    return restore(text, model.lm, True)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score", threshold: float = 0.7, with_text: bool = False) -> DataFrame:

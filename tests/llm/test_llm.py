@@ -202,6 +202,21 @@ def test_search_is_exact():
         assert toxicity.restore(token, lm) == brute_restore(token, lm)
 
 
+def test_words_set_apart():
+    text = b"  the idiot and the moron are a stupid people and you moron, the scum! a worthless trash is the scum. " * 50
+    c = toxicity._CLASS[np.frombuffer(text, np.uint8)]
+    lm = toxicity.language_model(np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3)).tolist()
+    model = toxicity.ToxicityModel(lm, {w + "$": 3.0 for w in ("moron", "scum", "stupid")}, (np.zeros(6), np.zeros(5), np.ones(5)))
+    for seen, meant in {"you are a m o r o n": "moron", "y o u m o r o n": "moron", "the s c u m, you": "scum", "s c u m! a": "scum", "a mo ron and": "moron", "the st up id people": "stupid", "a m oron": "moron"}.items():
+        assert model.features(seen)[0] > 0, seen
+        assert meant in toxicity.restored_text(seen, model).replace(",", " ").replace("!", " ").split()
+    for plain in ("The idiot, and\n the  people!", "you are a moron", "a - the -"):
+        assert toxicity.restored_text(plain, model) == plain
+    assert model.features("and the people")[0] == 0
+    for text in (" t tatado", "*1e eced", ",ta1t*t tet$", "teedet", "a m oron - th***e it"):  # by stretches and as a whole
+        assert toxicity.restore(text, lm, True) == toxicity._search("", text, "", toxicity.Trigrams.of(lm), True)
+
+
 def test_quality(spark):
     docs, labels, known = labelled(spark)
     model = quality.train(docs, labels)
