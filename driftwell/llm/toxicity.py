@@ -39,8 +39,6 @@ _CLASS = np.zeros(256, np.int64)
 _CLASS[128:] = 27
 for _i in range(26):
     _CLASS[97 + _i] = _CLASS[65 + _i] = _i + 1
-#: Tokens longer than this are not words in disguise; they are scored as they stand.
-MOST_LETTERS = 48
 CACHE = 400_000
 STRETCHES = 100_000
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -279,9 +277,9 @@ def readings(token: str, lm: list) -> list[str]:
     """The words a token may hold: its letters as they stand, and restored if it looks disguised."""
     plain = token.lower().strip(_TRIM)
     core = _FRINGE.sub("", token)
-    if len(core) <= MOST_LETTERS and _ODD.match(core):
-        found = restore(core, lm)
-        return [found] if found == plain or not plain.isalpha() else [found, plain]
+    if _ODD.match(core):
+        found = [restore(core, lm), *_WORDS.findall(restore(core, lm, True))]
+        return list(dict.fromkeys(found + [plain] * plain.isalpha()))
     return [plain]
 
 

@@ -217,6 +217,14 @@ def test_words_set_apart():
         assert toxicity.restore(text, lm, True) == toxicity._search("", text, "", toxicity.Trigrams.of(lm), True)
 
 
+def test_long_tokens(spark):
+    counts = toxicity.letter_counts(spark.createDataFrame([("the idiot and the moron are stupid people and worthless trash " * 50,)], "text string"))
+    lm = toxicity.language_model(counts).tolist()
+    assert "stupid" in toxicity.readings("st" + "u" * 300 + "pid", lm)
+    assert "idiot" in toxicity.readings("1" * 60 + "diot", lm)
+    assert {"idiot", "moron", "stupid"} <= set(toxicity.readings("people,1d10t/worthless,m0ron/the-people,and,the-$tup!d,trash", lm))
+
+
 def test_quality(spark):
     docs, labels, known = labelled(spark)
     model = quality.train(docs, labels)
