@@ -43,8 +43,10 @@ CACHE = 400_000
 STRETCHES = 100_000
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TRIM = "\"'.,;:!?()[]{}<>|*#&%$@~-_`^/\\"
-_ODD = re.compile(r"(?=.*[^\W\d_])(?:.*[\d@$!|+(<€£¥µ§*._~`^%#&=/\\-][^\W_]|.*[^\W_][\d@$!+](?!.)|.*([^\W\d_])\1\1)", re.DOTALL)
-_FRINGE = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|[.,;:?!)\]}>\"']+$|^[\[({<\"']+")
+_ODD = re.compile(r"[\W\d_µ]|([^\W\d_])\1\1")
+#: What may be decoration at the ends of a token: brackets and quotes or full stops, or all signs.
+_LEFT = (re.compile(r"^[\[({<\"']+"), re.compile(r"^[\W_]+"))
+_RIGHT = (re.compile(r"[.,;:?!)\]}>\"']+$"), re.compile(r"[\W_]+$"))
 _SPACED = re.compile(r"(?<!\w)(?:\S[ \t.*_-]+){2,}\S(?!\w)")
 #: Two and more letters, each unlike the next: whatever stands before them, the search has one state after them.
 _CHAIN = re.compile(r"(?:([^\W\d_µ])(?!\1)(?=[^\W\d_µ]))+[^\W\d_µ]")
@@ -274,13 +276,19 @@ def restore(text: str, lm: list, borders: bool = False) -> str:
 
 
 def readings(token: str, lm: list) -> list[str]:
-    """The words a token may hold: its letters as they stand, and restored if it looks disguised."""
-    plain = token.lower().strip(_TRIM)
-    core = _FRINGE.sub("", token)
-    if _ODD.match(core):
-        found = [restore(core, lm), *_WORDS.findall(restore(core, lm, True))]
-        return list(dict.fromkeys(found + [plain] * plain.isalpha()))
-    return [plain]
+    """The words a token may hold: its letters as they stand and, if it has a sign, a digit or a letter drawn out, restored.
+
+    Signs at its ends are read both ways, as decoration and as parts of the word."""
+    token = token.lower()
+    plain = token.strip(_TRIM)
+    if not _ODD.search(token):
+        return [plain]
+    lm = Trigrams.of(lm)
+    lefts = {0, *(m.end() for r in _LEFT if (m := r.match(token)))}
+    rights = {len(token), *(m.start() for r in _RIGHT if (m := r.search(token)))}
+    found = [restore(x, lm) if _ODD.search(x) else x for x in (token[i:j] for i in lefts for j in rights if i < j)]
+    found += _WORDS.findall(restore(token, lm, True).lower())
+    return list(dict.fromkeys(found + [plain] * plain.isalpha()))
 
 
 def spaced(text: str) -> list[str]:

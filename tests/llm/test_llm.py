@@ -225,6 +225,16 @@ def test_long_tokens(spark):
     assert {"idiot", "moron", "stupid"} <= set(toxicity.readings("people,1d10t/worthless,m0ron/the-people,and,the-$tup!d,trash", lm))
 
 
+def test_signs_at_the_ends():
+    text = b"  the idiot and the moron are stupid people, you dumbass and the clown is an ass, a lass. the ass (so) it is  fool " * 50
+    c = toxicity._CLASS[np.frombuffer(text, np.uint8)]
+    lm = toxicity.language_model(np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3)).tolist()
+    for seen, meant in {"dumba$$": "dumbass", "a$$": "ass", "$$tupid": "stupid", "(lown": "clown", "<lown,": "clown", "@$$": "ass", "455": "ass", '"a$$!"': "ass", "(dumba$$)": "dumbass"}.items():
+        assert meant in toxicity.readings(seen, lm), seen
+    for seen, meant in {"people$$$": "people", "people***": "people", "(people)": "people", "people%%%.": "people"}.items():
+        assert meant in toxicity.readings(seen, lm), seen
+
+
 def test_quality(spark):
     docs, labels, known = labelled(spark)
     model = quality.train(docs, labels)
