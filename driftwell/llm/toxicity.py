@@ -40,7 +40,7 @@ _CLASS[128:] = 27
 for _i in range(26):
     _CLASS[97 + _i] = _CLASS[65 + _i] = _i + 1
 CACHE = 400_000
-STRETCHES = 100_000
+STRETCHES = 200_000
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TRIM = "\"'.,;:!?()[]{}<>|*#&%$@~-_`^/\\"
 _ODD = re.compile(r"[\W\d_µ]|([^\W\d_])\1\1")
@@ -91,17 +91,17 @@ class Trigrams(list):
     """A language model as nested lists, which are quick to look up, and as an array; with what was decoded last."""
 
     table: np.ndarray
-    found: dict[tuple[str, bool, bool], str]
+    found: tuple[dict[str, str | bool], dict[str, str | bool]]
 
     @classmethod
     def of(cls, lm: list) -> Trigrams:
         if not isinstance(lm, cls):
             lm = cls(lm)
-            lm.table, lm.found = np.asarray(lm, float), {}
+            lm.table, lm.found = np.asarray(lm, float), ({}, {})
         return lm
 
     def __getstate__(self) -> dict:
-        return {"table": self.table, "found": {}}
+        return {"table": self.table, "found": ({}, {})}
 
 
 def _options(ch: str, borders: bool = False, split: float = SPLIT) -> list[tuple[str, float]]:
@@ -252,27 +252,38 @@ def restore(text: str, lm: list, borders: bool = False) -> str:
     shown, text, lm = text, text.lower(), Trigrams.of(lm)
     if not borders or len(shown) != len(text):
         shown = text
-    found, out, end, before = lm.found, [], 0, ""
+    found, out, end, done = lm.found[borders], [], 0, 0
 
-    def read(start: int, stop: int) -> str:
-        key = (text[end - 2 : stop] if before else "\n" + text[:stop], borders, stop > start)
+    def read(start: int, stop: int) -> str | bool:
+        """The reading of the text from end to start and of the letter after it; False if it is what stands there."""
+        before = text[end - 2 : end] if end else ""
+        got = _search(before, text[end:start], text[start:stop], lm, borders)
+        return False if got == text[end : start + (stop > start)] else got
+
+    for m in _CHAIN.finditer(text):
+        start = m.start()
+        key = text[end - 2 : start + 2] if end else "\n" + text[: start + 2]
         got = found.get(key)
         if got is None:
-            got = _search(before, text[end:start], text[start:stop], lm, borders)
+            got = read(start, start + 2)
             if start - end < 30:
                 if len(found) >= STRETCHES:
                     found.clear()
                 found[key] = got
-        return shown[end : start + (stop > start)] if got == text[end : start + (stop > start)] else got
-
-    for m in _CHAIN.finditer(text):
-        start = m.start()
-        out.append(read(start, start + 2))
+        if got is not False:
+            out += shown[done:end], got
+            done = start + 1
         end = m.end()
-        out.append(shown[start + 1 : end])
-        before = text[end - 2 : end]
-    out.append(read(len(text), len(text)))
-    return "".join(out)
+    key = text[end - 2 :] + "\n\n" if end else ""
+    got = found.get(key)
+    if got is None:
+        got = read(len(text), len(text))
+        if end and len(text) - end < 30:
+            found[key] = got
+    if got is not False:
+        out += shown[done:end], got
+        done = len(text)
+    return "".join((*out, shown[done:]))
 
 
 def readings(token: str, lm: list) -> list[str]:
