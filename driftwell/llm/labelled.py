@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .infra import cut
+
 #: Rows with this remainder of crc32(id as text) modulo FOLDS are held out: nothing is learnt from them.
 FOLDS, HELD_OUT = 3, 1
 
@@ -15,24 +17,24 @@ def fold(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", most: int = 2000, most_chars: int = 20_000) -> list[tuple[str, int, int]]:
-    """(text, label, fold) of at most `most` rows of each class outside the held-out fold.
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", most: int = 2000) -> DataFrame:
+    """(text, y, f): text, label and fold of at most `most` rows of each class outside the held-out fold, in a table of the shared folder.
 
     The sample is the only bounded thing about a classifier: the rows with the smallest
-    hash of their id, of texts of at most most_chars characters (whole ones, never cut).
-    Rows with null id or label teach nothing; an id labelled twice counts with its larger label.
+    hash of their id, with their whole texts.  Rows with null id or label teach nothing, nor
+    do empty texts; an id labelled twice counts with its larger label, and of rows with one
+    id the smallest text teaches.
     """
-    spark = docs.sparkSession
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     known = known.where(fold("id") != HELD_OUT)
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    ids = spark.createDataFrame(chosen.collect(), "id long, y int")  # at most 2 * most rows
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text").between(1, most_chars)).join(F.broadcast(ids), "id").select("text", "y", fold("id").cast("int").alias("f"), F.xxhash64("id", "text").alias("h")).collect()
-    rows.sort(key=lambda r: (r["h"], r["y"]))
-    return [(r["text"], r["y"], r["f"]) for r in rows]
+    ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most 2 * most rows
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") > 0)
+    one = texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    return cut(one.select("text", "y", fold("id").cast("int").alias("f")), "sample")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ curve fitted on labelled texts that no dictionary was built from makes them a sc
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -75,7 +76,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Dictionaries from fold 0 and a curve from fold 2 of a sample of at most `most` rows a class.
 
     With no labelled rows of a class, every score is one half."""
-    rows = [(t.encode(), y, f) for t, y, f in training_sample(docs, labels, label_col, id_col, text_col, most)]
+    rows = sorted((r["text"].encode(), r["y"], r["f"]) for r in training_sample(docs, labels, label_col, id_col, text_col, most).collect())
+    random.Random(5).shuffle(rows)
     good, bad = (_dictionary([t for t, y, f in rows if y == k and f == 0], size) for k in (1, 0))
     fit = [(t, y) for t, y, f in rows if f != 0]
     y = np.array([k for _, k in fit], float)

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from unicodedata import category
 
 import numpy as np
@@ -35,19 +36,21 @@ SPLIT, SPLIT_ONE = -4.0, -1.0
 #: A letter that comes just twice is seldom drawn out.
 TWICE = -12.0
 _N = 28  # a border, a to z, any other letter
-_CLASS = np.zeros(256, np.int64)
-_CLASS[128:] = 27
-for _i in range(26):
-    _CLASS[97 + _i] = _CLASS[65 + _i] = _i + 1
+_SIGN = 28  # what is neither letter nor blank
 CACHE = 400_000
 STRETCHES = 200_000
+#: Searches of one short stretch from which a table of all its surroundings pays, and tables held at most (results don't depend on them).
+OFTEN, TABLES = 300, 96
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TRIM = "\"'.,;:!?()[]{}<>|*#&%$@~-_`^/\\"
+_DRAWN = re.compile(r"([^\W\d_])\1\1")
 _ODD = re.compile(r"[\W\d_µ]|([^\W\d_])\1\1")
-#: What may be decoration at the ends of a token: brackets and quotes or full stops, or all signs.
-_LEFT = (re.compile(r"^[\[({<\"']+"), re.compile(r"^[\W_]+"))
-_RIGHT = (re.compile(r"[.,;:?!)\]}>\"']+$"), re.compile(r"[\W_]+$"))
-_SPACED = re.compile(r"(?<!\w)(?:\S[ \t.*_-]+){2,}\S(?!\w)")
+#: What may be decoration at the ends of a token, beside all of its signs.
+_OPENING, _CLOSING, _STOPS = "[({<\"'", ".,;:?!)]}>\"'", "\"'.,;:?!()"
+#: Runs of three and more single characters set apart; separators and characters are disjoint classes, so matching is linear.
+_SPACED = re.compile(r"(?<![^\s.*_-])[^\s.*_-](?:[ \t.*_-]++[^\s.*_-](?![^\W\d_]{2})){2,}(?!\w)")
+#: A line drawn with signs: a border, nothing is hidden in it.
+_RULE = re.compile(r"((?:[^\w\s]|_){32,})")
 #: Two and more letters, each unlike the next: whatever stands before them, the search has one state after them.
 _CHAIN = re.compile(r"(?:([^\W\d_µ])(?!\1)(?=[^\W\d_µ]))+[^\W\d_µ]")
 _LETTER = re.compile(r"[^\W\d_µ]")
@@ -58,6 +61,27 @@ _LONG_RUN = re.compile(r"((\S)\2{63})\2+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """By code point: 0 a blank, 1 to 26 the letters a to z of either case, 27 another letter, _SIGN anything else."""
+    kind = np.full(0x110000, _SIGN, np.uint8)
+    every = [chr(i) for i in range(0x110000)]
+    kind[[i for i, x in enumerate(every) if _LETTER.match(x)]] = 27
+    kind[[i for i, x in enumerate(every) if x.isspace()]] = 0
+    kind[97:123] = kind[65:91] = np.arange(1, 27)
+    return kind
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def letter_classes(text: str) -> np.ndarray:
+    """The class of each character: 0 a border (all that is no letter), 1 to 26 the letters a to z of either case, 27 another letter."""
+    c = _kinds()[_points(text)].astype(np.int64)
+    return np.where(c == _SIGN, 0, c)
+
+
 def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of letter trigrams over all documents: summed in each task, then by trigram (a table of fixed size)."""
     ship(docs.sparkSession)
@@ -65,8 +89,8 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_N**3, np.int64)
         for b in batches:
-            for _, part in chunks(x or b"" for x in b.column(0).cast(pa.binary()).to_pylist()):
-                c = _CLASS[np.frombuffer(b"  " + b"  ".join(part) + b"  ", np.uint8)]
+            for _, part in chunks((x or "" for x in b.column(0).to_pylist()), 1 << 20):
+                c = letter_classes("  " + "  ".join(part) + "  ")
                 total += np.bincount((c[:-2] * _N + c[1:-1]) * _N + c[2:], minlength=_N**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["gram", "n"])
@@ -92,16 +116,22 @@ class Trigrams(list):
 
     table: np.ndarray
     found: tuple[dict[str, str | bool], dict[str, str | bool]]
+    seen: Counter
+    stands: dict[str, np.ndarray]
 
     @classmethod
     def of(cls, lm: list) -> Trigrams:
         if not isinstance(lm, cls):
             lm = cls(lm)
-            lm.table, lm.found = np.asarray(lm, float), ({}, {})
+            lm.table = np.asarray(lm, float)
+            lm.__setstate__({"table": lm.table})
         return lm
 
     def __getstate__(self) -> dict:
-        return {"table": self.table, "found": ({}, {})}
+        return {"table": self.table}
+
+    def __setstate__(self, state: dict) -> None:
+        self.table, self.found, self.seen, self.stands = state["table"], ({}, {}), Counter(), {}
 
 
 def _options(ch: str, borders: bool = False, split: float = SPLIT) -> list[tuple[str, float]]:
@@ -122,6 +152,58 @@ def _class(x: str) -> int:
     return ord(x) - 96 if "a" <= x <= "z" else 0 if x == " " else 27
 
 
+def _costs(ch: str, again: float, split: float, borders: bool) -> tuple[np.ndarray, np.ndarray, dict[int, str], float]:
+    """By class: what it costs to read ch as it, and to stay in a state that ends in it; what each class is read as; the cost of nothing."""
+    cost, stay, names, nothing = np.full(_N, -np.inf), np.full(_N, -np.inf), {0: ch}, -np.inf
+    for x, c in _options(ch, borders, split):
+        if x:
+            k = _class(x)
+            cost[k], names[k] = max(cost[k], c), x if k else ch
+        else:
+            stay[:] = nothing = c
+    stay[1:27] = np.maximum(stay[1:27], cost[1:27] + again)  # drawn out: no new letter
+    return cost, stay, names, nothing
+
+
+def _stands(middle: str, lm: np.ndarray) -> np.ndarray:
+    """For letters a, b before and c, d after a stretch (a unlike b, c unlike d, none of its letters like b or c): whether the likeliest reading leaves all as it is.
+
+    The search of _all_states, from all states at once.  A reading leaves the stretch as it
+    is if it keeps the letters and takes each sign for a border or for nothing, and one at
+    least of those between two letters for a border."""
+    free = [x for x in _LETTERS if x not in middle]
+    units = [free[0], free[1], *_UNITS.findall(middle), free[2], free[3]]
+    steps = list(zip(units, _drawn(units), _splits(units), strict=True))[2:-2]
+    out, every = np.zeros((_N, _N, _N, _N), bool), np.arange(1, _N)
+    for a in range(1, _N):
+        scores = []
+        for kept in (True, False):
+            p = np.full((_N - 1, _N, _N), -np.inf)
+            p[every - 1, a, every], last_sign = 0.0, False
+            for ch, again, split in steps:
+                cost, stay, _, nothing = _costs(ch, again, split, True)
+                if not kept:
+                    p = np.maximum((p[:, :, :, None] + lm[None]).max(1) + cost, p + stay)
+                    continue
+                if letter := _LETTER.match(ch):
+                    if last_sign:
+                        p[:, :, 1:] = -np.inf  # no border since the last letter
+                    k = _class(ch)
+                else:
+                    k = 0
+                q = np.full_like(p, -np.inf)
+                q[:, :, k] = (p + lm[None, :, :, k]).max(1) + cost[k]
+                p, last_sign = (q, False) if letter else (np.maximum(q, p + nothing), True)
+            if kept and last_sign:
+                p[:, :, 1:] = -np.inf
+            q = p.copy()
+            p = (p[:, :, :, None] + lm[None]).max(1)
+            p[:, :, 1:27] = np.maximum(p[:, :, 1:27], q[:, :, 1:27] + TWICE)
+            scores.append((p[:, :, :, None] + lm[None]).max(1))
+        out[a, 1:] = scores[0] >= scores[1]
+    return out
+
+
 def _all_states(states: dict, units: list[str], drawn: list[float], splits: list[float], i: int, lm: np.ndarray, borders: bool, end: float) -> tuple:
     """The rest of a search from unit i on, over the array of all states; what is read, as a linked list."""
     p, rows, back = np.full((_N, _N), -np.inf), np.arange(_N), []
@@ -129,14 +211,7 @@ def _all_states(states: dict, units: list[str], drawn: list[float], splits: list
         p[k] = q
     other = next((last for (_, b), (_, _, last) in states.items() if b == 27), "")  # the same in all of them
     for ch, again, split in zip(units[i:], drawn[i:], splits[i:], strict=True):
-        cost, stay, names, nothing = np.full(_N, -np.inf), np.full(_N, -np.inf), {0: ch}, -np.inf
-        for x, c in _options(ch, borders, split):
-            if x:
-                k = _class(x)
-                cost[k], names[k] = max(cost[k], c), x if k else ch
-            else:
-                stay[:] = nothing = c
-        stay[1:27] = np.maximum(stay[1:27], cost[1:27] + again)  # drawn out: no new letter
+        cost, stay, names, nothing = _costs(ch, again, split, borders)
         if 27 in names:
             if names[27] == other:
                 stay[27] = max(stay[27], cost[27] + again)
@@ -244,45 +319,83 @@ def _search(before: str, middle: str, after: str, lm: Trigrams, borders: bool) -
     return middle + after[:1] if got == short + after[:1] else got
 
 
+def _stretches(text: str, lm: Trigrams) -> Iterator[tuple[int, int, int]]:
+    """(start, end, next) of what lies between pairs of unlike letters, wherever it may be read otherwise than it stands.
+
+    After two unlike letters the search has one state, so what lies between two such pairs
+    is decided for itself: text[start:end], given two letters before and two from end on
+    (next is 0, 1 or 2: how many of those there are).  Double letters and blanks are
+    settled for all places at once."""
+    u = _points(text)
+    k = _kinds()[u]
+    letter = (k >= 1) & (k <= 27)
+    pin = np.flatnonzero(letter[1:] & letter[:-1] & (u[1:] != u[:-1])) + 1
+    if not len(pin):
+        yield 0, len(text), 0
+        return
+    if pin[0] > 1:
+        yield 0, int(pin[0]) - 1, 2
+    gap = np.flatnonzero(np.diff(pin) > 1)
+    s, e = pin[gap], pin[gap + 1]
+    a, b, c, d = k[s - 1].astype(np.int64), k[s].astype(np.int64), k[e - 1].astype(np.int64), k[e].astype(np.int64)
+    t, known = lm.table, (b < 27) | (c < 27) | (u[s] != u[e - 1])  # a letter may be drawn out if it is the same
+    double = (e == s + 2) & (t[a, b, b] + t[b, b, d] >= t[a, b, d] + TWICE)
+    blank = known & (e == s + 3) & (k[s + 1] == 0)
+    blank &= t[a, b, 0] + t[b, 0, c] + t[0, c, d] >= SPLIT + np.maximum(t[a, b, c] + t[b, c, d], np.where(b == c, TWICE + t[a, b, d], -np.inf))
+    left = np.flatnonzero(~(double | blank))
+    for i, j, n, *place in np.c_[s, e, known, a, b, c, d][left].tolist():
+        if n and 2 < j - i < 12:
+            middle = text[i + 1 : j - 1]
+            stands = lm.stands.get(middle)
+            if stands is not None:
+                if stands[*place] and text[i] not in middle and text[j - 1] not in middle:
+                    continue
+            elif len(lm.stands) < TABLES and sum(x > "z" and _LETTER.match(x) is not None for x in middle) < 2:
+                lm.seen[middle] += 1
+                if lm.seen[middle] >= OFTEN:
+                    lm.stands[middle] = _stands(middle, lm.table)
+        yield i + 1, j - 1, 2
+    if pin[-1] + 1 < len(text):
+        yield int(pin[-1]) + 1, len(text), 0
+
+
+def _short_stretches(text: str) -> Iterator[tuple[int, int, int]]:
+    """The same for a token: all that lies between pairs of unlike letters."""
+    end = 0
+    for m in _CHAIN.finditer(text):
+        if m.start() > end or end:
+            yield end, m.start(), 2
+        end = m.end()
+    if end < len(text) or not end:
+        yield end, len(text), 0
+
+
 def restore(text: str, lm: list, borders: bool = False) -> str:
     """The likeliest letters behind a token ('' if there are none); with borders, behind a text, with the signs, blanks and capitals that are no disguise.
 
-    Letters between chains are searched for one stretch after the other, which gives what
-    a search of the whole text gives."""
-    shown, text, lm = text, text.lower(), Trigrams.of(lm)
+    Letters between pairs of unlike letters are searched for one stretch after the other,
+    which gives what a search of the whole text gives.  Time is linear in the text; a line
+    of 32 signs and more is a border."""
+    lm = Trigrams.of(lm)
+    if borders and _RULE.search(text):
+        return "".join(x if i % 2 else restore(x, lm, True) if x else x for i, x in enumerate(_RULE.split(text)))
+    shown, text = text, text.lower()
     if not borders or len(shown) != len(text):
         shown = text
-    found, out, end, done = lm.found[borders], [], 0, 0
-
-    def read(start: int, stop: int) -> str | bool:
-        """The reading of the text from end to start and of the letter after it; False if it is what stands there."""
-        before = text[end - 2 : end] if end else ""
-        got = _search(before, text[end:start], text[start:stop], lm, borders)
-        return False if got == text[end : start + (stop > start)] else got
-
-    for m in _CHAIN.finditer(text):
-        start = m.start()
-        key = text[end - 2 : start + 2] if end else "\n" + text[: start + 2]
+    found, out, done = lm.found[borders], [], 0
+    for start, end, after in _stretches(text, lm) if borders else _short_stretches(text):
+        key = f"{text[max(0, start - 2) : end + after]}{'' if start else chr(0)}{after}"
         got = found.get(key)
         if got is None:
-            got = read(start, start + 2)
-            if start - end < 30:
+            got = _search(text[start - 2 : start] if start else "", text[start:end], text[end : end + after], lm, borders)
+            got = False if got == text[start : end + (after > 0)] else got
+            if end - start < 30:
                 if len(found) >= STRETCHES:
                     found.clear()
                 found[key] = got
         if got is not False:
-            out += shown[done:end], got
-            done = start + 1
-        end = m.end()
-    key = text[end - 2 :] + "\n\n" if end else ""
-    got = found.get(key)
-    if got is None:
-        got = read(len(text), len(text))
-        if end and len(text) - end < 30:
-            found[key] = got
-    if got is not False:
-        out += shown[done:end], got
-        done = len(text)
+            out += shown[done:start], got
+            done = end + (after > 0)
     return "".join((*out, shown[done:]))
 
 
@@ -294,10 +407,13 @@ def readings(token: str, lm: list) -> list[str]:
     plain = token.strip(_TRIM)
     if not _ODD.search(token):
         return [plain]
+    if _RULE.search(token):
+        return list(dict.fromkeys(w for x in _RULE.split(token)[::2] for w in readings(x, lm)))
     lm = Trigrams.of(lm)
-    lefts = {0, *(m.end() for r in _LEFT if (m := r.match(token)))}
-    rights = {len(token), *(m.start() for r in _RIGHT if (m := r.search(token)))}
-    found = [restore(x, lm) if _ODD.search(x) else x for x in (token[i:j] for i in lefts for j in rights if i < j)]
+    bare = next((i for i, ch in enumerate(token) if ch.isalnum()), len(token))
+    lefts = {0, len(token) - len(token.lstrip(_OPENING)), bare}
+    rights = {len(token), len(token.rstrip(_CLOSING)), next((i for i in range(len(token), 0, -1) if token[i - 1].isalnum()), 0)}
+    found = [restore(x, lm) if _ODD.search(x) else x for x in (token[i:j] for i in sorted(lefts) for j in sorted(rights) if i < j)]
     found += _WORDS.findall(restore(token, lm, True).lower())
     return list(dict.fromkeys(found + [plain] * plain.isalpha()))
 
@@ -307,11 +423,30 @@ def spaced(text: str) -> list[str]:
     return [re.sub(r"[ \t]+", "", m) for m in _SPACED.findall(text)]
 
 
+def odd_tokens(tokens: Iterable[str], drawn_out: bool) -> Iterator[str]:
+    """Those with a sign or a digit, but for stops and quotes at their ends, or (if any token has) a letter drawn out."""
+    for t in tokens:
+        if not (t if t.isalpha() else t.strip(_STOPS)).isalpha() or "µ" in t or (drawn_out and _DRAWN.search(t)):
+            yield t
+
+
 def grams(word: str) -> list[str]:
     """The features of a word: itself and its beginnings of four to six letters."""
     return [word + "$", *(word[:k] for k in (4, 5, 6) if len(word) >= k)] if len(word) >= 3 else []
 
 
+def words_of(text: str, lm: list) -> set[str]:
+    """All words of a text, in lower case: as they stand, as the lattice restores the text, and the readings of odd tokens and of letters set apart."""
+    tokens = set(text.split())
+    words = {w.lower() for w in _WORDS.findall(text)} | {w.lower() for w in _WORDS.findall(restore(text, lm, True))}
+    for t in odd_tokens(tokens, _DRAWN.search(text) is not None):
+        words.update(readings(t, lm))
+    for t in spaced(text):
+        for w in (t, t[1:], t[:-1]):  # a one-letter word may stand beside a run
+            words.update(readings(w, lm))
+    return words
+
+
 @dataclass
 class ToxicityModel:
     lm: list
@@ -319,53 +454,112 @@ class ToxicityModel:
     curve: tuple[np.ndarray, np.ndarray, np.ndarray]
     cache: dict[str, tuple[float, str]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.lm = Trigrams.of(self.lm)
+        self.starts = {g[:3] for g in self.evidence}
+        self.begins = np.zeros(_N**3, bool)
+        for g in self.starts:
+            x, y, z = (_class(c) for c in g)
+            self.begins[(x * _N + y) * _N + z] = True
+
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return {"lm": self.lm, "evidence": self.evidence, "curve": self.curve}
+
+    def __setstate__(self, state: dict) -> None:
+        self.lm, self.evidence, self.curve, self.cache = state["lm"], state["evidence"], state["curve"], {}
+        self.__post_init__()
 
-    def of_token(self, token: str, plain: bool = False) -> tuple[float, str]:
-        """The strongest evidence in a token's readings (if plain: in the word as it stands), and the word that holds it."""
+    def of_word(self, word: str) -> float:
+        get = self.evidence.get
+        return max((get(g, 0.0) for g in grams(word)), default=0.0)
+
+    def of_token(self, token: str) -> tuple[float, str]:
+        """The strongest evidence in the readings of an odd token, and the word that holds it."""
         found = self.cache.get(token)
         if found is None:
             if len(self.cache) > CACHE:
                 self.cache.clear()
-            get = self.evidence.get
-            found = self.cache[token] = max(((get(g, 0.0), w) for w in ([token] if plain else readings(token, self.lm)) for g in grams(w)), default=(0.0, ""))
+            found = self.cache[token] = max(((self.of_word(w), w) for w in readings(token, self.lm)), default=(0.0, ""))
         return found
 
+    def _candidates(self, text: str) -> set[str]:
+        """The words of a text, in lower case, that begin like a feature with evidence does; others have none."""
+        text = text.lower()
+        c = np.r_[0, letter_classes(text), 0, 0]
+        start = np.flatnonzero((c[:-3] == 0) & (c[1:-2] > 0))
+        start = start[self.begins[(c[start + 1] * _N + c[start + 2]) * _N + np.r_[c, 0][start + 3]]]
+        if not len(start):
+            return set()
+        stop = np.flatnonzero(c == 0)
+        stop = stop[np.searchsorted(stop, start + 1)]
+        return {text[i:j] for i, j in zip(start.tolist(), (stop - 1).tolist(), strict=True)}
+
     def features(self, text: str) -> np.ndarray:
         """The three strongest evidences of distinct words, and how many there are and their share (as logarithms)."""
-        tokens = set(text.split())
-        held = [self.of_token(t) for t in tokens] + [self.of_token(w) for t in spaced(text) for w in (t, t[1:], t[:-1])]  # a one-letter word may stand beside a run
-        held += [self.of_token(w, True) for w in set(_WORDS.findall(restore(text, self.lm, True).lower())) - tokens]
-        strong = sorted({w: e for e, w in held if e > 0}.values(), reverse=True)
+        tokens, fixed = set(text.split()), restore(text, self.lm, True)
+        words = self._candidates(text)
+        if fixed != text:
+            words |= self._candidates(fixed)
+        held = {w: self.of_word(w) for w in words}
+        for t in odd_tokens(tokens, _DRAWN.search(text) is not None):
+            x = t[:3].lower()
+            # three letters, each unlike the next, are read as they stand
+            if len(x) == 3 and x.isalpha() and x[0] != x[1] != x[2] and x not in self.starts and "µ" not in x:
+                continue
+            e, w = self.of_token(t)
+            held[w] = e
+        for t in spaced(text):
+            for x in (t, t[1:], t[:-1]):
+                e, w = self.of_token(x)
+                held[w] = e
+        strong = sorted((e for e in held.values() if e > 0), reverse=True)
         top = (strong + [0.0, 0.0, 0.0])[:3]
         return np.array([*top, np.log1p(len(strong)), np.log1p(100 * len(strong) / (len(tokens) + 20))])
 
 
+def _evidence(sample: DataFrame, lm: list) -> dict[str, float]:
+    """Features that toxic texts of the first fold hold more often than others, with their weight; counted in tasks, then by feature."""
+    held = sample.sparkSession.sparkContext.broadcast(lm)  # a trigram table of fixed size
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for b in batches:
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen[y].update({g for w in words_of(text, held.value) for g in grams(w)})
+        for y, n in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([y] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["gram", "y", "n"])
+
+    first = sample.where("f = 0")
+    total = {r["y"]: r["n"] for r in first.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    ones, zeros = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0))
+    grams_ = first.select("text", "y").mapInArrow(count, "gram string, y int, n long").groupBy("gram").agg(ones.alias("k"), zeros.alias("k0"))
+    # documents of each class that hold the feature, with a prior that keeps rare ones silent
+    e = F.log((F.col("k") + 0.5) / (total.get(1, 0) + 1)) - F.log((F.col("k0") + 1.0) / (total.get(0, 0) + 1))
+    strong = grams_.where("k >= 3").withColumn("e", e).where("e > 1.5")
+    return {r["gram"]: r["e"] * r["k"] / (r["k"] + 2) for r in strong.collect()}  # of a bounded sample
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 3000) -> ToxicityModel:
     """The language model of all documents; evidence and curve from a sample of at most `most` labelled rows a class.
 
-    With no labelled rows of a class, every score is one half."""
+    Texts stay in tasks: the driver sees counts of features and one row of numbers a
+    sampled text.  With no labelled rows of a class, every score is one half."""
     lm = Trigrams.of(language_model(letter_counts(docs, text_col)).tolist())
-    rows = training_sample(docs, labels, label_col, id_col, text_col, most)
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    total = Counter(y for _, y, f in rows if f == 0)
-    for t, y, f in rows:
-        if f == 0:
-            words = {w for x in [*set(t.split()), *(w for x in spaced(t) for w in (x, x[1:], x[:-1]))] for w in readings(x, lm)} | set(_WORDS.findall(restore(t, lm, True).lower()))
-            seen[y].update({g for w in words for g in grams(w)})
-    # documents of each class that hold the feature, with a prior that keeps rare ones silent
-    evidence = {}
-    for g, k in seen[1].items():
-        if k >= 3:
-            e = np.log((k + 0.5) / (total[1] + 1)) - np.log((seen[0][g] + 1.0) / (total[0] + 1))
-            if e > 1.5:
-                evidence[g] = float(e * k / (k + 2))
-    model = ToxicityModel(lm, evidence, (np.zeros(6), np.zeros(5), np.ones(5)))
-    fit = [(t, y) for t, y, f in rows if f != 0]
-    y = np.array([k for _, k in fit], float)
-    if evidence and 0 < y.sum() < len(y):
-        model.curve = logistic(np.array([model.features(t) for t, _ in fit]), y)
+    sample = training_sample(docs, labels, label_col, id_col, text_col, most)
+    model = ToxicityModel(lm, _evidence(sample, lm), (np.zeros(6), np.zeros(5), np.ones(5)))
+    if model.evidence:
+        held = docs.sparkSession.sparkContext.broadcast(model)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = [held.value.features(t).tolist() for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+
+        rows = sample.where("f <> 0").select("text", "y").mapInArrow(measure, "x array<double>, y int").collect()
+        rows.sort(key=lambda r: (r["y"], r["x"]))
+        y = np.array([r["y"] for r in rows], float)
+        if 0 < y.sum() < len(y):
+            model.curve = logistic(np.array([r["x"] for r in rows]), y)
     return model
 
 

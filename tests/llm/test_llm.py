@@ -1,7 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
-import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -204,7 +204,7 @@ def test_search_is_exact():
 
 def test_words_set_apart():
     text = b"  the idiot and the moron are a stupid people and you moron, the scum! a worthless trash is the scum. " * 50
-    c = toxicity._CLASS[np.frombuffer(text, np.uint8)]
+    c = toxicity.letter_classes(text.decode())
     lm = toxicity.language_model(np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3)).tolist()
     model = toxicity.ToxicityModel(lm, {w + "$": 3.0 for w in ("moron", "scum", "stupid")}, (np.zeros(6), np.zeros(5), np.ones(5)))
     for seen, meant in {"you are a m o r o n": "moron", "y o u m o r o n": "moron", "the s c u m, you": "scum", "s c u m! a": "scum", "a mo ron and": "moron", "the st up id people": "stupid", "a m oron": "moron"}.items():
@@ -217,6 +217,42 @@ def test_words_set_apart():
         assert toxicity.restore(text, lm, True) == toxicity._search("", text, "", toxicity.Trigrams.of(lm), True)
 
 
+def test_restoring_by_stretches_is_the_whole_search(monkeypatch):
+    monkeypatch.setattr(toxicity, "OFTEN", 4)  # tables from the start
+    text = "  the idiot and the moron are a stupid people and you moron, the scum! a worthless trash is the scum. été à la fête où le garçon a été; " * 50
+    lm = toxicity.Trigrams.of(toxicity.language_model(np.bincount((c := toxicity.letter_classes(text))[2:] + 28 * c[1:-1] + 784 * c[:-2], minlength=28**3)).tolist())
+    rng = random.Random(15)
+    for i in range(600):
+        if i % 2:
+            t = "".join(rng.choice("aabdeeiot  oé.,!*1$-é\n") for _ in range(rng.randrange(1, 14)))
+        else:
+            t = " ".join((rng.choice(text.split()) if rng.random() < 0.7 else rng.choice("aé!b")) + rng.choice(["", "", " ", ",", "%%"]) for _ in range(4))
+        assert toxicity.restore(t.title(), lm, True).lower() == toxicity._search("", t.title().lower(), "", lm, True).lower()
+    assert lm.stands
+
+
+def test_time_is_linear(spark):
+    lm = toxicity.Trigrams.of(toxicity.language_model(np.arange(28**3) % 7).tolist())
+    model = toxicity.ToxicityModel(lm, {"moron$": 3.0}, (np.zeros(6), np.zeros(5), np.ones(5)))
+    model.features("warm")
+    for t in ("x " + "-" * 60 + "ab", "-" * 10**6 + " ab", "x " + "- " * 300 + "ab", "a" + "-" * 10**6 + "b", "x" * 10**6, "_" * 10**6 + "Name", "ab" * 500_000):
+        start = time.perf_counter()
+        model.features(t)
+        assert time.perf_counter() - start < 3, t[:9]
+    assert model.features("a moron " + "=" * 200 + " b")[0] > 0
+
+
+def test_toxicity_edges(spark):
+    docs, labels, _ = labelled(spark)
+    model = toxicity.train(docs.union(docs.limit(40)), labels.union(labels.limit(9)))
+    long = "the idiot " + some_text(random.Random(3), 60_000)
+    rows = [(1, "x moron scum idiot", 5.0, "p"), (1, "x moron scum idiot", 5.0, "p"), (None, None, 1.0, "q"), (2, long, 0.0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted string")
+    got = toxicity.score(df, model).collect()
+    assert sorted(r["predicted"] for r in got if r["doc_id"] == 1) == [1, 1] and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert {r["doc_id"] for r in got} == {1, 2, None} and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_long_tokens(spark):
     counts = toxicity.letter_counts(spark.createDataFrame([("the idiot and the moron are stupid people and worthless trash " * 50,)], "text string"))
     lm = toxicity.language_model(counts).tolist()
@@ -227,7 +263,7 @@ def test_long_tokens(spark):
 
 def test_signs_at_the_ends():
     text = b"  the idiot and the moron are stupid people, you dumbass and the clown is an ass, a lass. the ass (so) it is  fool " * 50
-    c = toxicity._CLASS[np.frombuffer(text, np.uint8)]
+    c = toxicity.letter_classes(text.decode())
     lm = toxicity.language_model(np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3)).tolist()
     for seen, meant in {"dumba$$": "dumbass", "a$$": "ass", "$$tupid": "stupid", "(lown": "clown", "<lown,": "clown", "@$$": "ass", "455": "ass", '"a$$!"': "ass", "(dumba$$)": "dumbass"}.items():
         assert meant in toxicity.readings(seen, lm), seen
@@ -450,7 +486,3 @@ def test_near_copies_are_rows_not_ids(spark, tmp_path):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r["doc_id"], r["text"]) for r in pipeline.drop_near_copies(spark, df, str(tmp_path)).collect())
     assert got == Counter([(None, a), (None, b), (5, c + " end"), (7, d), (7, e), (6, f), (9, a[:40]), (None, None), (None, ""), (4, ""), (4, "")])
-
-
-def test_digest_matches_text():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
