@@ -5,11 +5,13 @@ own.  The others are dealt to groups of bounded size by a hash; each group packs
 best-fit decreasing and compares its number of sequences with a lower bound from dual
 feasible functions.  A group that meets the bound is optimal, certified, and final.  A
 group with a gap gives up its emptiest sequences; their pieces meet those of other such
-groups in a group of the next round and are packed again, until one group is left.
+groups in groups of the next round, of the same bounded size, and are packed again, until
+one group takes them all or rounds no longer lessen them.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,15 +26,17 @@ from .infra import cut, row_id, ship
 
 #: Entries of a worker's chunk cache; past it the cache starts anew (results don't depend on it).
 CACHE = 500_000
-#: Pieces in a group of the first round, and groups that meet in one of the next.
-GROUP, FAN_IN = 20_000, 16
+#: Pieces in a group, and rounds at most (a round leaves half of the groups or is the last).
+GROUP, MOST_ROUNDS = 20_000, 40
+#: Where a text may be cut before a space: after a letter, a digit or a visible sign. A match of the byte-level pattern never goes on from there to a space.
+_BEFORE_SPACE = re.compile(r"(?<=[^\W_])(?= )|(?<=[!-~])(?= )")
+#: White space and what may be taken for it: a space after one of these is no place to cut. Those that are common are looked for together with the space.
+_COMMON = tuple(c + " " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
+_RARE = tuple(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 
 
 class _ByteBPE:
-    """Ids of texts by the tokenizers library, with a cache of the pieces between single spaces.
-
-    The byte-level pattern never spans a space that other text follows, but for runs of
-    white space that hold two spaces in a row; such texts go to the library whole."""
+    """Ids of texts by the tokenizers library, with a cache of the pieces that begin with a space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,21 +53,19 @@ class _ByteBPE:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known = {}
-        whole = [i for i, t in enumerate(texts) if "  " in t]
-        chunks = [[] if "  " in t else t.replace(" ", "\0 ").split("\0") if "\0" not in t else _cut(t) for t in texts]
+        chunks = [_cut(t) for t in texts]
         fresh = list(set().union(*chunks) - self.known.keys())
         if fresh:
             self.known.update(zip(fresh, self._library(fresh), strict=True))
         look = self.known.__getitem__
-        out = [b"".join(map(look, c)) for c in chunks]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else (), strict=True):
-            out[i] = ids
-        return out
+        return [b"".join(map(look, c)) for c in chunks]
 
 
 def _cut(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    """The text in pieces that the pattern takes one by one: cut before each space that no white space precedes."""
+    if any(c in text for c in _COMMON) or (not text.isascii() and any(c in text for c in _RARE)) or "\0" in text:
+        return _BEFORE_SPACE.split(text)
+    return text.replace(" ", "\0 ").split("\0")
 
 
 @lru_cache(maxsize=4)
@@ -181,38 +183,42 @@ def _pack(capacity: int, last: bool, names: list[str]) -> Callable[[pa.Table], p
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
-    """pieces (with piece and length) and sequence_id, offset: sequences of at most capacity, gapless from 0.
-
-    Defined results: equal lengths are ordered by a hash of the row; repeated rows are packed
-    as often as they come; lengths must be 1 to capacity (others raise); columns named as the
-    new ones are replaced; an empty table gives an empty result.  Rows gather in groups of
-    about GROUP pieces, and later only the emptiest sequences of groups move.
+    """pieces (with piece and length) and sequence_id, offset, certified: sequences of at most capacity, gapless from 0.
+
+    certified: whether the group that made the sequence has no more of them than its lower
+    bound.  Defined results: equal lengths are ordered by a hash of the row; repeated rows
+    are packed as often as they come, and spread like others; lengths must be 1 to capacity
+    (others raise); columns named as the new ones are replaced; an empty table gives an
+    empty result.  Rows gather in groups of about GROUP pieces, and later only the emptiest
+    sequences of groups move.
     """
     ship(pieces.sparkSession)
-    new = ("sequence_id", "offset")
+    new = ("sequence_id", "offset", "certified")
     keep = [c for c in pieces.columns if c not in new]
-    named = pieces.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    # a written table: rows are numbered alike when a task is run again
+    stored = pieces if hasattr(pieces, "_cut_path") else cut(pieces.select(*[f"`{c}`" for c in keep]), "pieces")
+    named = stored.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     length, piece = F.col(f"c{keep.index('length')}"), F.col(f"c{keep.index('piece')}")
     own = [f"c{i}" for i in range(len(keep))]
     checked = named.withColumn("length", F.when(length.between(1, capacity), length).otherwise(F.raise_error(F.lit("a length is not from 1 to the capacity"))).cast("long"))
-    whole = checked.where(F.col("length") == capacity).select(*own, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = checked.where(F.col("length") == capacity).select(*own, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     rest = checked.where(F.col("length") < capacity).withColumn("rid", row_id(*own)).withColumn("piece", piece.cast("int"))
-    groups = max(1, -(-rest.count() // GROUP))
-    code, done = F.pmod(F.hash("rid", "piece"), F.lit(groups)), [whole]
-    now = rest.select(*own, "length", "rid", "piece", code.cast("int").alias("grp"))
+    groups, turn, done = max(1, -(-rest.count() // GROUP)), 0, [whole]
     names = [*own, "length", "rid", "piece", "grp", "bin", "offset", "open", "gap"]
     types = {f.name: f.dataType.simpleString() for f in named.schema.fields}
     schema = ", ".join(f"{c} {types.get(c) or {'length': 'long', 'rid': 'long', 'piece': 'int', 'grp': 'int', 'bin': 'long', 'offset': 'long', 'open': 'boolean', 'gap': 'int'}[c]}" for c in names)
-    turn = 0
+    last = groups == 1
     while True:
-        packed = cut(now.groupBy("grp").applyInArrow(_pack(capacity, groups == 1, names), schema), "packed")
+        now = rest.select(*own, "length", "rid", "piece", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)).cast("int").alias("grp"))
+        packed = cut(now.groupBy("grp").applyInArrow(_pack(capacity, last, names), schema), "packed")
         # numbers below 0: turn, group and bin; from 0: full pieces
-        number = -1 - (F.lit(turn << 58) + F.shiftleft(F.col("grp").cast("long"), 26) + F.col("bin"))
-        done.append(packed.where("not open").select(*own, number.alias("sequence_id"), "offset"))
-        if groups == 1:
+        number = -1 - (F.lit(turn << 57) + F.shiftleft(F.col("grp").cast("long"), 26) + F.col("bin"))
+        done.append(packed.where("not open").select(*own, number.alias("sequence_id"), "offset", (F.col("gap") == 0).alias("certified")))
+        if last:
             break
-        groups, turn = -(-groups // FAN_IN), turn + 1
-        now = packed.where("open").select(*own, "length", "rid", "piece", (F.col("grp") / FAN_IN).cast("int").alias("grp"))
+        rest, before = packed.where("open"), groups
+        groups, turn = max(1, -(-rest.count() // GROUP)), turn + 1
+        last = groups == 1 or groups > before // 2 or turn == MOST_ROUNDS
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

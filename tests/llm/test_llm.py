@@ -306,6 +306,26 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0), path).count() == 0
 
 
+def test_ids_around_white_space():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, own, rng = Tokenizer.from_file(path), packing._load(path), random.Random(16)
+    blanks = [chr(i) for i in range(0x110000) if chr(i).isspace()] + list("\u180e\u200b\u200c\u2060\ufeff\0\x1c") + ["<|endoftext|>"]
+    words = ["a", "end.", "9", "'s", "é", "Next", "_", "\u0301", "漢", "!", ",x", "don't", "ab_"]
+    texts = ["a" + " \u00a0" * 3 + "b", "end.\u00a0 \u00a0 \u00a0 Next", " ", "  ", "a ", " a", "_ b", "\u0301 b"]
+    texts += ["".join(rng.choice(words) if rng.random() < 0.5 else rng.choice(blanks) if rng.random() < 0.4 else " " for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_packing_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 0, 300, "x", 5)] * 60, "doc_id long, piece int, length long, `offset` string, rid int")
+    got = packing.pack(df).collect()
+    assert len(got) == 60 and len({r["sequence_id"] for r in got}) == 20 and all(r["certified"] for r in got) and got[0]["rid"] == 5
+    assert packing.pack(df.limit(0)).count() == 0
+
+
 def test_bounds_and_exchange(spark, monkeypatch):
     rng = np.random.default_rng(8)
     for top in (12, 30, 100):
@@ -314,7 +334,6 @@ def test_bounds_and_exchange(spark, monkeypatch):
         assert np.bincount(bins, weights=sizes).max() <= 100 and packing.lower_bound(sizes, 100) <= bins.max() + 1
     assert packing.lower_bound(np.array([60, 60, 60]), 100) == 3 and packing.lower_bound(np.array([34] * 4), 100) == 2
     monkeypatch.setattr(packing, "GROUP", 50)
-    monkeypatch.setattr(packing, "FAN_IN", 3)
     sizes = rng.integers(1, 600, 700)
     got = packing.pack(spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(sizes)], "doc_id long, piece int, length long")).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(700))
