@@ -1,18 +1,25 @@
 """Embedding near-dedup by cover-tree dual traversal.
 
-Unit vectors of one label link when their cosine reaches the threshold, that is when
-their chord is at most sqrt(2 - 2 t).  A label's vectors are dealt to cells around
-centres (one level of a cover) and cells to blocks of bounded size; pairs of blocks whose
-cells lie too far apart by centre distance less radii never meet.  Two blocks that meet
-build a cover tree each, nested levels with halving radii, and walk both at once: a pair
-of nodes is dropped when its centres are farther apart than the chord and both radii,
-counted whole when every pair within must link, and opened otherwise.  Tasks return
-counts and the links of a spanning forest for each vector, never the pairs.
+Unit vectors of one label and length link when their cosine reaches the threshold, that is
+when their chord is at most sqrt(2 - 2 t).  The levels, from above:
+
+1. *Cells.*  Centres chosen farthest first from a sample; every vector goes to the nearest.
+   There are more of them as a label grows, up to what the sample supports.
+2. *Rings.*  Within a cell, vectors go by their distance from the centre, in steps of the
+   chord.  Pairs of cells, then pairs of rings are dropped where the triangle inequality
+   keeps them apart.  A ring is dealt to blocks of bounded size.
+3. *Trees.*  Each block builds its cover tree once: nested levels with halving radii.
+
+Two blocks that meet walk both trees at once: a pair of nodes is dropped when its centres
+are farther apart than the chord and both radii, counted whole when every pair within must
+link, and opened otherwise.  Tasks return counts and the links of a spanning forest for
+each vector, never the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import _matrix, usable
-from .components import components, smallest
-from .infra import cut, ship
+from .components import components
+from .infra import cut, discard, ship
 
-#: Vectors of the sample that centres come from; vectors in a block; cells of a label at most; members of a leaf.
-SAMPLE, BLOCK, MOST_CELLS, LEAF = 20_000, 2048, 64, 48
+#: Vectors of the sample that centres come from, and of it for a cell at least; vectors in a block; members of a leaf.
+SAMPLE, FOR_A_CELL, BLOCK, LEAF = 32_768, 16, 2048, 48
 _EPS = 1e-9
 
 
@@ -94,6 +101,11 @@ class _Links:
         for i, j in np.argwhere(hit).tolist():
             self.join(a[i], b[j])
 
+    def all_of(self, a: np.ndarray) -> None:
+        self.n[a] += len(a) - 1
+        for i in a[1:]:
+            self.join(i, a[0])
+
     def whole(self, a: np.ndarray, b: np.ndarray) -> None:
         self.n[a] += len(b)
         self.n[b] += len(a)
@@ -111,6 +123,9 @@ def walk(left: CoverTree, right: CoverTree | None, links: _Links, chord: float)
     while stack:
         a, b, same = stack.pop()
         if same:
+            if 2 * a[2] <= chord - _EPS:
+                links.all_of(a[1])
+                continue
             if not a[3]:
                 links.compare(a[1], a[1], True)
                 continue
@@ -141,24 +156,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _plant(table: pa.Table) -> pa.Table:
+    """A block as one row: its row ids, vectors and cover tree."""
+    table = table.sort_by("rid")
+    x = _matrix(table["vec"])
+    block = pickle.dumps((table["rid"].to_numpy(), x, CoverTree(_unit(x)).root), protocol=5)
+    keys = {c: table[c].slice(0, 1) for c in ("grp", "cell", "ring", "part")}
+    return pa.table({**keys, "block": pa.array([block], pa.binary())})
+
+
 def _meet(threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     chord = float(np.sqrt(2 - 2 * threshold))
 
-    def run(rows: pa.Table, others: pa.Table) -> pa.Table:
-        x = _matrix(rows["vec"])
-        ids = rows["vec_id"].to_numpy()
-        trees = [CoverTree(_unit(x))] if len(x) else []
-        if others.num_rows and len(x):
-            y = _matrix(others["vec"])
-            trees.append(CoverTree(_unit(y)))
-            x, ids = np.concatenate((x, y)), np.concatenate((ids, others["vec_id"].to_numpy()))
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        blocks = [pickle.loads(b) for t in (one, other) for b in t["block"].to_pylist()]  # noqa: S301 (written by _plant)
+        x, ids = (np.concatenate([b[i] for b in blocks]) for i in (1, 0))
+        trees = []
+        for _, m, root in blocks:
+            tree = CoverTree.__new__(CoverTree)
+            tree.x, tree.root = _unit(m), root
+            trees.append(tree)
         links = _Links(x, threshold)
-        if trees:
-            walk(trees[0], trees[1] if len(trees) > 1 else None, links, chord)
+        walk(trees[0], trees[1] if len(trees) > 1 else None, links, chord)
         hit = np.flatnonzero(links.n)
         e = np.array(links.edges, np.int64).reshape(-1, 2)
         return pa.table({
-            "vec_id": pa.array(np.concatenate((ids[hit], ids[e[:, 0]])), pa.int64()),
+            "rid": pa.array(np.concatenate((ids[hit], ids[e[:, 0]])), pa.int64()),
             "n": pa.array(np.concatenate((links.n[hit], np.zeros(len(e), np.int64))), pa.int64()),
             "other": pa.array([None] * len(hit) + ids[e[:, 1]].tolist(), pa.int64()),
         })
@@ -166,79 +189,86 @@ def _meet(threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
+def _centres(sample: pa.Table, total: int) -> dict[str, np.ndarray]:
+    """Centres of each group of the sample, farthest first: a cover whose radius falls."""
+    centres, groups = {}, np.array(sample["grp"].to_pylist(), object)
+    for g in sorted(set(groups.tolist())):
+        at = np.flatnonzero(groups == g)
+        cells = int(np.clip(total * len(at) / len(groups) // BLOCK, 1, max(1, len(at) // FOR_A_CELL)))
+        m = _unit(_matrix(sample["vec"].take(pa.array(at))))
+        chosen, d = [0], np.sqrt(((m - m[0]) ** 2).sum(1))
+        while len(chosen) < cells and d.max() > 1e-9:
+            chosen.append(int(np.argmax(d)))
+            d = np.minimum(d, np.sqrt(((m - m[chosen[-1]]) ** 2).sum(1)))
+        centres[g] = m[chosen]
+    return centres
+
+
 def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each id: vectors of its label linked directly, the smallest id reachable, and whether it is that one.
+    """(vec_id, n_links, component_id, kept) for each row: rows of its label linked directly, the smallest id reachable, and whether it is that one.
 
     Defined results: vectors that are null, zero or hold null or non-finite components, and
-    those with a null label, link with nothing; repeated rows of an id are one vector (the
-    smallest label and vector counts); a null id links with nothing, its component is null
-    and it is not kept; vectors of a label must have one length (others raise); other
-    columns are not read; an empty table gives an empty result.
+    those with a null label, link with nothing, nor do vectors of different lengths; a
+    repeated row is another vector, and links with its copy; a null id links with nothing,
+    its component is null and it is not kept; other columns are not read; an empty table
+    gives an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
-    vec = F.col(f"`{vec_col}`")
-    named = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").alias("label"), vec.alias("vec"))
-    one = named.groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("r")).select("vec_id", "r.label", "r.vec")
-    one = cut(one.withColumn("fit", usable(F.col("vec")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()), "vectors")
-    rows = one.where("fit").select("vec_id", F.col("label").cast("string").alias("label"), F.transform("vec", lambda v: v.cast("double")).alias("vec"))
-
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    total, centres = rows.count(), {}
-    if sample.num_rows:
-        labels, x = np.array(sample["label"].to_pylist()), sample["vec"]
-        for k in np.unique(labels):
-            at = np.flatnonzero(labels == k)
-            cells = int(np.clip(total * len(at) / len(labels) // BLOCK, 1, MOST_CELLS))
-            m = _unit(_matrix(x.take(pa.array(at))))
-            chosen, d = [0], np.sqrt(((m - m[0]) ** 2).sum(1))
-            while len(chosen) < cells and d.max() > 1e-9:  # farthest first: a cover whose radius falls
-                chosen.append(int(np.argmax(d)))
-                d = np.minimum(d, np.sqrt(((m - m[chosen[-1]]) ** 2).sum(1)))
-            centres[str(k)] = m[chosen]
-    held = spark.sparkContext.broadcast(centres)  # at most SAMPLE vectors
-
-    def assign(batches):
+    named = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vec_col}`").alias("vec"))
+    fit = usable(F.col("vec")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    # written, so that a row keeps its number when a task is run again
+    one = cut(named.select("vec_id", F.monotonically_increasing_id().alias("rid"), F.when(fit, F.concat(F.size("vec").cast("string"), F.lit(":"), "label")).alias("grp"), F.when(fit, F.col("vec")).alias("vec")), "vectors")
+    rows = one.where("grp is not null").select("rid", "grp", "vec")
+    sample = rows.orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).toArrow()
+    centres = _centres(sample, rows.count()) if sample.num_rows else {}
+    held = spark.sparkContext.broadcast(centres)  # at most SAMPLE / FOR_A_CELL vectors and one a group of the sample
+    chord = float(np.sqrt(2 - 2 * threshold))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            labels = b.column("label").to_pylist()
-            cell, dist = np.zeros(len(labels), np.int32), np.full(len(labels), 2.0)
-            m = b.column("vec")
             by: dict[str, list[int]] = {}
-            for i, k in enumerate(labels):
-                by.setdefault(k, []).append(i)
-            for k, at in by.items():
-                c = held.value.get(k)
-                if c is not None:
-                    u = _unit(_matrix(m.take(pa.array(at))))
-                    d = np.sqrt(np.maximum(2 - 2 * u @ c.T, 0))
+            for i, g in enumerate(b.column("grp").to_pylist()):
+                by.setdefault(g, []).append(i)
+            cell, dist = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for g, at in by.items():
+                c = held.value.get(g)
+                if c is not None:  # a group that the sample has no row of is one cell without a centre
+                    d = np.sqrt(np.maximum(2 - 2 * _unit(_matrix(b.column("vec").take(pa.array(at)))) @ c.T, 0))
                     cell[at], dist[at] = d.argmin(1), d.min(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], names=["vec_id", "label", "vec", "cell", "dist"])
-
-    dealt = rows.mapInArrow(assign, "vec_id long, label string, vec array<double>, cell int, dist double")
-    stats = dealt.groupBy("label", "cell").agg(F.count("*").alias("c"), F.max("dist").alias("r"))
-    chord = float(np.sqrt(2 - 2 * threshold))
-
-    def pairs(table: pa.Table) -> pa.Table:
-        t = table.sort_by("cell").to_pylist()
-        c = held.value.get(t[0]["label"]) if t else None
-        blocks = [(r, p) for r in t for p in range(-(-r["c"] // BLOCK))]
-        out = []
-        for i, (r, p) in enumerate(blocks):
-            for q, o in blocks[i:]:
-                if c is None or r is q or np.sqrt(((c[r["cell"]] - c[q["cell"]]) ** 2).sum()) - r["r"] - q["r"] <= chord + _EPS:
-                    out.append({"label": r["label"], "ca": r["cell"], "pa": p, "cb": q["cell"], "pb": o})
-        return pa.Table.from_pylist(out, schema=pa.schema([("label", pa.string()), *((k, pa.int32()) for k in ("ca", "pa", "cb", "pb"))]))
-
-    meets = cut(stats.groupBy("label").applyInArrow(pairs, "label string, ca int, pa int, cb int, pb int"), "meets")
-    parts = stats.select("label", "cell", F.ceil(F.col("c") / BLOCK).alias("np"))
-    placed = cut(dealt.drop("dist").join(parts, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(8)), F.col("np")).cast("int")).select("vec_id", "label", "vec", "cell", "part"), "placed")
-    key = ["label", "ca", "pa", "cb", "pb"]
-    a = meets.join(placed.withColumnsRenamed({"cell": "ca", "part": "pa"}), ["label", "ca", "pa"]).select(*key, "vec_id", "vec")
-    b = meets.where("ca <> cb or pa <> pb").join(placed.withColumnsRenamed({"cell": "cb", "part": "pb"}), ["label", "cb", "pb"]).select(*[F.col(c).alias(c) for c in (*key, "vec_id", "vec")])
-    found = cut(a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(_meet(threshold), "vec_id long, n long, other long"), "links")
-
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    label = smallest(components(found.where("other is not null").select("vec_id", "other"))).withColumnRenamed("vertex", "vec_id")
-    out = one.select("vec_id").join(counts, "vec_id", "left").join(label, "vec_id", "left")
-    group = F.coalesce("component", "vec_id")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist), pa.array((dist / chord).astype(np.int32))], names=["rid", "grp", "vec", "cell", "dist", "ring"])
+
+    vec_type = one.schema["vec"].dataType.simpleString()
+    dealt = cut(rows.mapInArrow(assign, f"rid long, grp string, vec {vec_type}, cell int, dist double, ring int"), "dealt")
+    rings = cut(dealt.groupBy("grp", "cell", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("np"), F.min("dist").alias("lo"), F.max("dist").alias("hi")), "rings")
+    placed = dealt.join(rings.select("grp", "cell", "ring", "np"), ["grp", "cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("rid", F.lit(8)), F.col("np")).cast("int"))
+    keys = ["grp", "cell", "ring", "part"]
+    blocks = cut(placed.select(*keys, "rid", "vec").groupBy(*keys).applyInArrow(_plant, "grp string, cell int, ring int, part int, block binary"), "blocks")
+
+    # cells of a group near enough to each other, rings of two such cells, and their blocks
+    pairs = []
+    for g, c in centres.items():
+        apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+        i, j = np.triu_indices(len(c))
+        pairs.append(pa.table({"grp": pa.array([g] * len(i)), "ca": pa.array(i.astype(np.int32)), "cb": pa.array(j.astype(np.int32)), "apart": pa.array(apart[i, j])}))
+    cells = spark.createDataFrame(pa.concat_tables(pairs)) if pairs else spark.createDataFrame([], "grp string, ca int, cb int, apart double")
+    lone = rings.where(~F.col("grp").isin(sorted(centres))).select("grp", F.col("cell").alias("ca"), F.col("cell").alias("cb"), F.lit(0.0).alias("apart")).distinct()
+    side = lambda s: rings.select("grp", F.col("cell").alias(f"c{s}"), F.col("ring").alias(f"r{s}"), F.col("np").alias(f"n{s}"), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}"))
+    gap = F.greatest(F.col("apart") - F.col("hia") - F.col("hib"), F.col("loa") - F.col("apart") - F.col("hib"), F.col("lob") - F.col("apart") - F.col("hia"))
+    near = cells.unionByName(lone).join(side("a"), ["grp", "ca"]).join(side("b"), ["grp", "cb"]).where(gap <= chord + 1e-6).where("ca < cb or ra <= rb")
+    same = (F.col("ca") == F.col("cb")) & (F.col("ra") == F.col("rb"))
+    some = near.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("pb", F.explode(F.sequence(F.when(same, F.col("pa")).otherwise(0), F.col("nb") - 1)))
+    key = ["grp", "ca", "ra", "pa", "cb", "rb", "pb"]
+    meets = cut(some.select(*key), "meets")
+    a = meets.join(blocks.withColumnsRenamed({"cell": "ca", "ring": "ra", "part": "pa"}), ["grp", "ca", "ra", "pa"]).select(*key, "block")
+    b = meets.where("ca <> cb or ra <> rb or pa <> pb").join(blocks.withColumnsRenamed({"cell": "cb", "ring": "rb", "part": "pb"}), ["grp", "cb", "rb", "pb"]).select(*[F.col(c).alias(c) for c in (*key, "block")])
+    found = cut(a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(_meet(threshold), "rid long, n long, other long"), "links")
+    discard(dealt, blocks)
+
+    counts = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
+    label = cut(components(found.where("other is not null").select("rid", "other")).withColumnRenamed("vertex", "rid"), "labels")
+    # written first: a join right above its aggregation could not split a large component
+    least = cut(label.join(one.select("rid", "vec_id"), "rid").groupBy("component").agg(F.min("vec_id").alias("low")), "least")
+    out = one.select("rid", "vec_id").join(counts, "rid", "left").join(label, "rid", "left").join(least, "component", "left")
+    group = F.coalesce("low", "vec_id")
     return out.select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), group.alias("component_id"), F.coalesce(group == F.col("vec_id"), F.lit(False)).alias("kept"))

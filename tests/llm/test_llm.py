@@ -123,11 +123,41 @@ def test_nearest_neighbours(spark):
     assert ann.search(few, few.where("vec_id = 0"), k=10).count() == 2
 
 
+def test_nearest_neighbours_probe_some_lists(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    centres = rng.standard_normal((300, 16))
+    x = (centres[rng.integers(0, 300, 6000)] + rng.standard_normal((6000, 16)) * 0.4).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in enumerate(x)], "vec_id long, embedding array<float>, list string")
+    monkeypatch.setattr(ann, "PART", 60)  # several parts of a list and groups of queries
+    monkeypatch.setattr(ann, "QUERIES", 20)
+    used, probes = [], ann._probes
+    monkeypatch.setattr(ann, "_probes", lambda x, c, k: used.append((len(c), probes(x, c, k))) or used[-1][1])
+    got = ann.search(df, df.where("vec_id % 100 = 0"), k=10).collect()
+    (lists, probed), x = used[0], x.astype(float)
+    assert lists == 77 and probed <= 0.4 * lists
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = set(np.lexsort((np.arange(6000), d))[:10].tolist())
+        mine = [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert len(mine) == 10 and sorted(mine, key=lambda i: (d[i], i)) == mine
+        hits += len(want & set(mine))
+    assert hits >= 0.9 * 600
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = [(i, [float(i), 1.0, 2.0]) for i in range(6)] + [(6, [1.0, 2.0]), (7, [0.0, 1.0, 2.0, 3.0, 4.0]), (8, []), (3, [3.0, 1.0, 2.0]), (0, [0.0, 1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(df, df.where("vec_id in (0, 6)"), k=9).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1), (0, 2), (0, 3), (0, 3), (0, 4), (0, 5)]
+
+
 def test_scan_keeps_what_is_near():
     rng = np.random.default_rng(6)
     x, q = rng.standard_normal((500, 64)), rng.standard_normal(64)
     d = np.sqrt(((x - q) ** 2).sum(1))
-    kept = ann.scan(q, x, float(np.sort(d)[9]))
+    kept = ann.scan(q, ann.column_blocks(x), float(np.sort(d)[9]))
     assert set(np.argsort(d)[:10]) <= set(kept) and len(kept) < 500
 
 
@@ -415,20 +445,34 @@ def test_covers(spark):
 # ---- op8
 
 
-def test_near_dedup(spark):
+def brute_near(rows, threshold=0.93):
+    """(vec_id, n_links, component_id, kept) of each row, from all pairs of rows."""
+    good = [(n, np.array(v, np.float32).astype(float), k) for n, (i, v, k) in enumerate(rows) if i is not None and k is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    edges = [(x[0], y[0]) for m, x in enumerate(good) for y in good[m + 1 :] if x[2] == y[2] and len(x[1]) == len(y[1]) and x[1] @ y[1] / (np.linalg.norm(x[1]) * np.linalg.norm(y[1])) >= threshold]
+    links, root = Counter(x for e in edges for x in e), brute_components(edges)
+    low = {}
+    for n, r in root.items():
+        low[r] = min(low.get(r, rows[n][0]), rows[n][0])
+    found = [(i, links[n], low[root[n]] if n in root else i) for n, (i, _, _) in enumerate(rows)]
+    return sorted(((i, n, c, i is not None and i == c) for i, n, c in found), key=str)
+
+
+def test_near_dedup(spark, monkeypatch):
     rng = np.random.default_rng(10)
     base = rng.standard_normal((60, 8))
     rows = [(i, (base[i % 60] * (1 + i % 3) + rng.standard_normal(8) * 0.15 * (i >= 60)).tolist(), i % 2) for i in range(500)]
-    rows += [(500, None, 0), (501, [0.0] * 8, 0), (502, [float("inf")] * 8, 0), (503, rows[0][1], None), (504, rows[0][1], 0), (504, rows[0][1], 0), (None, rows[0][1], 0)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    good = {i: (np.array(v, np.float32).astype(float), k) for i, v, k in rows if i is not None and k is not None and v and np.isfinite(v).all() and any(v)}
-    ids = sorted(good)
-    edges = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if good[a][1] == good[b][1] and good[a][0] @ good[b][0] / (np.linalg.norm(good[a][0]) * np.linalg.norm(good[b][0])) >= 0.93]
-    n, low = Counter(x for e in edges for x in e), brute_components(edges)
-    for i in {r[0] for r in rows} - {None}:
-        assert got[i] == (n[i], low.get(i, i), low.get(i, i) == i)
-    assert got[None] == (0, None, False) and edges
-    assert near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    rows += [(500, None, 0), (501, [0.0] * 8, 0), (502, [float("inf")] * 8, 0), (503, rows[0][1], None), (504, rows[0][1], 0), (504, rows[0][1], 0), (505, rows[0][1], None), (505, rows[0][1], 0), (None, rows[0][1], 0)]
+    rows += [(600 + i, rows[0][1][:5], 0) for i in range(3)] + [(700, [None, 1.0], 0), (701, [], 0), (702, rows[0][1], 9), (702, rows[0][1], 9)]
+    rows += [(800 + i, rows[7][1], 1) for i in range(150)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, rid string")
+    want = brute_near(rows)
+    assert any(n for _, n, _, _ in want)
+    for size in (2048, 40):  # one block a label; many cells, rings and blocks
+        monkeypatch.setattr("driftwell.llm.embedding_dedup.BLOCK", size)
+        assert sorted((tuple(r) for r in near_dedup(df).collect()), key=str) == want
+    monkeypatch.setattr("driftwell.llm.embedding_dedup.SAMPLE", 3)  # labels that the sample has no row of
+    assert sorted((tuple(r) for r in near_dedup(df).collect()), key=str) == want
+    assert near_dedup(df.limit(0)).count() == 0
 
 
 # ---- op9
