@@ -37,10 +37,12 @@ SPLIT, SPLIT_ONE = -4.0, -1.0
 TWICE = -12.0
 _N = 28  # a border, a to z, any other letter
 _SIGN = 28  # what is neither letter nor blank
-CACHE = 400_000
-STRETCHES = 200_000
-#: Searches of one short stretch from which a table of all its surroundings pays, and tables held at most (results don't depend on them).
-OFTEN, TABLES = 300, 96
+#: Tokens and stretches that a worker remembers; past that it starts anew (results don't depend on it).
+CACHE, STRETCHES = 400_000, 300_000
+#: Stretches alike, up to the letters around them, from which a table of all surroundings pays, and tables held at most (nor on these).
+OFTEN, TABLES = 1500, 64
+#: Characters of texts that are restored together.
+TOGETHER = 1 << 20
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TRIM = "\"'.,;:!?()[]{}<>|*#&%$@~-_`^/\\"
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
@@ -72,6 +74,14 @@ def _kinds() -> np.ndarray:
     return kind
 
 
+@lru_cache(maxsize=2)
+def _among(signs: str) -> np.ndarray:
+    """By code point: whether it is one of the signs."""
+    out = np.zeros(0x110000, bool)
+    out[[ord(x) for x in signs]] = True
+    return out
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -112,28 +122,32 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Trigrams(list):
-    """A language model as nested lists, which are quick to look up, and as an array; with what was decoded last."""
+    """A language model as nested lists, which are quick to look up, and as arrays; with what was decoded last."""
 
     table: np.ndarray
+    single: np.ndarray
+    by_last: np.ndarray
     found: tuple[dict[str, str | bool], dict[str, str | bool]]
     seen: Counter
-    stands: dict[str, np.ndarray]
+    tables: dict[int, tuple[str, np.ndarray]]
 
     @classmethod
     def of(cls, lm: list) -> Trigrams:
         if not isinstance(lm, cls):
             lm = cls(lm)
-            lm.table = np.asarray(lm, float)
-            lm.__setstate__({"table": lm.table})
+            lm.__setstate__({"table": np.asarray(lm, float)})
         return lm
 
     def __getstate__(self) -> dict:
         return {"table": self.table}
 
     def __setstate__(self, state: dict) -> None:
-        self.table, self.found, self.seen, self.stands = state["table"], ({}, {}), Counter(), {}
+        self.table, self.found, self.seen, self.tables = state["table"], ({}, {}), Counter(), {}
+        self.single = self.table.astype(np.float32)
+        self.by_last = np.ascontiguousarray(self.single.transpose(2, 0, 1))
 
 
+@lru_cache(maxsize=4096)
 def _options(ch: str, borders: bool = False, split: float = SPLIT) -> list[tuple[str, float]]:
     """What a character may stand for: a letter, nothing ('') or, with borders, a word border (' ')."""
     if _LETTER.match(ch):
@@ -148,10 +162,14 @@ def _options(ch: str, borders: bool = False, split: float = SPLIT) -> list[tuple
     return options + [(" ", 0.0)] * (borders and not category(ch).startswith("M"))
 
 
+_CLASS_OF = {" ": 0} | {x: i for i, x in enumerate(_LETTERS, 1)}
+
+
 def _class(x: str) -> int:
-    return ord(x) - 96 if "a" <= x <= "z" else 0 if x == " " else 27
+    return _CLASS_OF.get(x, 27)
 
 
+@lru_cache(maxsize=4096)
 def _costs(ch: str, again: float, split: float, borders: bool) -> tuple[np.ndarray, np.ndarray, dict[int, str], float]:
     """By class: what it costs to read ch as it, and to stay in a state that ends in it; what each class is read as; the cost of nothing."""
     cost, stay, names, nothing = np.full(_N, -np.inf), np.full(_N, -np.inf), {0: ch}, -np.inf
@@ -165,45 +183,83 @@ def _costs(ch: str, again: float, split: float, borders: bool) -> tuple[np.ndarr
     return cost, stay, names, nothing
 
 
-def _stands(middle: str, lm: np.ndarray) -> np.ndarray:
-    """For letters a, b before and c, d after a stretch (a unlike b, c unlike d, none of its letters like b or c): whether the likeliest reading leaves all as it is.
-
-    The search of _all_states, from all states at once.  A reading leaves the stretch as it
-    is if it keeps the letters and takes each sign for a border or for nothing, and one at
-    least of those between two letters for a border."""
-    free = [x for x in _LETTERS if x not in middle]
-    units = [free[0], free[1], *_UNITS.findall(middle), free[2], free[3]]
-    steps = list(zip(units, _drawn(units), _splits(units), strict=True))[2:-2]
-    out, every = np.zeros((_N, _N, _N, _N), bool), np.arange(1, _N)
-    for a in range(1, _N):
+def _stand(items: list[tuple[str, str, str]], lm: Trigrams) -> np.ndarray:
+    """For each (two letters, stretch, two letters): whether the likeliest reading of the stretch leaves it as it is.
+
+    The letters of a pair are unlike each other, and no letter of the stretch is like the
+    last before or the first after it; stretches have equal numbers of units.  This is the
+    search of _all_states for many stretches at once, without the way back.  A reading leaves
+    a stretch as it is if it keeps the letters and takes each sign for a border or for
+    nothing, and one at least of those between two letters for a border."""
+    table, out = lm.single, []
+    for part in (items[i : i + 16] for i in range(0, len(items), 16)):
+        n = np.arange(len(part))
+        a, b, c, d = ([_class(pair[i]) for pair in pairs] for pairs, i in (([x[0] for x in part], 0), ([x[0] for x in part], 1), ([x[2] for x in part], 0), ([x[2] for x in part], 1)))
+        c = np.array(c)
+        steps = [_steps(x[1]) for x in part]
+        best = np.full((len(part), _N, _N), -np.inf, np.float32)
+        best[n, a, b] = 0
+        kept = best.copy()
+        for t in range(len(steps[0][1])):
+            cost, stay = (np.array([x[0][t][j] for x in steps], np.float32)[:, None] for j in (0, 1))
+            letter = np.array([-1 if x[1][t] is None else x[1][t] for x in steps])
+            # a border since the last letter
+            close = (letter >= 0) & np.array([t > 0 and x[1][t - 1] is None for x in steps])
+            kept[close, :, 1:] = -np.inf
+            k = np.maximum(letter, 0)
+            moved = (kept + lm.by_last[k]).max(1) + cost[n, 0, k][:, None]
+            kept = np.where(letter[:, None, None] >= 0, -np.inf, kept + np.array([x[0][t][3] for x in steps], np.float32)[:, None, None]).astype(np.float32)
+            kept[n, :, k] = np.maximum(kept[n, :, k], moved)
+            best = np.maximum((best[:, :, :, None] + table).max(1) + cost, best + stay)
+        kept[np.array([x[1][-1] is None for x in steps]), :, 1:] = -np.inf
+        final = []
+        for p in (kept, best):
+            q = np.maximum((p + lm.by_last[c]).max(1), np.where((c < 27)[:, None], p[n, :, c] + np.float32(TWICE), -np.inf))
+            final.append((q + table[:, c, d].T).max(1))
+        out.append(final[0] >= final[1])
+    return np.concatenate(out)
+
+
+def _table(middle: str, lm: Trigrams) -> np.ndarray:
+    """_stand of a stretch for all classes of letters around it."""
+    one, out, table = np.arange(1, _N), np.zeros((_N, _N, _N, _N), bool), lm.single
+    steps, keeps = _steps(middle)
+    for a in one:
         scores = []
         for kept in (True, False):
-            p = np.full((_N - 1, _N, _N), -np.inf)
-            p[every - 1, a, every], last_sign = 0.0, False
-            for ch, again, split in steps:
-                cost, stay, _, nothing = _costs(ch, again, split, True)
-                if not kept:
-                    p = np.maximum((p[:, :, :, None] + lm[None]).max(1) + cost, p + stay)
-                    continue
-                if letter := _LETTER.match(ch):
-                    if last_sign:
-                        p[:, :, 1:] = -np.inf  # no border since the last letter
-                    k = _class(ch)
-                else:
-                    k = 0
-                q = np.full_like(p, -np.inf)
-                q[:, :, k] = (p + lm[None, :, :, k]).max(1) + cost[k]
-                p, last_sign = (q, False) if letter else (np.maximum(q, p + nothing), True)
-            if kept and last_sign:
-                p[:, :, 1:] = -np.inf
-            q = p.copy()
-            p = (p[:, :, :, None] + lm[None]).max(1)
-            p[:, :, 1:27] = np.maximum(p[:, :, 1:27], q[:, :, 1:27] + TWICE)
-            scores.append((p[:, :, :, None] + lm[None]).max(1))
+            p = np.full((_N - 1, _N, _N), -np.inf, np.float32)
+            p[one - 1, a, one] = 0.0
+            p = _after(p, steps, keeps if kept else None, lm)
+            q = (p[:, :, :, None] + table).max(1)
+            q[:, :, 1:27] = np.maximum(q[:, :, 1:27], p[:, :, 1:27] + np.float32(TWICE))
+            scores.append((q[:, :, :, None] + table).max(1))
         out[a, 1:] = scores[0] >= scores[1]
     return out
 
 
+def _steps(middle: str) -> tuple[list[tuple], list[int | None]]:
+    """Costs of each unit of a stretch between letters that it does not hold, and the class of each that is a letter."""
+    free = [x for x in _LETTERS if x not in middle]
+    units = [free[0], free[1], *_UNITS.findall(middle), free[2], free[3]]
+    steps = [_costs(ch, again, split, True) for ch, again, split in zip(units, _drawn(units), _splits(units), strict=True)]
+    return steps[2:-2], [_class(ch) if _LETTER.match(ch) else None for ch in units[2:-2]]
+
+
+def _after(p: np.ndarray, steps: list[tuple], keeps: list[int | None] | None, lm: Trigrams) -> np.ndarray:
+    """The scores of all states after the units of a stretch; with keeps, by readings that leave it as it is."""
+    for i, (cost, stay, _, nothing) in enumerate(steps):
+        q = np.full_like(p, -np.inf)
+        letter = None if keeps is None else keeps[i]
+        if letter is not None and i and keeps[i - 1] is None:
+            p[:, :, 1:] = -np.inf  # a border since the last letter
+        for k in np.flatnonzero(np.isfinite(cost)) if keeps is None else [letter or 0]:
+            q[:, :, k] = (p + lm.by_last[k]).max(1) + np.float32(cost[k])
+        p = np.maximum(q, p + stay.astype(np.float32)) if keeps is None else q if letter is not None else np.maximum(q, p + np.float32(nothing))
+    if keeps and keeps[-1] is None:
+        p[:, :, 1:] = -np.inf
+    return p
+
+
 def _all_states(states: dict, units: list[str], drawn: list[float], splits: list[float], i: int, lm: np.ndarray, borders: bool, end: float) -> tuple:
     """The rest of a search from unit i on, over the array of all states; what is read, as a linked list."""
     p, rows, back = np.full((_N, _N), -np.inf), np.arange(_N), []
@@ -273,7 +329,7 @@ def _search(before: str, middle: str, after: str, lm: Trigrams, borders: bool) -
     states = {(_class(before[0]), _class(before[1])) if before else (0, 0): (0.0, None, before[-1:])}
     short = _LONG_RUN.sub(r"\1", middle)
     units, end = [*before, *_UNITS.findall(short), *after], 0.0 if after else 1.0
-    costs, splits = _drawn(units), _splits(units)
+    costs, splits, class_of = _drawn(units), _splits(units), _CLASS_OF.get
     for i in range(len(before), len(units)):
         ch, drawn = units[i], costs[i]
         options = _options(ch, borders, splits[i])
@@ -287,7 +343,7 @@ def _search(before: str, middle: str, after: str, lm: Trigrams, borders: bool) -
                 if not x:
                     key, value = (a, b), (p + cost, (out, "\0" + ch), last)
                 else:
-                    c = _class(x)
+                    c = class_of(x, 27)
                     key, value = (b, c), (p + cost + row[c], (out, x if c else ch), x)
                     if x == last and c:  # drawn out: no new letter
                         k, v = (a, b), (p + cost + drawn, out, last)
@@ -319,72 +375,102 @@ def _search(before: str, middle: str, after: str, lm: Trigrams, borders: bool) -
     return middle + after[:1] if got == short + after[:1] else got
 
 
-def _stretches(text: str, lm: Trigrams) -> Iterator[tuple[int, int, int]]:
-    """(start, end, next) of what lies between pairs of unlike letters, wherever it may be read otherwise than it stands.
+def _stretches(texts: list[str], lm: Trigrams) -> list[list[list[int]]]:
+    """Of each text, [start, end, next, easy] of what lies between pairs of unlike letters, wherever it may be read otherwise than it stands.
 
     After two unlike letters the search has one state, so what lies between two such pairs
     is decided for itself: text[start:end], given two letters before and two from end on
-    (next is 0, 1 or 2: how many of those there are).  Double letters and blanks are
-    settled for all places at once."""
-    u = _points(text)
+    (next is 0 or 2: how many of those there are).  Double letters, blanks and what there is
+    a table for are settled for all places at once; easy ones among the others can be, by
+    _stand."""
+    whole = "\0".join(texts)
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    u = _points(whole)
     k = _kinds()[u]
     letter = (k >= 1) & (k <= 27)
     pin = np.flatnonzero(letter[1:] & letter[:-1] & (u[1:] != u[:-1])) + 1
-    if not len(pin):
-        yield 0, len(text), 0
-        return
-    if pin[0] > 1:
-        yield 0, int(pin[0]) - 1, 2
-    gap = np.flatnonzero(np.diff(pin) > 1)
-    s, e = pin[gap], pin[gap + 1]
+    of = np.searchsorted(bounds, pin, side="right") - 1
+    gap = np.flatnonzero((np.diff(pin) > 1) & (of[1:] == of[:-1]))
+    s, e, of_gap = pin[gap], pin[gap + 1], of[gap]
     a, b, c, d = k[s - 1].astype(np.int64), k[s].astype(np.int64), k[e - 1].astype(np.int64), k[e].astype(np.int64)
     t, known = lm.table, (b < 27) | (c < 27) | (u[s] != u[e - 1])  # a letter may be drawn out if it is the same
     double = (e == s + 2) & (t[a, b, b] + t[b, b, d] >= t[a, b, d] + TWICE)
     blank = known & (e == s + 3) & (k[s + 1] == 0)
     blank &= t[a, b, 0] + t[b, 0, c] + t[0, c, d] >= SPLIT + np.maximum(t[a, b, c] + t[b, c, d], np.where(b == c, TWICE + t[a, b, d], -np.inf))
     left = np.flatnonzero(~(double | blank))
-    for i, j, n, *place in np.c_[s, e, known, a, b, c, d][left].tolist():
-        if n and 2 < j - i < 12:
-            middle = text[i + 1 : j - 1]
-            stands = lm.stands.get(middle)
-            if stands is not None:
-                if stands[*place] and text[i] not in middle and text[j - 1] not in middle:
-                    continue
-            elif len(lm.stands) < TABLES and sum(x > "z" and _LETTER.match(x) is not None for x in middle) < 2:
-                lm.seen[middle] += 1
-                if lm.seen[middle] >= OFTEN:
-                    lm.stands[middle] = _stands(middle, lm.table)
-        yield i + 1, j - 1, 2
-    if pin[-1] + 1 < len(text):
-        yield int(pin[-1]) + 1, len(text), 0
-
-
-def _short_stretches(text: str) -> Iterator[tuple[int, int, int]]:
+    s, e, a, b, c, d = (x[left] for x in (s, e, a, b, c, d))
+    easy, size = known[left] & (e - s > 2) & (e - s < 34), e - s - 2
+    # short ones by tables: up to four characters of 16 bits make a number
+    code = np.zeros(len(s), np.uint64)
+    for i in range(4):
+        code |= np.where(i < size, u[np.minimum(s + 1 + i, len(u) - 1)], 0).astype(np.uint64) << np.uint64(16 * i)
+    small, stay = np.flatnonzero(easy & (size <= 4) & (int(u.max(initial=0)) < 1 << 16)), np.zeros(len(s), bool)
+    small = small[np.argsort(code[small], kind="stable")]
+    numbers, first = np.unique(code[small], return_index=True)
+    for number, i, j in zip(numbers.tolist(), first.tolist(), [*first[1:].tolist(), *[len(small)] * (len(small) > 0)], strict=True):
+        at, known_as = small[i:j], lm.tables.get(number)
+        if known_as is None:
+            lm.seen[number] += j - i
+            middle = whole[s[at[0]] + 1 : e[at[0]] - 1]
+            if lm.seen[number] < OFTEN or len(lm.tables) >= TABLES or sum(x > "z" and _LETTER.match(x) is not None for x in middle) > 1:
+                continue
+            known_as = lm.tables[number] = middle, _table(middle, lm)
+        middle, table = known_as
+        ok = table[a[at], b[at], c[at], d[at]]
+        for x in filter(_LETTER.match, middle):
+            ok &= (u[s[at]] != ord(x)) & (u[e[at] - 1] != ord(x))
+        stay[at] = ok
+    rest = np.flatnonzero(~stay)
+    of_gap, base = of_gap[left][rest], bounds[of_gap[left][rest]]
+    rows = np.stack((s[rest] + 1 - base, e[rest] - 1 - base, np.full(len(rest), 2), easy[rest]), 1).tolist()
+    ends, lo, hi = np.searchsorted(of_gap, np.arange(len(texts) + 1)), np.searchsorted(of, np.arange(len(texts))), np.searchsorted(of, np.arange(len(texts)), side="right")
+    out = []
+    for i, text in enumerate(texts):
+        mine = rows[ends[i] : ends[i + 1]]
+        if lo[i] == hi[i]:
+            out.append([[0, len(text), 0, 0]] if text else [])
+            continue
+        start, stop = int(pin[lo[i]] - bounds[i]), int(pin[hi[i] - 1] - bounds[i])
+        head = [[0, start - 1, 2, 0]] if start > 1 else []
+        out.append(head + mine + ([[stop + 1, len(text), 0, 0]] if stop + 1 < len(text) else []))
+    return out
+
+
+def _short_stretches(text: str) -> list[list[int]]:
     """The same for a token: all that lies between pairs of unlike letters."""
-    end = 0
+    end, out = 0, []
     for m in _CHAIN.finditer(text):
         if m.start() > end or end:
-            yield end, m.start(), 2
+            out.append([end, m.start(), 2, 0])
         end = m.end()
-    if end < len(text) or not end:
-        yield end, len(text), 0
+    return out if end and end == len(text) else [*out, [end, len(text), 0, 0]]
 
 
-def restore(text: str, lm: list, borders: bool = False) -> str:
-    """The likeliest letters behind a token ('' if there are none); with borders, behind a text, with the signs, blanks and capitals that are no disguise.
+def _key(text: str, start: int, end: int, after: int) -> str:
+    return f"{text[max(0, start - 2) : end + after]}{'' if start else chr(0)}{after}"
 
-    Letters between pairs of unlike letters are searched for one stretch after the other,
-    which gives what a search of the whole text gives.  Time is linear in the text; a line
-    of 32 signs and more is a border."""
-    lm = Trigrams.of(lm)
-    if borders and _RULE.search(text):
-        return "".join(x if i % 2 else restore(x, lm, True) if x else x for i, x in enumerate(_RULE.split(text)))
-    shown, text = text, text.lower()
-    if not borders or len(shown) != len(text):
-        shown = text
+
+def _settle(texts: list[str], stretches: list[list[list[int]]], lm: Trigrams) -> None:
+    """Remembers which easy stretches of the texts, not seen before, are to be left as they are."""
+    found, fresh = lm.found[True], {}
+    if len(found) >= STRETCHES:
+        found.clear()
+    for text, mine in zip(texts, stretches, strict=True):
+        for start, end, after, easy in mine:
+            if easy and (key := _key(text, start, end, after)) not in found and key not in fresh:
+                fresh[key] = (text[start - 2 : start], text[start:end], text[end : end + 2])
+    by: dict[int, list[str]] = {}
+    for key, (before, middle, after) in fresh.items():
+        if before[1] not in middle and after[0] not in middle and sum(x > "z" and _LETTER.match(x) is not None for x in middle) < 2:
+            by.setdefault(len(_UNITS.findall(middle)), []).append(key)
+    for keys in by.values():
+        found.update((x, False) for x, stays in zip(keys, _stand([fresh[x] for x in keys], lm).tolist(), strict=True) if stays)
+
+
+def _read(shown: str, text: str, stretches: list[list[int]], lm: Trigrams, borders: bool) -> str:
     found, out, done = lm.found[borders], [], 0
-    for start, end, after in _stretches(text, lm) if borders else _short_stretches(text):
-        key = f"{text[max(0, start - 2) : end + after]}{'' if start else chr(0)}{after}"
+    for start, end, after, _ in stretches:
+        key = _key(text, start, end, after)
         got = found.get(key)
         if got is None:
             got = _search(text[start - 2 : start] if start else "", text[start:end], text[end : end + after], lm, borders)
@@ -396,7 +482,41 @@ def restore(text: str, lm: list, borders: bool = False) -> str:
         if got is not False:
             out += shown[done:start], got
             done = end + (after > 0)
-    return "".join((*out, shown[done:]))
+    return "".join((*out, shown[done:])) if out else shown
+
+
+def restored(texts: list[str], lm: list) -> list[str]:
+    """The texts with their disguised words restored; signs, blanks and capitals that are no disguise stay.
+
+    Letters between pairs of unlike letters are searched for one stretch after the other,
+    which gives what a search of a whole text gives.  Time is linear in the text; a line of
+    32 signs and more is a border."""
+    lm, plain, cut_up = Trigrams.of(lm), [], {}
+    for i, text in enumerate(texts):
+        if _RULE.search(text):
+            parts = _RULE.split(text)
+            cut_up[i] = (parts, len(plain))
+            plain += parts[::2]
+        else:
+            cut_up[i] = (None, len(plain))
+            plain.append(text)
+    low = [t.lower() for t in plain]
+    stretches = _stretches(low, lm) if low else []
+    _settle(low, stretches, lm)
+    read = [_read(x if len(x) == len(y) else y, y, st, lm, True) for x, y, st in zip(plain, low, stretches, strict=True)]
+    out = []
+    for i in range(len(texts)):
+        parts, at = cut_up[i]
+        if parts:
+            parts[::2] = read[at : at + (len(parts) + 1) // 2]
+        out.append("".join(parts) if parts else read[at])
+    return out
+
+
+def restore(text: str, lm: list, borders: bool = False) -> str:
+    """The likeliest letters behind a token ('' if there are none); with borders, a text restored."""
+    lm = Trigrams.of(lm)
+    return restored([text], lm)[0] if borders else _read(text, text, _short_stretches(text), lm, False)
 
 
 def readings(token: str, lm: list) -> list[str]:
@@ -414,20 +534,42 @@ def readings(token: str, lm: list) -> list[str]:
     lefts = {0, len(token) - len(token.lstrip(_OPENING)), bare}
     rights = {len(token), len(token.rstrip(_CLOSING)), next((i for i in range(len(token), 0, -1) if token[i - 1].isalnum()), 0)}
     found = [restore(x, lm) if _ODD.search(x) else x for x in (token[i:j] for i in sorted(lefts) for j in sorted(rights) if i < j)]
-    found += _WORDS.findall(restore(token, lm, True).lower())
+    found += _WORDS.findall(_read(token, token, _short_stretches(token), lm, True))
     return list(dict.fromkeys(found + [plain] * plain.isalpha()))
 
 
 def spaced(text: str) -> list[str]:
     """Runs of three and more single characters set apart, each as one token; the lattice reads their blanks too, as borders or not."""
+    apart = np.concatenate(([True], _among(" \t\n\r.*_-")[_points(text)], [True]))
+    edge = np.flatnonzero(apart[1:] != apart[:-1])  # bounds of what stands between separators
+    single = (edge[1:] - edge[:-1])[::2] == 1
+    if not (single[2:] & single[1:-1] & single[:-2]).any():
+        return []
     return [re.sub(r"[ \t]+", "", m) for m in _SPACED.findall(text)]
 
 
-def odd_tokens(tokens: Iterable[str], drawn_out: bool) -> Iterator[str]:
-    """Those with a sign or a digit, but for stops and quotes at their ends, or (if any token has) a letter drawn out."""
-    for t in tokens:
-        if not (t if t.isalpha() else t.strip(_STOPS)).isalpha() or "µ" in t or (drawn_out and _DRAWN.search(t)):
-            yield t
+def odd_tokens(text: str) -> set[str]:
+    """Tokens with a sign or a digit, but for stops and quotes at their ends, or with a letter drawn out."""
+    if not text:
+        return set()
+    u = _points(text)
+    k = _kinds()[u]
+    letter = (k >= 1) & (k <= 27)
+    odd = k == _SIGN
+    stop = _among(_STOPS)[u]
+    stop[1:] &= letter[:-1]
+    stop[:-1] &= k[1:] != 0
+    stop[0] = stop[-1] = False
+    odd &= stop | ~_among(_STOPS)[u]
+    same = u[1:] == u[:-1]
+    odd[2:] |= same[1:] & same[:-1] & letter[2:]
+    at = np.flatnonzero(odd)
+    if not len(at):
+        return set()
+    blank = np.concatenate(([-1], np.flatnonzero(k == 0), [len(text)]))
+    ends = np.unique(np.searchsorted(blank, at))
+    found = {text[i:j] for i, j in zip((blank[ends - 1] + 1).tolist(), blank[ends].tolist(), strict=True)}
+    return {t for t in found if not t.strip(_STOPS).isalpha() or _DRAWN.search(t) or "µ" in t}
 
 
 def grams(word: str) -> list[str]:
@@ -435,11 +577,10 @@ def grams(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in (4, 5, 6) if len(word) >= k)] if len(word) >= 3 else []
 
 
-def words_of(text: str, lm: list) -> set[str]:
-    """All words of a text, in lower case: as they stand, as the lattice restores the text, and the readings of odd tokens and of letters set apart."""
-    tokens = set(text.split())
-    words = {w.lower() for w in _WORDS.findall(text)} | {w.lower() for w in _WORDS.findall(restore(text, lm, True))}
-    for t in odd_tokens(tokens, _DRAWN.search(text) is not None):
+def words_of(text: str, fixed: str, lm: list) -> set[str]:
+    """All words of a text, in lower case: as they stand, as the lattice restored the text, and the readings of odd tokens and of letters set apart."""
+    words = {w.lower() for w in _WORDS.findall(text)} | {w.lower() for w in _WORDS.findall(fixed)}
+    for t in odd_tokens(text):
         words.update(readings(t, lm))
     for t in spaced(text):
         for w in (t, t[1:], t[:-1]):  # a one-letter word may stand beside a run
@@ -485,23 +626,23 @@ class ToxicityModel:
     def _candidates(self, text: str) -> set[str]:
         """The words of a text, in lower case, that begin like a feature with evidence does; others have none."""
         text = text.lower()
-        c = np.r_[0, letter_classes(text), 0, 0]
+        c = letter_classes(f" {text}   ")
         start = np.flatnonzero((c[:-3] == 0) & (c[1:-2] > 0))
-        start = start[self.begins[(c[start + 1] * _N + c[start + 2]) * _N + np.r_[c, 0][start + 3]]]
+        start = start[self.begins[(c[start + 1] * _N + c[start + 2]) * _N + c[start + 3]]]
         if not len(start):
             return set()
         stop = np.flatnonzero(c == 0)
         stop = stop[np.searchsorted(stop, start + 1)]
         return {text[i:j] for i, j in zip(start.tolist(), (stop - 1).tolist(), strict=True)}
 
-    def features(self, text: str) -> np.ndarray:
-        """The three strongest evidences of distinct words, and how many there are and their share (as logarithms)."""
-        tokens, fixed = set(text.split()), restore(text, self.lm, True)
+    def features(self, text: str, fixed: str | None = None) -> np.ndarray:
+        """The three strongest evidences of distinct words, and how many there are and their share (as logarithms); fixed: the text as restored."""
+        fixed = restore(text, self.lm, True) if fixed is None else fixed
         words = self._candidates(text)
         if fixed != text:
             words |= self._candidates(fixed)
         held = {w: self.of_word(w) for w in words}
-        for t in odd_tokens(tokens, _DRAWN.search(text) is not None):
+        for t in odd_tokens(text):
             x = t[:3].lower()
             # three letters, each unlike the next, are read as they stand
             if len(x) == 3 and x.isalpha() and x[0] != x[1] != x[2] and x not in self.starts and "µ" not in x:
@@ -514,7 +655,11 @@ class ToxicityModel:
                 held[w] = e
         strong = sorted((e for e in held.values() if e > 0), reverse=True)
         top = (strong + [0.0, 0.0, 0.0])[:3]
-        return np.array([*top, np.log1p(len(strong)), np.log1p(100 * len(strong) / (len(tokens) + 20))])
+        return np.array([*top, np.log1p(len(strong)), np.log1p(100 * len(strong) / (len(set(text.split())) + 20))])
+
+    def all_features(self, texts: list[str]) -> np.ndarray:
+        rows = [self.features(t, f) for _, part in chunks(texts, TOGETHER) for t, f in zip(part, restored(part, self.lm), strict=True)]
+        return np.array(rows).reshape(len(texts), 5)
 
 
 def _evidence(sample: DataFrame, lm: list) -> dict[str, float]:
@@ -524,8 +669,10 @@ def _evidence(sample: DataFrame, lm: list) -> dict[str, float]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[y].update({g for w in words_of(text, held.value) for g in grams(w)})
+            labels = b.column(1).to_pylist()
+            for at, part in chunks(b.column(0).to_pylist(), TOGETHER):
+                for text, fixed, y in zip(part, restored(part, held.value), labels[at : at + len(part)], strict=True):
+                    seen[y].update({g for w in words_of(text, fixed, held.value) for g in grams(w)})
         for y, n in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([y] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["gram", "y", "n"])
 
@@ -552,7 +699,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = [held.value.features(t).tolist() for t in b.column(0).to_pylist()]
+                x = held.value.all_features(b.column(0).to_pylist()).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
         rows = sample.where("f <> 0").select("text", "y").mapInArrow(measure, "x array<double>, y int").collect()
@@ -586,10 +733,10 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: st
         m = held.value
         for b in batches:
             texts = [x or "" for x in b.column(place).to_pylist()]
-            p = probability(m.curve, np.array([m.features(t) for t in texts])) if texts else np.zeros(0)
+            p = probability(m.curve, m.all_features(texts))
             cols = [*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             if with_text:
-                cols.append(pa.array([restored_text(t, m) for t in texts], pa.string()))
+                cols.append(pa.array([t for _, part in chunks(texts, TOGETHER) for t in restored(part, m.lm)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *new])
 
     thin = docs.select(*[f"`{c}`" for c in keep])

@@ -102,8 +102,8 @@ class Words:
         return self.doc[: n - k + 1] == self.doc[k - 1 :] if n >= k else np.zeros(0, dtype=bool)
 
 
-def chunks(texts: Iterable[bytes], most_bytes: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, texts) so that each chunk has about most_bytes; a longer text is a chunk of its own."""
+def chunks(texts: Iterable, most_bytes: int = 1 << 21) -> Iterator[tuple[int, list]]:
+    """(index of the first, texts) so that each chunk has about most_bytes (of strings: characters); a longer text is a chunk of its own."""
     start, size, held = 0, 0, []
     for i, t in enumerate(texts):
         if held and size + len(t) > most_bytes:

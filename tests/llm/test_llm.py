@@ -247,18 +247,19 @@ def test_words_set_apart():
         assert toxicity.restore(text, lm, True) == toxicity._search("", text, "", toxicity.Trigrams.of(lm), True)
 
 
-def test_restoring_by_stretches_is_the_whole_search(monkeypatch):
-    monkeypatch.setattr(toxicity, "OFTEN", 4)  # tables from the start
+def test_restoring_by_stretches_is_the_whole_search():
     text = "  the idiot and the moron are a stupid people and you moron, the scum! a worthless trash is the scum. été à la fête où le garçon a été; " * 50
     lm = toxicity.Trigrams.of(toxicity.language_model(np.bincount((c := toxicity.letter_classes(text))[2:] + 28 * c[1:-1] + 784 * c[:-2], minlength=28**3)).tolist())
-    rng = random.Random(15)
-    for i in range(600):
+    rng, texts = random.Random(15), []
+    for i in range(900):
         if i % 2:
             t = "".join(rng.choice("aabdeeiot  oé.,!*1$-é\n") for _ in range(rng.randrange(1, 14)))
         else:
             t = " ".join((rng.choice(text.split()) if rng.random() < 0.7 else rng.choice("aé!b")) + rng.choice(["", "", " ", ",", "%%"]) for _ in range(4))
-        assert toxicity.restore(t.title(), lm, True).lower() == toxicity._search("", t.title().lower(), "", lm, True).lower()
-    assert lm.stands
+        texts.append(t.title())
+    for t, got in zip(texts, toxicity.restored(texts, lm), strict=True):
+        assert got.lower() == toxicity._search("", t.lower(), "", lm, True).lower(), t
+    assert toxicity.restored(["a " + "-" * 40 + " b1g", "", "x"], lm)[1:] == ["", "x"]
 
 
 def test_time_is_linear(spark):
