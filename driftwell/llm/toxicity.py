@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .infra import ship
+from .infra import cut, ship
 from .labelled import logistic, probability, training_sample
 from .wordhash import chunks
 
@@ -37,6 +37,8 @@ SPLIT, SPLIT_ONE = -4.0, -1.0
 TWICE = -12.0
 _N = 28  # a border, a to z, any other letter
 _SIGN = 28  # what is neither letter nor blank
+#: Deviations by which evidence must exceed chance.
+SURE = 3.5
 #: Tokens and stretches that a worker remembers; past that it starts anew (results don't depend on it).
 CACHE, STRETCHES = 400_000, 300_000
 #: Stretches alike, up to the letters around them, from which a table of all surroundings pays, and tables held at most (nor on these).
@@ -677,12 +679,14 @@ def _evidence(sample: DataFrame, lm: list) -> dict[str, float]:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([y] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["gram", "y", "n"])
 
     first = sample.where("f = 0")
-    total = {r["y"]: r["n"] for r in first.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ones, zeros = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0))
-    grams_ = first.select("text", "y").mapInArrow(count, "gram string, y int, n long").groupBy("gram").agg(ones.alias("k"), zeros.alias("k0"))
-    # documents of each class that hold the feature, with a prior that keeps rare ones silent
-    e = F.log((F.col("k") + 0.5) / (total.get(1, 0) + 1)) - F.log((F.col("k0") + 1.0) / (total.get(0, 0) + 1))
-    strong = grams_.where("k >= 3").withColumn("e", e).where("e > 1.5")
+    counts = cut(first.select("text", "y").mapInArrow(count, "gram string, y int, n long").groupBy("gram").agg(ones.alias("k"), zeros.alias("k0")), "grams")
+    sums = counts.agg(F.sum("k").alias("k"), F.sum("k0").alias("k0")).first()
+    # documents of each class that hold the feature, with a prior that keeps rare ones silent,
+    # against what any feature's share is: toxic texts may just be longer
+    e = F.log((F.col("k") + 0.5) / ((sums["k"] or 0) + 1)) - F.log((F.col("k0") + 1.0) / ((sums["k0"] or 0) + 1))
+    sure = F.col("e") >= SURE * F.sqrt(1 / (F.col("k") + 0.5) + 1 / (F.col("k0") + 1.0))
+    strong = counts.where("k >= 3").withColumn("e", e).where("e > 1.5").where(sure)
     return {r["gram"]: r["e"] * r["k"] / (r["k"] + 2) for r in strong.collect()}  # of a bounded sample
 
 
