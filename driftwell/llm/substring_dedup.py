@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .infra import as_bytes, blobs, bucket_of, cut, joined, n_buckets, row_id, ship
+from .infra import as_bytes, blobs, bucket_of, by_key, counted, cut, gathered, joined, n_buckets, n_keys, row_id, ship
 from .wordhash import Words
 
 #: Perfect difference covers: period -> residues whose differences give every residue. Fixed values.
@@ -38,12 +38,14 @@ def period_for(window: int) -> int:
     return max(p for p in COVERS if p == 1 or window - p + 1 >= max(1, window // 2 - 3))
 
 
-def _send(src: int, h1: np.ndarray, h2: np.ndarray, at: np.ndarray, n_keys: int) -> pa.Table:
-    """One record for each distinct fingerprint; the rest of its places are known to repeat."""
+def _send(src: int, h1: np.ndarray, h2: np.ndarray, at: np.ndarray, n_keys: int, repeated: np.ndarray | None = None) -> pa.Table:
+    """One record for each distinct fingerprint; the rest of its places are known to repeat, and so are repeated ones."""
     order = np.lexsort((h2, h1))
     h1, h2, at = h1[order], h2[order], at[order]
     new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])] if len(h1) else np.zeros(0, bool)
     size = np.diff(np.r_[np.flatnonzero(new), len(h1)])
+    if repeated is not None and len(h1):
+        size = size + np.maximum.reduceat(repeated[order].astype(np.int64), np.flatnonzero(new))
     rec = np.zeros(int(new.sum()), dtype=_REC)
     rec["a"], rec["b"], rec["c"] = h1[new] >> np.uint64(32), (h1[new] >> np.uint64(16)).astype(np.uint16), h2[new] >> np.uint64(32)
     rec["at"], rec["twice"] = at[new], size > 1
@@ -58,14 +60,11 @@ def _send(src: int, h1: np.ndarray, h2: np.ndarray, at: np.ndarray, n_keys: int)
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per key bucket (rows come sorted by it): the places of fingerprints that came more than once, by bucket of origin."""
-    held: list[tuple[int, bytes]] = []
-    now = None
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        rec = np.frombuffer(b"".join(d for _, d in held), dtype=_REC)
-        src = np.repeat(np.array([s for s, _ in held], np.int64), [len(d) // _REC.itemsize for _, d in held])
+    for key, src, data in by_key(batches, 1):
+        if key < 0:  # places that go home at once
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - key], pa.int32()), pa.array([data], pa.binary())], names=["src", "data"])
+            continue
+        rec, src = np.frombuffer(data, dtype=_REC), src[:: _REC.itemsize]
         h = (rec["a"].astype(np.uint64) << np.uint64(16)) | rec["b"]
         order = np.lexsort((rec["c"], h))
         h, c = h[order], rec["c"][order]
@@ -74,28 +73,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = np.bincount(group)[group] > 1
         shared |= np.bincount(group, weights=rec["twice"][order])[group] > 0
         order = order[shared]
-        key, data = blobs(src[order], np.ascontiguousarray(rec["at"][order]).astype("<u4"))
-        yield pa.RecordBatch.from_arrays([pa.array(key), data], names=["src", "data"])
-
-    for batch in batches:
-        for s, k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if k < 0:
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([d], pa.binary())], names=["src", "data"])
-                continue
-            if k != now:
-                yield from flush()
-                held, now = [], k
-            held.append((s, d))
-    yield from flush()
+        home, places = blobs(src[order], np.ascontiguousarray(rec["at"][order]).astype("<u4"))
+        yield pa.RecordBatch.from_arrays([pa.array(home), places], names=["src", "data"])
 
 
 def shared_places(sent: DataFrame, label: str) -> DataFrame:
     """(src, data): places whose fingerprint occurs more than once anywhere, written out."""
-    return cut(sent.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, _HITS), label)
+    return cut(gathered(sent).repartition("key").sortWithinPartitions("key").mapInArrow(_meet, _HITS), label)
 
 
 def _ordered(table: pa.Table) -> pa.Table:
-    return table.sort_by("rid")  # rows of one rid are equal in id and text
+    return table.sort_by([("rid", "ascending"), ("rid2", "ascending"), ("copies", "ascending")])  # rows of equal numbers are equal
+
+
+def _copied(table: pa.Table) -> np.ndarray:
+    return table["copies"].to_numpy() > 1
 
 
 def _anchors(window: int, period: int, n_keys: int) -> Callable[[pa.Table], pa.Table]:
@@ -109,7 +101,7 @@ def _anchors(window: int, period: int, n_keys: int) -> Callable[[pa.Table], pa.T
         n = len(h1)
         place = np.arange(n) - w.first[w.doc[:n]]
         at = np.flatnonzero(ok & cover[place % period] & (w.counts[w.doc[:n]] >= window))
-        return _send(table["src"][0].as_py(), h1[at], np.zeros(len(at), np.uint64), at, n_keys)
+        return _send(table["src"][0].as_py(), h1[at], np.zeros(len(at), np.uint64), at, n_keys, _copied(table)[w.doc[at]])
 
     return send
 
@@ -128,7 +120,7 @@ def _extend(window: int, period: int, n_keys: int) -> Callable[[pa.Table, pa.Tab
         np.add.at(delta, at + 1, -1)
         h1, ok = w.windows(window), w.inside(window)
         start = np.flatnonzero((np.cumsum(delta)[: len(h1)] > 0) & ok)
-        return _send(docs["src"][0].as_py(), h1[start], w.windows(window, "win2")[start], start, n_keys)
+        return _send(docs["src"][0].as_py(), h1[start], w.windows(window, "win2")[start], start, n_keys, _copied(docs)[w.doc[start]])
 
     return send
 
@@ -173,14 +165,18 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     text = F.col(f"c{keep.index(text_col)}")
     whole = [f"c{i}" for i in range(len(keep))]
-    own = named.withColumn("rid", row_id(*[F.to_json(F.struct(c)) if _nested(named, c) else F.col(c) for c in whole])).withColumn("src", bucket_of(F.col("rid"), n))
-    thin = own.select("src", "rid", text.alias("text"))
-    hits = shared_places(thin.groupBy("src").applyInArrow(_anchors(window, period, n), _BLOB), "anchors")
-    sent = thin.groupBy("src").cogroup(hits.groupBy("src")).applyInArrow(_extend(window, period, n), _BLOB)
+    keys = n_keys(docs, text_col, n)
+    hashed = [F.to_json(F.struct(c)) if _nested(named, c) else F.col(c) for c in whole]
+    # two hashes: a row is known by 128 bits, and rows of one number stay in one order
+    own = counted(named.withColumn("rid2", row_id(F.lit(2), *hashed)).withColumn("rid", row_id(*hashed))).withColumn("src", bucket_of(F.col("rid"), n))
+    thin = own.select("src", "rid", "rid2", "copies", text.alias("text"))
+    hits = shared_places(thin.groupBy("src").applyInArrow(_anchors(window, period, keys), _BLOB), "anchors")
+    sent = thin.groupBy("src").cogroup(hits.groupBy("src")).applyInArrow(_extend(window, period, keys), _BLOB)
     hits = shared_places(sent, "windows")
     final = own.withColumn("text", text)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields)
-    out = final.groupBy("src").cogroup(hits.groupBy("src")).applyInArrow(_finish(window, whole), f"{schema}, n_words long, n_removed long, kept_text string")
+    out = final.groupBy("src").cogroup(hits.groupBy("src")).applyInArrow(_finish(window, [*whole, "copies"]), f"{schema}, copies long, n_words long, n_removed long, kept_text string")
+    out = out.withColumn("copies", F.explode(F.expr("array_repeat(0, cast(copies as int))")))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", "kept_text")
 
 
