@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .infra import cut, ship
+from .infra import cut, discard, ship
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,16 +66,21 @@ def components(edges: DataFrame, most_rounds: int = 60, partial: bool = False) -
     e = edges.where(F.col(x) != F.col(y)).select(*scrambled, F.col(x).cast("long").alias("p"), F.col(y).cast("long").alias("q"))
     names = e.select(F.col("u").alias("h"), F.col("p").alias("vertex")).union(e.select(F.col("v").alias("h"), F.col("q").alias("vertex"))).distinct()
     e = cut(e.select("u", "v").mapInArrow(_contract, "u long, v long"), "edges")
-    label = None
+    label, old = None, []
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "parents")
         up = parent.withColumnRenamed("u", "c")
-        label = parent.select(F.col("u").alias("h"), F.col("m").alias("c")) if label is None else label.join(up, "c", "left").select("h", F.coalesce("m", "c").alias("c"))
+        if label is None:
+            label = parent.select(F.col("u").alias("h"), F.col("m").alias("c"))
+        else:  # written each round, so that plans stay small
+            label, old = cut(label.join(up, "c", "left").select("h", F.coalesce("m", "c").alias("c")), "labels"), [*old, label, parent]
         if partial:
             break
         moved = e.join(parent, "u").select(F.col("v").alias("u"), F.col("m").alias("x")).join(parent, "u").select(F.col("x").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(moved.mapInArrow(_contract, "u long, v long"), "edges")
+        e, before = cut(moved.mapInArrow(_contract, "u long, v long"), "edges"), e
+        discard(before, *(t for t in old if hasattr(t, "_cut_path")))
+        old = []
         if e.isEmpty():
             break
     else:

@@ -17,8 +17,8 @@ shares at least o(n) of them with every partner.
    with a heavy one.  B is the cheapest boundary by the counts at hand.
 4. *Lists.*  Each document of a list is compared with its smallest one, exactly.  Lists
    whose documents are in one component by now need no more.  The documents of the
-   others fall into groups that share lists; a group is cut into blocks, and each two
-   blocks meet in a task, which compares two documents only while they share a first
+   others fall into groups that share lists; a group is cut into blocks of so many
+   documents and shingles, and each two blocks meet in a task, which compares two documents only while they share a first
    shingle and no chain of links joins them.  It returns the links of a spanning forest,
    so no group emits its pairs, and no link between components is lost.
 """
@@ -33,19 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .infra import as_bytes, blobs, bucket_of, cut, discard, joined, n_buckets, row_id, ship
+from .infra import as_bytes, blobs, bucket_of, by_key, counted, cut, discard, gathered, joined, n_buckets, n_keys, row_id, ship
 from .substring_dedup import _send, shared_places
 from .wordhash import U, Words, mix
 
-_FIRST = "src int, key int, data binary, rid long, n long, d1 long, d2 long"
+_FIRST = "src int, key int, data binary, rid long, rid2 long, n long, d1 long, d2 long"
 _SETS = "src int, key int, data binary, rid long, n long, toks binary"
 _READY = "rid long, n long, toks binary, first binary, single long, c1 double, c2 double"
 _LOCAL = np.dtype([("a", "<u4"), ("b", "<u2"), ("n", "<u4")])
 _DF = np.dtype([("t", "<u8"), ("n", "<u4")])
+_ORDER = [("rid", "ascending"), ("rid2", "ascending")]
 #: Sets of this size and more are heavy at any boundary; it bounds the table of costs on the driver.
 MOST_LIGHT = 512
-#: Documents of a block, as long as a group has at most MOST_BLOCKS blocks; documents of the blocks of larger groups.
-BLOCK, MOST_BLOCKS, LARGE_BLOCK = 128, 128, 16_384
+#: Documents of a block, as long as a group has at most MOST_BLOCKS blocks; documents of the blocks of larger groups; shingles of a block, about.
+BLOCK, MOST_BLOCKS, LARGE_BLOCK, SHINGLES = 128, 128, 16_384, 4_000_000
 
 
 def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,10 +83,10 @@ def _depth(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _screen(k: int, num: int, den: int, n_keys: int) -> Callable[[pa.Table], pa.Table]:
-    schema = pa.schema([("src", pa.int32()), ("key", pa.int32()), ("data", pa.binary()), *((c, pa.int64()) for c in ("rid", "n", "d1", "d2"))])
+    schema = pa.schema([("src", pa.int32()), ("key", pa.int32()), ("data", pa.binary()), *((c, pa.int64()) for c in ("rid", "rid2", "n", "d1", "d2"))])
 
     def send(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rid")
+        table = table.sort_by(_ORDER)
         h, d, n = _sets(as_bytes(table["text"]), k)
         rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
         first = rank < (n - _need(n, num, den) + _depth(n, num, den))[d]
@@ -95,7 +96,7 @@ def _screen(k: int, num: int, den: int, n_keys: int) -> Callable[[pa.Table], pa.
             for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
                 run = np.r_[U(0), np.cumsum(mix(h * U(salt)))]
                 total.append(mix((run[ends] - run[ends - n]) + n.astype(np.uint64) * U(salt)).view(np.int64))
-        info = pa.table({"rid": table["rid"], "n": pa.array(n.astype(np.int64)), "d1": pa.array(total[0]), "d2": pa.array(total[1])})
+        info = pa.table({"rid": table["rid"], "rid2": table["rid2"], "n": pa.array(n.astype(np.int64)), "d1": pa.array(total[0]), "d2": pa.array(total[1])})
         return pa.concat_tables([sent, info], promote_options="default").select(schema.names).cast(schema)
 
     return send
@@ -106,7 +107,7 @@ def _collect(k: int, num: int, den: int, n_keys: int) -> Callable[[pa.Table, pa.
     schema = pa.schema([("src", pa.int32()), ("key", pa.int32()), ("data", pa.binary()), ("rid", pa.int64()), ("n", pa.int64()), ("toks", pa.binary())])
 
     def send(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        docs = docs.sort_by("rid")
+        docs = docs.sort_by(_ORDER)
         at, seen = np.unique(joined(hits["data"], np.dtype("<u4")).astype(np.int64), return_counts=True)
         rid = docs["rid"].to_numpy()
         copies = hits["rid"].drop_null().to_numpy()
@@ -135,30 +136,16 @@ def _collect(k: int, num: int, den: int, n_keys: int) -> Callable[[pa.Table, pa.
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per key bucket (rows come sorted by it): shingles (their upper 48 bits) held more than once, with counts, by bucket of origin."""
-    held: list[tuple[int, bytes]] = []
-    now = None
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        rec = np.frombuffer(b"".join(d for _, d in held), dtype=_LOCAL)
-        src = np.repeat(np.array([s for s, _ in held], np.int64), [len(d) // _LOCAL.itemsize for _, d in held])
+    for now, src, data in by_key(batches, _LOCAL.itemsize):
+        rec = np.frombuffer(data, dtype=_LOCAL)
         h = (rec["a"].astype(np.uint64) << U(16)) | rec["b"]
         _, group = np.unique(h, return_inverse=True)
         total = np.bincount(group, weights=rec["n"])[group]
         many = total > 1
         out = np.zeros(int(many.sum()), dtype=_DF)
         out["t"], out["n"] = (h[many] << U(16)) | U(now), np.minimum(total[many], 0xFFFFFFFF)
-        key, data = blobs(src[many], out)
-        yield pa.RecordBatch.from_arrays([pa.array(key), data], names=["src", "data"])
-
-    for batch in batches:
-        for s, k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if k != now:
-                yield from flush()
-                held, now = [], k
-            held.append((s, d))
-    yield from flush()
+        key, blob = blobs(src[many], out)
+        yield pa.RecordBatch.from_arrays([pa.array(key), blob], names=["src", "data"])
 
 
 def _prefixes(num: int, den: int, n_keys: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -255,7 +242,7 @@ def _block_links(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
     """Links that join the components of the documents of two blocks (or of one): a spanning forest, found by inverted lists of first shingles."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs = sorted((d for row in table["docs"].to_pylist() for d in row), key=lambda d: (d["n"], d["rid"]))
+        docs = sorted(table.select(["rid", "n", "toks", "first", "single"]).to_pylist(), key=lambda d: (d["n"], d["rid"]))
         sets = [np.frombuffer(d["toks"], "<u8") for d in docs]
         up = list(range(len(docs)))
         lists: dict[int, list[int]] = {}
@@ -301,26 +288,29 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 2 * num > den >= num:
         raise ValueError("the threshold must be over one half and at most one")
     n = n_buckets(docs, text_col)
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("rid", row_id("id", "text"))
-    thin = own.select(bucket_of(F.col("rid"), n).alias("src"), "rid", "text")
+    keys = n_keys(docs, text_col, n)
+    # two hashes: a row is known by 128 bits, and rows of one number stay in one order
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumns({"rid": row_id("id", "text"), "rid2": row_id(F.lit(2), F.col("id"), F.col("text"))})
+    thin = counted(own.select("rid", "rid2", "text")).select(bucket_of(F.col("rid"), n).alias("src"), "rid", "rid2", "text")
 
-    first = cut(thin.groupBy("src").applyInArrow(_screen(k, num, den, n), _FIRST), "screen")
-    info = first.where("rid is not null").select("rid", "n", "d1", "d2").distinct()
+    first = cut(thin.groupBy("src").applyInArrow(_screen(k, num, den, keys), _FIRST), "screen")
+    info = first.where("rid is not null").select("rid", "rid2", "n", "d1", "d2").distinct()
     rep = info.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep"))
-    member = cut(info.join(rep, ["d1", "d2", "n"], "left").select("rid", "n", "rep"), "members")
+    member = cut(info.join(rep, ["d1", "d2", "n"], "left").select("rid", "rid2", "n", "rep"), "members")
     hits = shared_places(first.where("key is not null").select("src", "key", "data"), "shared")
     discard(first)
     copies = member.where("rid <> rep").select(bucket_of(F.col("rid"), n).alias("src"), F.lit(None).cast("binary").alias("data"), "rid")
     known = hits.withColumn("rid", F.lit(None).cast("long")).unionByName(copies)
 
-    sets = cut(thin.groupBy("src").cogroup(known.groupBy("src")).applyInArrow(_collect(k, num, den, n), _SETS), "sets")
-    counts = sets.where("key is not null").select("src", "key", "data").repartition("key").sortWithinPartitions("key").mapInArrow(_count, "src int, data binary")
-    ready = cut(sets.where("rid is not null").select("src", "rid", "n", "toks").groupBy("src").cogroup(counts.groupBy("src")).applyInArrow(_prefixes(num, den, n), _READY), "ready")
+    sets = cut(thin.groupBy("src").cogroup(known.groupBy("src")).applyInArrow(_collect(k, num, den, keys), _SETS), "sets")
+    counts = gathered(sets.where("key is not null")).repartition("key").sortWithinPartitions("key").mapInArrow(_count, "src int, data binary")
+    ready = cut(sets.where("rid is not null").select("src", "rid", "n", "toks").groupBy("src").cogroup(counts.groupBy("src")).applyInArrow(_prefixes(num, den, keys), _READY), "ready")
     discard(sets, hits)
 
     b = _boundary(ready, num, den)
     lists = cut(ready.select("rid", "n", "first", "single").mapInArrow(_signatures(b, num, den), "key long, rid long, n long"), "lists")
-    hubs = lists.groupBy("key").agg(F.count("*").alias("c"), F.min_by("rid", F.struct("n", "rid")).alias("hub"), F.min("n").alias("hn")).where("c > 1").drop("c")
+    # written first, as other tables below: a join right above its aggregation could not split a long list
+    hubs = cut(lists.groupBy("key").agg(F.count("*").alias("c"), F.min_by("rid", F.struct("n", "rid")).alias("hub"), F.min("n").alias("hn")).where("c > 1").drop("c"), "hubs")
     rows = cut(lists.join(hubs, "key"), "rows")
     sizes = f"{den} * least(n, hn) >= {num} * greatest(n, hn)"
     star = _verified(rows.where("rid <> hub").where(sizes).select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), ready, "star")
@@ -328,19 +318,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part = components(star.where(linked).select("a", "b"), partial=True)
 
     # what is left: lists with documents of different components
-    tagged = rows.join(part.withColumnRenamed("vertex", "rid"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    tagged = rows.join(cut(part.withColumnRenamed("vertex", "rid"), "part"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
+    mixed = cut(tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
     loose = cut(components(rows.join(mixed, "key", "left_semi").where("rid <> hub").select("hub", "rid")), "loose")
-    blocks = loose.groupBy("component").agg(F.count("*").alias("m")).select("component", F.least(F.ceil(F.col("m") / BLOCK), F.greatest(F.lit(MOST_BLOCKS), F.ceil(F.col("m") / LARGE_BLOCK))).cast("int").alias("nb"))
+    sized = ready.select("rid", "n").join(loose.withColumnRenamed("vertex", "rid"), "rid")
+    by_docs = F.least(F.ceil(F.col("m") / BLOCK), F.greatest(F.lit(MOST_BLOCKS), F.ceil(F.col("m") / LARGE_BLOCK)))
+    blocks = cut(sized.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).select("component", F.greatest(by_docs, F.ceil(F.col("shingles") / SHINGLES)).cast("int").alias("nb")), "sizes")
     placed = loose.join(blocks, "component").select("component", "nb", F.col("vertex").alias("rid"), F.pmod(F.xxhash64("vertex", F.lit(6)), F.col("nb")).cast("int").alias("block"))
-    packed = ready.select("rid", "n", "toks", "first", "single").join(placed, "rid").groupBy("component", "nb", "block").agg(F.collect_list(F.struct("rid", "n", "toks", "first", "single")).alias("docs"))
-    pairs = packed.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "docs")
+    # each document goes to the tasks of its block, as a row of its own
+    met = placed.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rid")
+    pairs = met.join(ready.select("rid", "n", "toks", "first", "single"), "rid")
     more = cut(pairs.groupBy("component", "lo", "hi").applyInArrow(_block_links(num, den), "a long, b long"), "more")
     links = star.where(linked).select("a", "b").union(more)
     whole = components(links)
 
-    label = member.join(whole.withColumnRenamed("vertex", "rep"), "rep", "left").select("rid", "n", F.coalesce("component", "rep").alias("comp"))
-    placed = cut(own.select("id", "rid").join(label, "rid"), "placed")
+    label = member.join(cut(whole.withColumnRenamed("vertex", "rep"), "whole"), "rep", "left").select("rid", "rid2", "n", F.coalesce("component", "rep").alias("comp"))
+    placed = cut(own.select("id", "rid", "rid2").join(label, ["rid", "rid2"]), "placed")
     # written first: a join right above its aggregation could not split a large component
     least = cut(placed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("low")), "least")
     return placed.join(least, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
