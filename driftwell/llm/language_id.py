@@ -10,7 +10,7 @@ same, smoothed towards the domain's, and those towards the whole corpus's.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from .infra import cut, ship
 from .wordhash import chunks
 
-#: Languages a model may have (so its table and the joins' arrays stay small), strength of priors, weight of a byte pair.
-MOST_LANGUAGES, HOST_STRENGTH, DOMAIN_STRENGTH, TEXT_WEIGHT = 64, 20.0, 50.0, 0.25
+#: Languages a model may have (its table is broadcast: 0.5 MB each; more raise), strength of priors, weight of a byte pair.
+MOST_LANGUAGES, HOST_STRENGTH, DOMAIN_STRENGTH, TEXT_WEIGHT = 256, 20.0, 50.0, 0.25
 _DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.DOTALL | re.IGNORECASE)
 _FOLD = np.arange(256, dtype=np.int64)
 _FOLD[65:91] += 32
@@ -55,13 +55,16 @@ def pair_counts(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, np.n
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(n[hit], pa.int64())], names=["lang", "pair", "n"])
 
     summed = docs.select(F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")).mapInArrow(count, "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n"))
-    rows = summed.take(MOST_LANGUAGES * 65536 + 1)
-    out: dict[str, np.ndarray] = {}
-    for r in rows:
-        out.setdefault(r["lang"], np.zeros(65536))[r["pair"]] = r["n"]
-    if len(out) > MOST_LANGUAGES:
-        raise ValueError(f"{len(out)} languages; a model may have {MOST_LANGUAGES}")
-    return dict(sorted(out.items()))
+
+    def whole(table: pa.Table) -> pa.Table:
+        n = np.zeros(65536, np.int64)
+        n[table["pair"].to_numpy()] = table["n"].to_numpy()
+        return pa.table({"lang": table["lang"].slice(0, 1), "counts": pa.array([n.tobytes()], pa.binary())})
+
+    rows = summed.groupBy("lang").applyInArrow(whole, "lang string, counts binary").take(MOST_LANGUAGES + 1)  # one row a language
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"a model may have {MOST_LANGUAGES} languages")
+    return {r["lang"]: np.frombuffer(r["counts"], np.int64).astype(float) for r in sorted(rows)}
 
 
 class TextModel:
@@ -124,15 +127,18 @@ def _trust(rows: DataFrame, seen: str, n: int) -> DataFrame:
     return by.crossJoin(F.broadcast(totals)).select(seen, F.expr(f"transform(sequence(0, {n - 1}), i -> ln((coalesce(m[i], 0) + 1.0D) / (coalesce(t[i], 0) + 20.0D)))").alias(f"{seen}_trust"))
 
 
-def fuse(df: DataFrame, model: TextModel, id_col: str, text_col: str, url_col: str | None = None, markup: bool = True, host_col: str | None = None) -> DataFrame:
+def fuse(df: DataFrame, model: TextModel, id_col: str | None, text_col: str, url_col: str | None = None, markup: bool = True, host_col: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(id, lang, probability, text_lang, declared) for each row: the most probable language by all evidence.
 
+    keep: columns of df that come along, the text among them if it is named (they must not be
+    called like the result's); without an id_col there is no id.
+
     Defined results: a text without letters (null, empty, signs only) has no text evidence
     and is decided by the rest; with none at all lang is "und", probability 0; unknown
     declarations and suffixes count as absent until seen with some language; a missing url
     or host has the corpus's prior; equal posteriors go to the language first by name; a
-    repeated row gets the same answer again; other columns are not read; an empty table
-    gives an empty result.
+    repeated row gets the same answer again; other columns are not read, so their names
+    cannot clash; an empty table gives an empty result.
     """
     spark = df.sparkSession
     ship(spark)
@@ -144,9 +150,13 @@ def fuse(df: DataFrame, model: TextModel, id_col: str, text_col: str, url_col: s
     # a language's code as a part of the path, else the top domain
     suffix = F.coalesce(blank(F.regexp_extract(url, r"^[a-z]+://[^/]+/([a-z]{2})(?:/|$)", 1)), blank(F.regexp_extract(url, r"^[a-z]+://[^/:?#]*\.([a-z]{2,})(?:[/:?#]|$)", 1)))
     declared = blank(F.lower(F.regexp_extract(text, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))) if markup else F.lit(None).cast("string")
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), host.alias("host"), suffix.alias("suffix"), declared.alias("declared"))
+    carried = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    again = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+    named = lambda: [F.col("id").alias(id_col)] if id_col else []
+    ident = F.col(f"`{id_col}`") if id_col else F.lit(None).cast("long")
+    rows = df.select(ident.alias("id"), text.alias("text"), host.alias("host"), suffix.alias("suffix"), declared.alias("declared"), *carried)
     if not n:
-        return rows.select(F.col("id").alias(id_col), F.lit("und").alias("lang"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_lang"), "declared")
+        return rows.select(*named(), *again, F.lit("und").alias("lang"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_lang"), "declared")
     rows = rows.withColumn("domain", F.when(F.col("host").contains("."), F.substring_index("host", ".", -2)).otherwise(F.col("host")))
     seen = cut(_with_text_evidence(rows, model, markup).withColumn("best", _best(F.col("ll"))), "evidence")
 
@@ -154,7 +164,8 @@ def fuse(df: DataFrame, model: TextModel, id_col: str, text_col: str, url_col: s
     per = [F.count_if(F.col("best") == i).alias(f"c{i}") for i in range(n)]
     sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(n)]
     hosts = cut(seen.where("host is not null").groupBy("host", "domain").agg(*per), "hosts")
-    domains = hosts.groupBy("domain").agg(*sums).select("domain", F.array(*[f"c{i}" for i in range(n)]).alias("d"))
+    # written first: a join right above its aggregation could not split a domain of many hosts
+    domains = cut(hosts.groupBy("domain").agg(*sums).select("domain", F.array(*[f"c{i}" for i in range(n)]).alias("d")), "domains")
     total = np.array(seen.agg(*per).first(), float) + 1
     base = F.array(*[F.lit(float(x)) for x in total / total.sum()])
     smooth = lambda own, prior, k: F.zip_with(own, prior, lambda c, p: (c + k * p) / (F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x) + k))
@@ -171,7 +182,8 @@ def fuse(df: DataFrame, model: TextModel, id_col: str, text_col: str, url_col: s
     names = F.array(*[F.lit(x) for x in model.langs])
     out = out.withColumn("post", post).withColumn("top", F.array_max("post"))
     return out.select(
-        F.col("id").alias(id_col),
+        *named(),
+        *again,
         F.when(known, F.get(names, _best(F.col("post")))).otherwise("und").alias("lang"),
         F.when(known, 1 / F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).otherwise(0.0).alias("probability"),
         F.get(names, F.col("best")).alias("text_lang"),
