@@ -84,4 +84,34 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_bpe_encode_decode, op2_nearest_neighbours, op3_toxicity, op4_quality, op5_best_fit_packing, op6_ngram_jaccard_join, op7_substring_dedup, op8_embedding_near_dedup, op9_language_id, op10_chat_rotation)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {"op10_chat_rotation": chat.ROTATE_SQL}
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+#: Components by the closure of links: e(a, b) has both directions, every vertex is in s.
+_CLOSURE = """r AS (SELECT v, v AS u FROM s UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a),
+c AS (SELECT v, min(u) AS component_id FROM r GROUP BY 1)"""
+
+OP6_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id AS v, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}), []) AS w FROM documents),
+s AS (SELECT v, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+x AS (SELECT v, len(s) AS n, unnest(s) AS h FROM s),
+p AS (SELECT a.v AS a, b.v AS b, any_value(a.n) + any_value(b.n) - count(*) AS n_either, count(*) AS n_both FROM x a JOIN x b ON a.h = b.h AND a.v < b.v GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * n_both >= 85 * n_either), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), {_CLOSURE}
+SELECT s.v AS doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN c ON c.v = s.v"""
+
+OP7_SQL = f"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, {_WORDS}), []) AS w FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w)),
+t AS (SELECT h FROM k GROUP BY 1 HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest(range(i, i + 35)) AS pos FROM k WHERE h IN (SELECT h FROM t))),
+a AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = a.doc_id AND g.pos = a.pos) GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+OP8_SQL = f"""
+WITH RECURSIVE s AS (SELECT vec_id AS v FROM embeddings),
+x AS MATERIALIZED (SELECT vec_id AS v, label, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+l AS (SELECT a.v AS a, b.v AS b FROM x a JOIN x b ON a.label = b.label AND a.v < b.v AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), n AS (SELECT a AS v, count(*) AS n FROM e GROUP BY 1), {_CLOSURE}
+SELECT s.v AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c.component_id, c.component_id = s.v AS kept FROM s JOIN c ON c.v = s.v LEFT JOIN n ON n.v = s.v"""
+
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_embedding_near_dedup": OP8_SQL, "op10_chat_rotation": chat.ROTATE_SQL}
