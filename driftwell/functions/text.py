@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,4 +36,27 @@ def iso(ts: Column) -> Column:
 
 
 def relative(path: Column, root: str) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^" + root.replace("\\", "/").rstrip("/") + "/", ""))
+    """The path below root, with slashes, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^" + re.escape(root.replace("\\", "/").rstrip("/")) + "/", ""))
+
+
+def padded(c: Column, width: int) -> Column:
+    """At least width characters: blanks follow, nothing is cut."""
+    return F.when(F.length(c) < width, F.rpad(c, width, " ")).otherwise(c)
+
+
+def version(text: Column, default: str = "0.0.0") -> Column:
+    """The version of a JSON text; the default where it has none."""
+    return F.coalesce(F.nullif(F.get_json_object(text, "$.version"), F.lit("")), F.lit(default))
+
+
+def text_field(v: Column, path: str) -> Column:
+    """Whether a variant's field is a string that is not blank."""
+    x = F.try_variant_get(v, path, "variant")
+    return F.coalesce((F.schema_of_variant(x) == "STRING") & (F.trim(F.try_variant_get(v, path, "string")) != ""), F.lit(False))
+
+
+def filled_object(v: Column, path: str) -> Column:
+    """Whether a variant's field is an object with a key at least."""
+    x = F.try_variant_get(v, path, "variant")
+    return F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("OBJECT<")) & (F.to_json(x) != "{}"), F.lit(False))

@@ -117,5 +117,39 @@ def dependency_verdict(tools: DataFrame, required: Sequence[str]) -> DataFrame:
 
 def add_settings(lines: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFrame:
     """Setting lines (prefix, line) to append: those of which no line has the prefix."""
-    w = lines.sparkSession.createDataFrame(list(wanted), "prefix string, setting string")
-    return w.join(lines.select("line"), F.startswith("line", F.col("prefix")), "left_anti")
+    return setting_plan(lines, wanted).where("status = 'add'").select("prefix", "setting")
+
+
+def setting_plan(lines: DataFrame, wanted: Sequence[tuple[str, str]], allowed: str = r"[\s\S]*") -> DataFrame:
+    """(prefix, setting, status) of setting lines: present (some line has the prefix), refused (what follows the prefix has other characters than allowed) or add.
+
+    One pass over the lines, which may be many; the settings are a list."""
+    seen = lines.agg(F.array(*[F.coalesce(F.max(F.startswith("line", F.lit(p))), F.lit(False)) for p, _ in wanted]).alias("seen"))
+    rows = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(s).alias("setting"), F.lit(s[len(p) :].strip('"')).alias("value")) for p, s in wanted])
+    each = seen.select(F.posexplode(rows).alias("i", "r"), "seen")
+    status = F.when(F.get("seen", F.col("i")), "present").when(~F.col("r.value").rlike(rf"\A(?:{allowed})\z"), "refused").otherwise("add")
+    return each.select("r.prefix", "r.setting", status.alias("status"))
+
+
+def written_blocks(files: DataFrame, blocks: Sequence[tuple[str, str, str, Callable[[], DataFrame]]]) -> DataFrame:
+    """(path, text, state): the files of blocks with their regions rendered anew; a file with unsound markers, and one that is missing, does not stop the others."""
+    out = None
+    for path, begin, end, render in blocks:
+        wanted = files.sparkSession.createDataFrame([(path,)], "path string").join(files.select("path", "text"), "path", "left")
+        row = wanted.crossJoin(F.broadcast(render().select(F.col("text").alias("rendered"))))  # one row
+        bad = F.when(F.col("text").isNull(), "missing-file").otherwise(regions.region_problem(F.translate("text", "\r", ""), begin, end))
+        part = row.select("path", regions.replaced(F.col("text"), begin, end, F.concat(F.lit("\n"), F.regexp_replace("rendered", r"\n+\z", ""), F.lit("\n"))).alias("text"), F.coalesce(bad, F.lit("WROTE")).alias("state"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def block_problems(states: DataFrame, number: int = 11) -> DataFrame:
+    """The problem relation of check_blocks: all states but FRESH."""
+    return report.problems(states.where("state <> 'FRESH'"), number, "state", "block", path=F.col("path"))
+
+
+def stats_rows(reg: DataFrame, names: Sequence[tuple[str, int, str]]) -> DataFrame:
+    """(pos, label, value) for numbers_table: agents with categories and model tiers, then the counts in names (label, n, phrase)."""
+    a = reg.select(F.lit(0).alias("pos"), F.lit("Specialized agents").alias("label"), F.format_string("%d (%d categories, %d model tiers)", F.size("sub_agents"), F.size("agent_categories"), F.size(F.array_distinct(F.transform(F.map_values("sub_agents"), lambda x: x["model"])))).alias("value"))
+    rest = reg.sparkSession.createDataFrame([(i, label, f"{n} {phrase}") for i, (label, n, phrase) in enumerate(names, 1)], "pos int, label string, value string")
+    return a.unionByName(rest)

@@ -25,9 +25,9 @@ def valid(text: Column) -> Column:
 
 
 def expand(text: str, env: Mapping[str, str]) -> str:
-    """Placeholders replaced from the inside out, at most PASSES times; unknown ones without default stay."""
+    """Placeholders replaced from the inside out, at most PASSES times; unknown or empty ones by their default, or by nothing."""
     for _ in range(PASSES):
-        new = _INNER.sub(lambda m: env.get(m[1]) or (m[2] if m[2] is not None else m[0]), text)
+        new = _INNER.sub(lambda m: env.get(m[1]) or m[2] or "", text)
         if new == text:
             break
         text = new
@@ -76,6 +76,6 @@ def without_hooks(hooks: Column, gone: Callable[[Column], Column]) -> Column:
 
 
 def names_script(command: Column, scripts: list[str]) -> Column:
-    """Whether a command names one of the scripts as the end of a path, quoted or not."""
+    """Whether a command is or ends in one of the scripts (after a slash), quoted or not, without case."""
     names = "|".join(re.escape(s) for s in scripts)
-    return command.rlike(rf"""(^|[\\/\s"'])({names})["']?(\s|\z)""")
+    return command.rlike(rf"""(?i)(^|[/\\])({names})["']?\z""")

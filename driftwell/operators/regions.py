@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,25 +43,37 @@ def inside_lines(lines: DataFrame, group: str, begin: str, end: str) -> DataFram
     return lines.join(at.where("nb = 1 and ne = 1"), group).where("line_no > b and line_no < e").drop("b", "e", "nb", "ne")
 
 
-_BLOCK = r"\A\x{FEFF}?---[ \t]*\n((?:[^\n]*\n)*?)---[ \t]*(?:\n|\z)"
+def _fences(text: Column) -> tuple[Column, Column, Column]:
+    """The lines of a text, whether the first is a fence, and the place of the next fence (from 1; 0 without one)."""
+    rows = F.split(F.regexp_replace(F.translate(text, "\r", ""), r"\A\x{FEFF}", ""), "\n")
+    is_fence = lambda x: F.rtrim(F.translate(x, "\t", " ")) == "---"
+    return rows, is_fence(F.get(rows, F.lit(0))), F.array_position(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), is_fence), True).cast("int")
 
 
 def frontmatter(text: Column) -> Column:
-    """The lines of the first fenced block; null without one."""
-    clean = F.translate(text, "\r", "")
-    return F.when(clean.rlike(_BLOCK), F.regexp_extract(clean, _BLOCK, 1))
+    """The lines of the block between a fence in the first line and the next one; null without one.  Texts of any length: lines are looked at one by one."""
+    rows, first, at = _fences(text)
+    return F.when(first & (at > 0), F.concat(F.array_join(F.slice(rows, F.lit(2), F.greatest(at - 1, F.lit(0))), "\n"), F.when(at > 1, "\n").otherwise("")))
 
 
 def frontmatter_problem(text: Column) -> Column:
-    clean = F.translate(text, "\r", "")
-    return F.when(~clean.rlike(r"\A\x{FEFF}?---[ \t]*(\n|\z)"), "missing-frontmatter").when(~clean.rlike(_BLOCK), "unterminated-frontmatter")
+    """null, missing-frontmatter (no fence in the first line; a null text) or unterminated-frontmatter."""
+    _, first, at = _fences(text)
+    return F.when(~F.coalesce(first, F.lit(False)), "missing-frontmatter").when(at == 0, "unterminated-frontmatter")
 
 
 def front_value(block: Column, key: str) -> Column:
     """A key's value without comment and quotes; null if the key is not there, '' if it is empty."""
-    raw = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*([^\n]*)", 1)
-    bare = F.regexp_replace(F.regexp_replace(raw, r"[ \t]+#[^\n]*\z|^#[^\n]*\z", ""), r"""^["']|["']\s*\z|\s+\z""", "")
-    return F.when(block.rlike(rf"(?m)^{key}:"), bare)
+    raw = F.regexp_extract(block, rf"(?m)^{re.escape(key)}:[ \t]*([^\n]*)", 1)
+    bare = F.regexp_replace(F.regexp_replace(raw, r"[ \t]*#[^\n]*\z", ""), r"\s+\z", "")
+    return F.when(block.rlike(rf"(?m)^{re.escape(key)}:"), F.regexp_replace(bare, r"""^["']|["']\z""", ""))
+
+
+def fields_of(text: Column, key: str) -> Column:
+    """The first line 'key: value' of a whole text, wherever it stands, without quotes; null without one."""
+    line = rf"(?m)^{re.escape(key)}:[ \t]*([^\n]*)"
+    clean = F.translate(text, "\r", "")
+    return F.when(clean.rlike(line), F.regexp_replace(F.regexp_extract(clean, line, 1), r"""^["']|["']?\s*\z""", ""))
 
 
 def front_list(value: Column) -> Column:

@@ -42,6 +42,19 @@ def outside_vocabulary(df: DataFrame, column: str, allowed: Sequence[str]) -> Da
     return df.where(~F.coalesce(F.col(column).isin(list(allowed)), F.lit(False)))
 
 
+def looked_up(left: DataFrame, right: DataFrame, on: str, a: str, b: str) -> DataFrame:
+    """Rows of the left side whose column differs from the right one's, as differs, or that have none there, as missing."""
+    r = right.select(on, F.col(b).alias("_b"), F.lit(True).alias("_there"))
+    rows = left.select(on, F.col(a).alias("_a")).join(r, on, "left").where(~F.col("_a").eqNullSafe(F.col("_b")) | F.col("_there").isNull())
+    return rows.select(on, F.when(F.col("_there").isNull(), "missing").otherwise("differs").alias("problem"))
+
+
+def pairs_by_stem(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    """Rows of the left side that have a file of the same stem on the right."""
+    stem = lambda: F.regexp_replace(name, r"\.[^.]*\z", "")
+    return left.withColumn("_stem", stem()).join(right.select(stem().alias("_stem")).distinct(), "_stem", "left_semi").drop("_stem")
+
+
 def column_parity(left: DataFrame, right: DataFrame, on: str, a: str, b: str) -> DataFrame:
     """Keys on both sides whose columns differ; null equals null."""
     return left.select(on, a).join(right.select(on, b), on).where(~F.col(a).eqNullSafe(F.col(b)))

@@ -46,6 +46,19 @@ def verdict(found: DataFrame, examined: DataFrame) -> DataFrame:
     return s.crossJoin(F.broadcast(n)).withColumn("verdict", v)  # one row each
 
 
+def check_numbers(text: Column) -> Column:
+    """The distinct numbers of checks that a script registers, in order; a check registered twice counts once."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^_check_on ([0-9]+) "), F.lit(1)), lambda x: x.cast("int"))))
+
+
+def count_of_key(counts: DataFrame, key: str, column: str = "key", value: str = "n") -> int:
+    """The count of one key; an unknown key is an error."""
+    row = counts.where(F.col(column) == key).select(value).head()
+    if row is None:
+        raise KeyError(key)
+    return row[0]
+
+
 def weighted(parts: Sequence[tuple[str, str]]) -> Column:
     """Sum of weight times column, as a decimal; parts: (column, weight as text)."""
     total = F.lit(Decimal(0)).cast("decimal(18,4)")

@@ -79,30 +79,38 @@ def gate(s: State, facts_ok: bool = True, continuation: bool = False) -> str:
     return "block"
 
 
-def step(s: State, kind: str, verdict: str | None, instance: str | None, head: str | None) -> str:
-    return gate(s) if kind == "stop" else record(s, verdict, instance, head)
+def step(s: State, kind: str, verdict: str | None, instance: str | None, head: str | None, facts_ok: bool = True, continuation: bool = False) -> str:
+    return gate(s, facts_ok, continuation) if kind == "stop" else record(s, verdict, instance, head)
 
 
 OUT = "event_id long, session string, action string, verdict string, head string, blocks long"
 
 
+def prepared(events: DataFrame) -> DataFrame:
+    """Events as the fold reads them: ids cut to letters, digits, '_' and '-', rows without a session dropped, facts_ok (true) and continuation (false) where they are not there."""
+    keep = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_-]", "")
+    flag = lambda c, d: F.coalesce(F.col(c), F.lit(d)).alias(c) if c in events.columns else F.lit(d).alias(c)
+    return events.select("event_id", keep("session").alias("session"), "ts", "kind", "verdict", F.nullif(keep("instance"), F.lit("")).alias("instance"), "head", flag("facts_ok", True), flag("continuation", False)).where("session <> ''")
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """events: event_id, session, ts, kind (stop or other), verdict, instance, head.  One row an event: what was done and the state after it.
+    """events: event_id, session, ts, kind (stop or other), verdict, instance, head, and if given facts_ok and continuation.  One row an event: what was done and the state after it.
 
-    Order within a session is ts, then event_id; a session id is cut to letters, digits,
-    '_' and '-', and events without any of these are dropped.
+    Order within a session is ts, then event_id.  An ordered fold takes the events of a
+    session one after the other, so a session is one task's work, in constant memory but for
+    its instance ids.
     """
-    keyed = events.withColumn("session", F.regexp_replace("session", "[^A-Za-z0-9_-]", "")).where("session <> ''").select("event_id", "session", "ts", "kind", "verdict", "instance", "head")
+    keyed = prepared(events)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, s = None, State()
         for f in frames:
             f = f.astype(object).where(f.notna(), None)
             out = []
-            for e, session, kind, v, i, h in zip(f.event_id, f.session, f.kind, f.verdict, f.instance, f["head"], strict=True):
+            for e, session, kind, v, i, h, ok, again in zip(f.event_id, f.session, f.kind, f.verdict, f.instance, f["head"], f.facts_ok, f.continuation, strict=True):
                 if session != now:
                     now, s = session, State()
-                done = step(s, kind, v, i, h)
+                done = step(s, kind, v, i, h, ok, again)
                 out.append((e, session, done, s.verdict, s.head, s.blocks))
             yield pd.DataFrame(out, columns=["event_id", "session", "action", "verdict", "head", "blocks"])
 

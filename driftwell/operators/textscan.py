@@ -67,9 +67,9 @@ def whole_word(name: str) -> str:
 
 
 def active_reference(name: str) -> str:
-    """A name as a file, a routing directive or a quoted key, not as prose."""
+    """A name as a file or as the value of a routing directive, not in prose and not within a longer name."""
     n = re.escape(name)
-    return rf"""(agents/{n}\.md|(subagent_type|agent)["']?\s*[:=]\s*["']?{n}\b|"{n}"\s*:)"""
+    return rf"""agents/{n}\.md|subagent_type["']?\s*[:=]\s*["']?{n}(?:["', )]|\z)|"agent"\s*:\s*"{n}"|(?:^|[\s(=])agent\s*:\s*{n}(?:[\s,)]|\z)"""
 
 
 def required(df: DataFrame, needles: Sequence[tuple[str, str, str]], path: str = "path", text: str = "text") -> DataFrame:

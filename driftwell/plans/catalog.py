@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.operators import merge, regions, relational, report, sessions, textscan
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable:
-    def keep(f: Callable) -> Callable:
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return keep
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from driftwell.operators import events, merge, regions, relational, report, sessions, textscan
+from driftwell.plans.registry import query
+from driftwell.plans.registry import table as _t
+from driftwell.sources import files
 
 @query("""
 SELECT d.doc_id, 'left_only' AS problem FROM documents d
@@ -148,9 +133,19 @@ def region_replace(spark, d):
     return rows.select("page_id", F.md5(F.col("html").cast("binary")).alias("digest"), state.alias("state"), (new(F.col("html")) == F.col("html")).alias("idempotent"))
 
 
-@query("""SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, contains(html, '<html lang="') AS has_key FROM pages""")
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'unterminated-frontmatter' WHEN 2 THEN 'missing-frontmatter' END AS problem,
+  CASE doc_id % 4 WHEN 0 THEN 'doc-' || doc_id WHEN 3 THEN 'x' END AS name, CASE doc_id % 4 WHEN 0 THEN 'high' END AS effort,
+  CASE doc_id % 4 WHEN 0 THEN 'Read|mcp__a__x|Edit' END AS tools, CASE doc_id % 4 WHEN 0 THEN lang END AS model FROM documents""")
 def frontmatter_first(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.contains("html", F.lit('<html lang="')).alias("has_key"))
+    """Sound blocks, blocks without an end before whole texts, texts without a block, blocks with a byte-order mark and CR."""
+    kind, body = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    block = F.concat(F.lit("---\nname: 'doc-"), F.col("doc_id").cast("string"), F.lit("'  # a name\neffort: high\nmodel: "), F.col("lang"), F.lit("\ntools: [Read, mcp__a__x Edit]\n--- \nname: other\n"))
+    text = F.when(kind == 0, F.concat(block, body)).when(kind == 1, F.concat(F.lit("---\nname: y\n"), F.regexp_replace(body, "---", "-"))).when(kind == 2, F.concat(F.lit("x"), block)).otherwise("\ufeff---\r\nname: x\r\n---\r\neffort: no\r\n")
+    rows = _t(spark, d, "documents").select("doc_id", text.alias("t"))
+    found = regions.frontmatter(F.col("t"))
+    value = lambda k: regions.front_value(found, k)
+    return rows.select("doc_id", regions.frontmatter_problem(F.col("t")).alias("problem"), value("name").alias("name"), value("effort").alias("effort"), F.array_join(regions.front_list(value("tools")), "|").alias("tools"), value("model").alias("model"))
 
 
 @query("""
@@ -162,14 +157,19 @@ def group_rollup(spark, d):
     return relational.sizes_of_groups(groups, members, "r_name", "n_nationkey")
 
 
-@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS joined FROM conversations GROUP BY 1")
+@query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest, CAST(sum(length(text)) AS BIGINT) + count(text) - 1 AS n_chars FROM conversations GROUP BY 1")
 def ordered_concat(spark, d):
-    return relational.joined_in_order(_t(spark, d, "conversations"), "conv_id", "turn", "role")
+    rows = relational.joined_in_order(_t(spark, d, "conversations"), "conv_id", "turn", "text", "\n")
+    return rows.select("conv_id", F.md5(F.col("joined").cast("binary")).alias("digest"), F.length("joined").cast("long").alias("n_chars"))
 
 
-@query("SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+@query("""
+SELECT event_type AS event, 'sh ' || props AS command, count(*) AS n FROM events GROUP BY 1, 2
+UNION ALL SELECT 'Stop', 'fixed.sh', count(*) FROM events""")
 def nested_explode(spark, d):
-    return _t(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))
+    hook = lambda c: F.array(F.struct(F.lit(None).cast("string").alias("matcher"), F.array(F.struct(F.lit("command").alias("type"), c.alias("command"), F.lit(1).alias("timeout"))).alias("hooks")))
+    text = F.to_json(F.struct(F.create_map(F.col("event_type"), hook(F.concat(F.lit("sh "), "props")), F.lit("Stop"), hook(F.lit("fixed.sh"))).alias("hooks")))
+    return files.commands(_t(spark, d, "events").select(text.alias("text"))).groupBy("event", "command").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, '{"a":{"x":2,"y":1},"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS canonical FROM events""")
@@ -211,41 +211,86 @@ def _reviews(spark, d, stops: bool) -> DataFrame:
     )
 
 
-def _fold_sql(stops: bool) -> str:
-    return f"""
-WITH RECURSIVE k AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
-e AS (SELECT event_id, user_id, {"event_type = 'view'" if stops else "false"} AS stop,
+_PLAIN_SQL = """
+k AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session, {stop} AS stop, true AS ok, false AS again,
   CASE event_type WHEN 'purchase' THEN 'APPROVED' WHEN 'error' THEN 'CHANGES_REQUIRED' END AS v,
   CASE WHEN k % 4 <> 0 THEN CAST(k AS VARCHAR) END AS id, CAST(CAST(floor(value / 100) AS BIGINT) AS VARCHAR) AS h,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM k),
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, ts FROM k)"""
+
+
+def _fold_sql(source: str) -> str:
+    """source: common tables that end in e (event_id, session, stop, ok, again, v, id, h, rn, ts)."""
+    return f"""
+WITH RECURSIVE {source},
 f AS (
-  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS action, false AS marker,
+  SELECT DISTINCT session, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS action, false AS marker,
     CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS VARCHAR) AS head, CAST([] AS VARCHAR[]) AS ids, CAST(0 AS BIGINT) AS blocks FROM e
   UNION ALL
-  SELECT user_id, rn, event_id, a, marker OR a = 'write', CASE WHEN a = 'write' AND v IS NOT NULL THEN v ELSE verdict END,
+  SELECT session, rn, event_id, a, marker OR a = 'write', CASE WHEN a = 'write' AND v IS NOT NULL THEN v ELSE verdict END,
     CASE WHEN a = 'write' THEN CASE WHEN v IS NULL THEN NULL ELSE h END ELSE head END,
     CASE WHEN a = 'write' AND v IS NOT NULL AND id IS NOT NULL THEN list_append(ids, id) ELSE ids END, CASE WHEN a = 'block' THEN blocks + 1 ELSE blocks END
-  FROM (SELECT e.user_id, e.rn, e.event_id, e.v, e.id, e.h, f.marker, f.verdict, f.head, f.ids, f.blocks,
-    CASE WHEN e.stop THEN CASE WHEN f.marker AND f.verdict IS DISTINCT FROM 'CHANGES_REQUIRED' THEN 'allow'
-        WHEN f.blocks >= CASE WHEN f.verdict = 'CHANGES_REQUIRED' THEN 3 ELSE 1 END THEN 'allow' ELSE 'block' END
+  FROM (SELECT e.session, e.rn, e.event_id, e.v, e.id, e.h, f.marker, f.verdict, f.head, f.ids, f.blocks,
+    CASE WHEN e.stop THEN CASE WHEN e.again OR (f.marker AND f.verdict IS DISTINCT FROM 'CHANGES_REQUIRED') THEN 'allow'
+        WHEN f.blocks >= CASE WHEN f.verdict = 'CHANGES_REQUIRED' THEN 3 ELSE 1 END OR NOT e.ok THEN 'allow' ELSE 'block' END
       WHEN e.v IS NULL THEN CASE WHEN f.verdict IS NULL THEN 'write' ELSE 'keep' END
       WHEN e.id IS NOT NULL AND list_contains(f.ids, e.id) AND (f.head IS NULL OR e.h IS NULL OR f.head = e.h) THEN 'instance-dedupe'
       WHEN e.id IS NULL AND f.verdict <> e.v AND e.v = 'APPROVED' AND (f.head IS NULL OR e.h IS NULL OR f.head = e.h) THEN 'same-head-approve'
       ELSE 'write' END AS a
-    FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
-SELECT event_id, CAST(user_id AS VARCHAR) AS session, action, verdict, head, blocks FROM f WHERE rn > 0"""
+    FROM f JOIN e ON e.session = f.session AND e.rn = f.rn + 1))
+SELECT event_id, session, action, verdict, head, blocks FROM f WHERE rn > 0"""
 
 
-@query(_fold_sql(False))
+@query(_fold_sql(_PLAIN_SQL.format(stop="false")))
 def verdict_fold(spark, d):
     return sessions.fold(_reviews(spark, d, False))
 
 
-@query(f"SELECT event_id, session, action, verdict, blocks FROM ({_fold_sql(True)}) WHERE action IN ('allow', 'block')")
+@query(f"SELECT event_id, session, action, verdict, blocks FROM ({_fold_sql(_PLAIN_SQL.format(stop="event_type = 'view'"))}) WHERE action IN ('allow', 'block')")
 def gate_decisions(spark, d):
     return sessions.fold(_reviews(spark, d, True)).where("action in ('allow', 'block')").select("event_id", "session", "action", "verdict", "blocks")
 
 
+@query(f"""SELECT f.event_id, x.ts, f.action AS guard, coalesce(f.verdict, '-') AS old, CASE x.event_type WHEN 'purchase' THEN 'APPROVED' ELSE 'CHANGES_REQUIRED' END AS "new", coalesce(CAST(CAST(floor(x.value / 100) AS BIGINT) AS VARCHAR), '-') AS head
+FROM ({_fold_sql(_PLAIN_SQL.format(stop="false"))}) f JOIN events x ON x.event_id = f.event_id WHERE f.action IN ('instance-dedupe', 'same-head-approve')""")
+def suppression_audit(spark, d):
+    rows = _reviews(spark, d, False)
+    return events.audit(rows, sessions.fold(rows))
+
+
+#: What git says of four folders, by the head that value / 100 gives: a branch ahead and clean, the main line, a dirty tree, no tree.
+_FACTS = "in_tree boolean, branch string, base string, ahead int, dirty boolean"
+
+
+def _folder_facts(spark, d):
+    kinds = spark.createDataFrame([("0", True, "feature/x", "main", 2, False), ("1", True, "main", "main", 1, False), ("2", True, "feature/y", "main", 1, True), ("3", False, None, None, 0, False)], f"kind string, {_FACTS}")
+    heads = _t(spark, d, "events").select(F.floor(F.col("value") / 100).cast("string").alias("head")).distinct()
+    return heads.crossJoin(F.broadcast(kinds)).select(F.concat(F.lit("/w/"), "kind", F.lit("/"), "head").alias("cwd"), "head", "in_tree", "branch", "base", "ahead", "dirty")  # four kinds
+
+
+@query("SELECT event_id, session, action, verdict, head, blocks FROM (" + _fold_sql("""
+k AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+e AS (SELECT event_id, 's' || user_id AS session, event_type = 'view' AS stop, user_id % 4 = 0 AS ok, k % 5 = 0 AND event_type = 'view' AS again,
+  CASE event_type WHEN 'purchase' THEN 'APPROVED' WHEN 'error' THEN 'CHANGES_REQUIRED' END AS v,
+  CASE WHEN k % 4 <> 0 AND event_type <> 'view' THEN 'a' || k END AS id, CAST(CAST(floor(value / 100) AS BIGINT) AS VARCHAR) AS h,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, ts FROM k WHERE k % 13 <> 0 AND event_type <> 'signup')""") + ")")
+def payload_to_gate(spark, d):
+    """From raw payloads to gate decisions: purchases and errors are reports of the reviewer (of two shapes), clicks reports without a verdict, signups reports of others, views stops; some payloads are broken."""
+    k, kind = F.get_json_object("props", "$.k").cast("long"), F.col("event_type")
+    said = F.when(kind == "purchase", "fine\r\nVERDICT: APPROVED\r\n").when(kind == "error", "VERDICT: APPROVED\n  VERDICT: CHANGES_REQUIRED  \nsee VERDICT: APPROVED there").otherwise("nothing")
+    cwd = F.concat(F.lit("/w/"), (F.col("user_id") % 4).cast("string"), F.lit("/"), F.floor(F.col("value") / 100).cast("string"))
+    who = F.when(kind == "signup", "other-agent").when(k % 2 == 0, "Peer-Review-Critic").otherwise("kit:peer-review-critic")
+    session = F.concat(F.lit("s!"), F.col("user_id").cast("string"), F.lit(" "))
+    ident = F.when(k % 4 != 0, F.concat(F.lit("a."), k.cast("string"))).otherwise("")
+    base = lambda name: (session.alias("session_id"), F.lit(name).alias("hook_event_name"), cwd.alias("cwd"))
+    stop = F.to_json(F.struct(*base("Stop"), F.when(k % 5 == 0, True).otherwise(F.lit(None)).alias("stop_hook_active")))
+    ended = F.to_json(F.struct(*base("SubagentStop"), who.alias("agent_type"), said.alias("last_assistant_message"), F.lit("").alias("agent_id"), ident.alias("task_id")))
+    used = F.to_json(F.struct(*base("PostToolUse"), F.lit("Task").alias("tool_name"), F.struct(who.alias("subagent_type")).alias("tool_input"), F.lit("").alias("tool_response"), F.struct(F.array(F.struct(said.alias("text"))).alias("content")).alias("tool_output"), ident.alias("tool_use_id")))
+    text = F.when(k % 26 == 0, "").when(k % 13 == 0, '{"session_id": ').when(kind == "view", stop).when(k % 3 == 0, used).otherwise(ended)
+    raw = _t(spark, d, "events").select("event_id", "ts", text.alias("payload"))
+    return sessions.fold(events.to_fold(raw, _folder_facts(spark, d), files.gate_open(None), prefixes=["kit"]))
+
+
 @query("SELECT event_id, ts FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def ttl_filter(spark, d):
     events = _t(spark, d, "events").select("event_id", "ts")

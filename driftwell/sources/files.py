@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import shutil
 import subprocess
@@ -170,6 +171,70 @@ def context_line(facts: DataFrame) -> DataFrame:
     return facts.where("in_tree").select(F.format_string("Git: branch %s, %d commit(s) ahead of %s, %s", F.coalesce("branch", F.lit("(detached)")), "ahead", F.coalesce("base", F.lit("-")), F.when(F.col("dirty"), "uncommitted changes").otherwise("clean")).alias("line"))
 
 
+def tracked_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the files that git tracks in a folder; none where it is no checkout.  A small driver-side source."""
+    r = subprocess.run(["git", "-C", folder, "-c", "core.quotepath=false", "ls-files", "-z"], capture_output=True, text=True, check=False)
+    return spark.createDataFrame([(p,) for p in r.stdout.split("\0") if p] if r.returncode == 0 else [], "path string")
+
+
+def listed(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(name) of the files right in a folder; their contents are not read."""
+    reader = spark.read.format("binaryFile")
+    df = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+def optional_text(spark: SparkSession, path: str | None) -> DataFrame:
+    """(path, text) of a file that need not be there; without it an empty table."""
+    if not path or not os.path.isfile(path):
+        return spark.createDataFrame([], "path string, text string")
+    return texts(spark, path).select("path", "text")
+
+
+def first_root(*candidates: str | None) -> str:
+    """The first candidate that is a folder; raises if none is."""
+    for c in candidates:
+        if c and os.path.isdir(c):
+            return os.path.abspath(c)
+    raise FileNotFoundError("no root resolves")
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """An append-only log of JSON lines."""
+    df.write.mode("append").json(path)
+
+
+def append_line(path: str, line: str) -> None:
+    """One more line in a local log."""
+    with open(path, "a", encoding="utf-8", newline="\n") as f:
+        f.write(line.rstrip("\n") + "\n")
+
+
+def _same(value: object, back: object) -> bool:
+    """Whether a value is what was read back, its keys being text there and tuples lists."""
+    if isinstance(value, dict):
+        return isinstance(back, dict) and len(value) == len(back) and all(str(k) in back and _same(v, back[str(k)]) for k, v in value.items())
+    if isinstance(value, (list, tuple)):
+        return isinstance(back, list) and len(value) == len(back) and all(map(_same, value, back))
+    return type(value) is type(back) and value == back
+
+
+def write_verified(path: str, value: object) -> None:
+    """A local JSON file, written beside its place, read again and compared, and moved there only if it says the same; the original stays otherwise."""
+    new = f"{path}.tmp.{os.getpid()}"
+    try:
+        with open(new, "w", encoding="utf-8", newline="\n") as f:
+            json.dump(value, f, ensure_ascii=False, indent=2)
+        with open(new, encoding="utf-8") as f:
+            back = json.load(f)
+        if not _same(value, back):
+            raise ValueError(f"{path}: what was written does not read back the same")
+        os.replace(new, path)
+    finally:
+        if os.path.exists(new):
+            os.remove(new)
+
+
 def write_text(path: str, text: str) -> None:
     """A local file, replaced whole: temporary file, then move.  LF only."""
     new = f"{path}.tmp.{os.getpid()}"

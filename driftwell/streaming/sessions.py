@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from driftwell.operators.sessions import OUT, State, step
+from driftwell.operators.sessions import OUT, State, prepared, step
 
 #: Milliseconds after its last change that state is kept.
 TTL_MS = 7 * 24 * 3600 * 1000
@@ -34,7 +33,7 @@ class Sessions(StatefulProcessor):
             if r["instance"] and self.ids.containsKey((r["instance"],)):
                 s.ids = {r["instance"]}
             before = set(s.ids)
-            done = step(s, r["kind"], r["verdict"], r["instance"], r["head"])
+            done = step(s, r["kind"], r["verdict"], r["instance"], r["head"], r["facts_ok"], r["continuation"])
             for new in s.ids - before:
                 self.ids.updateValue((new,), (True,))
             s.ids = set()
@@ -47,5 +46,4 @@ class Sessions(StatefulProcessor):
 
 def stream_fold(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """The streaming twin of operators.sessions.fold; needs the RocksDB state store."""
-    keyed = events.withColumn("session", F.regexp_replace("session", "[^A-Za-z0-9_-]", "")).where("session <> ''")
-    return keyed.groupBy("session").transformWithState(Sessions(ttl_ms), T._parse_datatype_string(OUT), "Append", "ProcessingTime")
+    return prepared(events).groupBy("session").transformWithState(Sessions(ttl_ms), T._parse_datatype_string(OUT), "Append", "ProcessingTime")

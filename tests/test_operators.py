@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.functions import text as fn
-from driftwell.operators import merge, regions, relational, report, sessions, textscan
+from driftwell.operators import events, merge, migrate, regions, relational, report, rosters, sessions, textscan
 from driftwell.sources import files
 from driftwell.streaming.sessions import stream_fold
 
@@ -110,7 +110,7 @@ def test_text_of_response_and_hints(spark):
 
 
 def test_merge(spark):
-    assert merge.expand("${A}/${B:-d}/${C}/${D:-${A}}", {"A": "1"}) == "1/d/${C}/1"
+    assert merge.expand("${A}/${B:-d}/${C}/${D:-${A}}", {"A": "1"}) == "1/d//1"
     df = spark.createDataFrame([('{"b": ["${A}"], "a": 1}',), ("{bad",)], "j string")
     assert [r[0] for r in df.select(merge.canonical(merge.expanded(F.col("j"), {"A": "x"}))).collect()] == ['{"a":1,"b":["x"]}', None]
     hooks = {"Stop": [{"matcher": None, "hooks": [{"type": "command", "command": "sh /x/old.sh", "timeout": 1}]}], "PreToolUse": [{"matcher": "m", "hooks": [{"type": "command", "command": "mine", "timeout": 1}]}]}
@@ -171,3 +171,74 @@ def test_scalars(spark):
     df = spark.createDataFrame([(" 7\t", "", "b", "A\\b.TXT")], "c string, e string, f string, p string")
     r = df.select(fn.counter(F.col("c")), fn.counter(F.col("e")), fn.first_filled(F.col("e"), F.col("f")), fn.basename(F.col("p")), fn.extension(F.col("p"))).collect()[0]
     assert r[:] == (7, 1, "b", "b.TXT", ".txt")
+
+
+def test_more_sinks_and_sources(spark, tmp_path):
+    log = tmp_path / "log"
+    for i in range(2):
+        files.append_rows(spark.range(i, i + 1), str(log))
+    assert sorted(r["id"] for r in spark.read.json(str(log)).collect()) == [0, 1]
+    files.append_line(str(tmp_path / "l"), "a\n")
+    files.append_line(str(tmp_path / "l"), "b")
+    assert (tmp_path / "l").read_bytes() == b"a\nb\n"
+    files.write_verified(str(tmp_path / "v.json"), {"b": [1, {"c": None}], "a": "é"})
+    with pytest.raises(ValueError, match="read back"):
+        files.write_verified(str(tmp_path / "v.json"), {1: "keys become text", "1": "twice"})
+    assert json.loads((tmp_path / "v.json").read_text()) == {"b": [1, {"c": None}], "a": "é"} and not list(tmp_path.glob("*.tmp.*"))
+    assert files.optional_text(spark, str(tmp_path / "gone")).count() == 0 and files.optional_text(spark, None).count() == 0
+    assert files.first_root(None, str(tmp_path / "gone"), str(tmp_path)) == str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        files.first_root(None)
+    bad = files.invalid_yaml(spark.createDataFrame([("x", "a: [1")], "path string, text string")).collect()
+    assert [r["problem"] for r in bad] in (["invalid"], ["skipped"])
+
+
+def test_git(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    assert files.tracked_files(spark, str(tmp_path)).count() == 0
+    assert not files.git_facts(spark, str(tmp_path)).collect()[0]["in_tree"]
+    git("init", "-q", "-b", "main")
+    (tmp_path / "a b.txt").write_text("1")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    git("checkout", "-qb", "feature/x")
+    git("commit", "-q", "--allow-empty", "-m", "two")
+    facts = files.git_facts(spark, str(tmp_path))
+    assert facts.select(files.gate_open(facts)).collect()[0][0] and facts.collect()[0]["ahead"] == 1
+    assert files.context_line(facts).collect()[0][0] == "Git: branch feature/x, 1 commit(s) ahead of main, clean"
+    assert rows(files.tracked_files(spark, str(tmp_path))) == [("a b.txt",)]
+    (tmp_path / "new").write_text("1")
+    dirty = files.git_facts(spark, str(tmp_path))
+    assert not dirty.select(files.gate_open(dirty)).collect()[0][0]
+
+
+def test_long_unterminated_frontmatter(spark):
+    text = "---\n" + "key: value\n" * 50_000
+    df = spark.createDataFrame([(text,), (text + "---\n",), ("---",), (None,), ("---\n---\nx",), ("\ufeff--- \t\r\na: 'b'#c\r\n---",)], "t string")
+    got = df.select(regions.frontmatter_problem(F.col("t")), F.length(regions.frontmatter(F.col("t"))), regions.front_value(regions.frontmatter(F.col("t")), "a")).collect()
+    assert [tuple(r) for r in got] == [("unterminated-frontmatter", None, None), (None, len(text) - 4, None), ("unterminated-frontmatter", None, None), ("missing-frontmatter", None, None), (None, 0, None), (None, 9, "b")]
+
+
+def test_counts_and_orders(spark):
+    counts = spark.createDataFrame([("a", 2)], "key string, n int")
+    assert report.count_of_key(counts, "a") == 2
+    with pytest.raises(KeyError):
+        report.count_of_key(counts, "b")
+    paths = spark.createDataFrame([("a",), ("a/b/c",), ("a/b",)], "path string")
+    assert [r[0] for r in migrate.children_first(paths).collect()] == ["a/b/c", "a/b", "a"]
+    v = spark.createDataFrame([('{"s": " ", "t": "x", "o": {}, "p": {"q": 1}, "f": false}',)], "j string").select(F.parse_json("j").alias("v"))
+    flags = [fn.text_field(F.col("v"), "$.s"), fn.text_field(F.col("v"), "$.t"), fn.text_field(F.col("v"), "$.p"), fn.filled_object(F.col("v"), "$.o"), fn.filled_object(F.col("v"), "$.p"), fn.filled_object(F.col("v"), "$.t"), events.or_default(events.field("f", "boolean"), True)]
+    assert list(v.select(*flags).collect()[0]) == [False, True, False, False, True, False, True]
+    assert rosters.whole_file_model(F.lit("x")) is not None
+    model = spark.createDataFrame([("x\nmodel: 'big' \n",), ("none",)], "t string")
+    assert [r[0] for r in model.select(rosters.whole_file_model(F.col("t"))).collect()] == ["big", None]
+
+
+def test_broken_payloads(spark):
+    raw = [(1, ""), (2, None), (3, "{"), (4, "[1]"), (5, '"x"'), (6, '{"session_id": "s", "hook_event_name": "Stop", "stop_hook_active": true}'), (7, '{"hook_event_name": "Stop"}'), (8, '{"session_id": "s", "hook_event_name": "Stop"}')]
+    df = spark.createDataFrame([(i, i, p) for i, p in raw], "event_id long, ts int, payload string")
+    facts = spark.createDataFrame([("/w", "h", True)], "cwd string, head string, ok boolean")
+    got = events.to_fold(df, facts, F.col("ok")).collect()
+    assert sorted((r["event_id"], r["continuation"], r["facts_ok"]) for r in got) == [(6, True, False), (8, False, False)]

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def duck():
 
 
 def plain(frame, cols):
-    return sorted(tuple("" if x is None or x != x else str(float(x) if isinstance(x, float) else x) for x in r) for r in frame[cols].itertuples(index=False))
+    return sorted(tuple("" if pd.isna(x) else str(float(x) if isinstance(x, float) else x) for x in r) for r in frame[cols].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
