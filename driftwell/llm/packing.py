@@ -26,6 +26,8 @@ from .infra import cut, row_id, ship
 
 #: Entries of a worker's chunk cache; past it the cache starts anew (results don't depend on it).
 CACHE = 500_000
+#: Pieces that go to the library as one text.
+TOGETHER = 20_000
 #: Pieces in a group, and rounds at most (a round leaves half of the groups or is the last).
 GROUP, MOST_ROUNDS = 20_000, 40
 #: Where a text may be cut before a space: after a letter, a digit or a visible sign. A match of the byte-level pattern never goes on from there to a space.
@@ -45,18 +47,31 @@ class _ByteBPE:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.known: dict[str, bytes] = {}
+        special = [(i, t.content) for i, t in sorted(self.lib.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.normalized)]
+        self.mark, self.marker = special[0] if special else (None, None)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         # the fast form leaves out offsets, which nobody reads here; ids are the same
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False))]
 
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """The ids of many short texts: they go to the library in long ones, with a special token (which nothing is merged with) between them."""
+        if self.marker is None or any(self.marker in t for t in texts):
+            return self._library(texts)
+        out: list[bytes] = []
+        joined = [self.marker.join(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)]
+        for ids in (np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)):
+            raw, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
+            out += [raw[i:j] for i, j in zip([0, *(i + 4 for i in at)], [*at, len(raw)], strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known = {}
         chunks = [_cut(t) for t in texts]
         fresh = list(set().union(*chunks) - self.known.keys())
         if fresh:
-            self.known.update(zip(fresh, self._library(fresh), strict=True))
+            self.known.update(zip(fresh, self._pieces(fresh), strict=True))
         look = self.known.__getitem__
         return [b"".join(map(look, c)) for c in chunks]
 
