@@ -42,7 +42,7 @@ SURE = 3.5
 #: Tokens and stretches that a worker remembers; past that it starts anew (results don't depend on it).
 CACHE, STRETCHES = 400_000, 300_000
 #: Stretches alike, up to the letters around them, from which a table of all surroundings pays, and tables held at most (nor on these).
-OFTEN, TABLES = 1500, 64
+OFTEN, TABLES = 4000, 64
 #: Characters of texts that are restored together.
 TOGETHER = 1 << 20
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -88,10 +88,15 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    kind = _kinds().astype(np.int32)
+    return np.where(kind == _SIGN, 0, kind).astype(np.int32)
+
+
 def letter_classes(text: str) -> np.ndarray:
     """The class of each character: 0 a border (all that is no letter), 1 to 26 the letters a to z of either case, 27 another letter."""
-    c = _kinds()[_points(text)].astype(np.int64)
-    return np.where(c == _SIGN, 0, c)
+    return _classes()[_points(text)]
 
 
 def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -185,6 +190,12 @@ def _costs(ch: str, again: float, split: float, borders: bool) -> tuple[np.ndarr
     return cost, stay, names, nothing
 
 
+def _distinct(middle: str) -> bool:
+    """Whether no letter but a to z comes twice in a stretch: then none can be another one drawn out."""
+    other = [x for x in middle if x > "z" and _LETTER.match(x)]
+    return len(set(other)) == len(other)
+
+
 def _stand(items: list[tuple[str, str, str]], lm: Trigrams) -> np.ndarray:
     """For each (two letters, stretch, two letters): whether the likeliest reading of the stretch leaves it as it is.
 
@@ -414,7 +425,7 @@ def _stretches(texts: list[str], lm: Trigrams) -> list[list[list[int]]]:
         if known_as is None:
             lm.seen[number] += j - i
             middle = whole[s[at[0]] + 1 : e[at[0]] - 1]
-            if lm.seen[number] < OFTEN or len(lm.tables) >= TABLES or sum(x > "z" and _LETTER.match(x) is not None for x in middle) > 1:
+            if lm.seen[number] < OFTEN or len(lm.tables) >= TABLES or not _distinct(middle):
                 continue
             known_as = lm.tables[number] = middle, _table(middle, lm)
         middle, table = known_as
@@ -463,7 +474,7 @@ def _settle(texts: list[str], stretches: list[list[list[int]]], lm: Trigrams) ->
                 fresh[key] = (text[start - 2 : start], text[start:end], text[end : end + 2])
     by: dict[int, list[str]] = {}
     for key, (before, middle, after) in fresh.items():
-        if before[1] not in middle and after[0] not in middle and sum(x > "z" and _LETTER.match(x) is not None for x in middle) < 2:
+        if before[1] not in middle and after[0] not in middle and _distinct(middle):
             by.setdefault(len(_UNITS.findall(middle)), []).append(key)
     for keys in by.values():
         found.update((x, False) for x, stays in zip(keys, _stand([fresh[x] for x in keys], lm).tolist(), strict=True) if stays)
@@ -550,11 +561,11 @@ def spaced(text: str) -> list[str]:
     return [re.sub(r"[ \t]+", "", m) for m in _SPACED.findall(text)]
 
 
-def odd_tokens(text: str) -> set[str]:
-    """Tokens with a sign or a digit, but for stops and quotes at their ends, or with a letter drawn out."""
+def odd_tokens(text: str, u: np.ndarray | None = None) -> set[str]:
+    """Tokens with a sign or a digit, but for stops and quotes at their ends, or with a letter drawn out; u: the text's code points."""
     if not text:
         return set()
-    u = _points(text)
+    u = _points(text) if u is None else u
     k = _kinds()[u]
     letter = (k >= 1) & (k <= 27)
     odd = k == _SIGN
@@ -625,26 +636,27 @@ class ToxicityModel:
             found = self.cache[token] = max(((self.of_word(w), w) for w in readings(token, self.lm)), default=(0.0, ""))
         return found
 
-    def _candidates(self, text: str) -> set[str]:
+    def _candidates(self, text: str, u: np.ndarray) -> set[str]:
         """The words of a text, in lower case, that begin like a feature with evidence does; others have none."""
-        text = text.lower()
-        c = letter_classes(f" {text}   ")
+        c = np.zeros(len(u) + 4, np.int32)
+        c[1:-3] = _classes()[u]
         start = np.flatnonzero((c[:-3] == 0) & (c[1:-2] > 0))
         start = start[self.begins[(c[start + 1] * _N + c[start + 2]) * _N + c[start + 3]]]
         if not len(start):
             return set()
         stop = np.flatnonzero(c == 0)
         stop = stop[np.searchsorted(stop, start + 1)]
-        return {text[i:j] for i, j in zip(start.tolist(), (stop - 1).tolist(), strict=True)}
+        return {text[i:j].lower() for i, j in zip(start.tolist(), (stop - 1).tolist(), strict=True)}
 
     def features(self, text: str, fixed: str | None = None) -> np.ndarray:
         """The three strongest evidences of distinct words, and how many there are and their share (as logarithms); fixed: the text as restored."""
         fixed = restore(text, self.lm, True) if fixed is None else fixed
-        words = self._candidates(text)
-        if fixed != text:
-            words |= self._candidates(fixed)
+        tokens, u = set(text.split()), _points(text)
+        words = self._candidates(text, u)
+        if fixed is not text and (changed := " ".join(set(fixed.split()) - tokens)):
+            words |= self._candidates(changed, _points(changed))
         held = {w: self.of_word(w) for w in words}
-        for t in odd_tokens(text):
+        for t in odd_tokens(text, u):
             x = t[:3].lower()
             # three letters, each unlike the next, are read as they stand
             if len(x) == 3 and x.isalpha() and x[0] != x[1] != x[2] and x not in self.starts and "µ" not in x:
@@ -657,7 +669,7 @@ class ToxicityModel:
                 held[w] = e
         strong = sorted((e for e in held.values() if e > 0), reverse=True)
         top = (strong + [0.0, 0.0, 0.0])[:3]
-        return np.array([*top, np.log1p(len(strong)), np.log1p(100 * len(strong) / (len(set(text.split())) + 20))])
+        return np.array([*top, np.log1p(len(strong)), np.log1p(100 * len(strong) / (len(tokens) + 20))])
 
     def all_features(self, texts: list[str]) -> np.ndarray:
         rows = [self.features(t, f) for _, part in chunks(texts, TOGETHER) for t, f in zip(part, restored(part, self.lm), strict=True)]
