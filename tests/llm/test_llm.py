@@ -313,6 +313,49 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score(docs.limit(3), quality.train(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_quality_edges(spark):
+    docs, labels, _ = labelled(spark)
+    model = quality.train(docs.union(docs.limit(30)), labels.union(labels.limit(9)))
+    rows = [(1, "same words here", 5.0, "p"), (1, "same words here", 5.0, "p"), (None, None, 1.0, "q"), (2, "", 0.0, None), (3, some_text(random.Random(4), 50_000), 0.0, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted string")
+    got = quality.score(df, model).collect()
+    assert len(got) == 5 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and len({r["score"] for r in got if not r["text"]}) == 1
+    assert quality.score(df.limit(0), model).count() == 0
+
+
+def test_quality_by_plain_compression(spark):
+    import zstandard
+
+    docs, labels, _ = labelled(spark)
+    model = quality.train(docs, labels)
+    size = lambda x, d: len(zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False, **({"dict_data": zstandard.ZstdCompressionDict(d)} if d else {})).compress(x))
+    w, mean, scale = model.curve
+    for r in quality.score(docs.limit(40), model).collect():
+        t, f = (r["text"] or "").encode(), np.zeros(7)
+        blocks = [t[i : i + 1024] for i in range(0, len(t), 1024)]
+        if len(blocks) > 1 and len(blocks[-1]) < 512:
+            blocks[-2:] = [blocks[-2] + blocks[-1]]
+        if t:
+            n = np.array([len(x) for x in blocks], float)
+            g, b, none = (np.array([size(x, d) for x in blocks], float) for d in (model.good, model.bad, b""))
+            f = np.array([(b - g).sum() / none.sum(), ((b - g) / none).min(), ((b - g) / none).max(), none.sum() / n.sum(), (none / n).min(), (none / n).max(), (g / n).max()])
+        want = 1 / (1 + np.exp(-np.clip(np.r_[(f - mean) / scale, 1] @ w, -35, 35)))
+        assert abs(r["score"] - want) < 1e-9
+
+
+def test_bpe_repeated_rows_and_clashing_columns(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(1, "some words", 7, "y"), (1, "some words", 7, "y"), (None, None, 0, None)], "id long, text string, ids int, decoded string")
+    got = bpe.encode(df, path, decoded="decoded").collect()
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    ids = lib.encode("some words", add_special_tokens=False).ids
+    want = (np.array(ids, "<u4").tobytes(), lib.decode(ids, skip_special_tokens=False))
+    assert sorted((bytes(r["ids"]), r["decoded"]) for r in got) == [(b"", lib.decode([])), want, want]
+
+
 # ---- op5
 
 
