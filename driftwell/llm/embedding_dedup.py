@@ -252,7 +252,7 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         i, j = np.triu_indices(len(c))
         pairs.append(pa.table({"grp": pa.array([g] * len(i)), "ca": pa.array(i.astype(np.int32)), "cb": pa.array(j.astype(np.int32)), "apart": pa.array(apart[i, j])}))
     cells = spark.createDataFrame(pa.concat_tables(pairs)) if pairs else spark.createDataFrame([], "grp string, ca int, cb int, apart double")
-    lone = rings.where(~F.col("grp").isin(sorted(centres))).select("grp", F.col("cell").alias("ca"), F.col("cell").alias("cb"), F.lit(0.0).alias("apart")).distinct()
+    lone = rings.join(cells.select("grp").distinct(), "grp", "left_anti").select("grp", F.col("cell").alias("ca"), F.col("cell").alias("cb"), F.lit(0.0).alias("apart")).distinct()
     side = lambda s: rings.select("grp", F.col("cell").alias(f"c{s}"), F.col("ring").alias(f"r{s}"), F.col("np").alias(f"n{s}"), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}"))
     gap = F.greatest(F.col("apart") - F.col("hia") - F.col("hib"), F.col("loa") - F.col("apart") - F.col("hib"), F.col("lob") - F.col("apart") - F.col("hia"))
     near = cells.unionByName(lone).join(side("a"), ["grp", "ca"]).join(side("b"), ["grp", "cb"]).where(gap <= chord + 1e-6).where("ca < cb or ra <= rb")
