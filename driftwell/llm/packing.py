@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .infra import cut, row_id, ship
 
-#: Entries of a worker's chunk cache; past it the cache starts anew (results don't depend on it).
-CACHE = 500_000
+#: Pieces that a worker remembers; past it only those asked for again stay (results don't depend on it).
+CACHE = 150_000
 #: Pieces that go to the library as one text.
 TOGETHER = 20_000
 #: Pieces in a group, and rounds at most (a round leaves half of the groups or is the last).
@@ -47,6 +47,7 @@ class _ByteBPE:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         special = [(i, t.content) for i, t in sorted(self.lib.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.normalized)]
         self.mark, self.marker = special[0] if special else (None, None)
 
@@ -67,9 +68,12 @@ class _ByteBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
-            self.known = {}
+            self.known, self.before = {}, self.known
         chunks = [_cut(t) for t in texts]
-        fresh = list(set().union(*chunks) - self.known.keys())
+        fresh = set().union(*chunks) - self.known.keys()
+        again = fresh & self.before.keys()
+        self.known.update((x, self.before[x]) for x in again)
+        fresh = list(fresh - again)
         if fresh:
             self.known.update(zip(fresh, self._pieces(fresh), strict=True))
         look = self.known.__getitem__
