@@ -146,6 +146,13 @@ def blobs(bucket: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return bucket[cuts].astype(np.int32), data.cast(pa.binary())
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows: what Python makes of a part is freed before the next."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 #: Bytes of records that a task gathers before it sends them.
 _GATHER = 64 << 20
 

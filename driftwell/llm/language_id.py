@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .infra import cut, ship
+from .infra import cut, ship, slices
 from .wordhash import chunks
 
 #: Languages a model may have (its table is broadcast: 0.5 MB each; more raise), strength of priors, weight of a byte pair.
@@ -103,7 +103,7 @@ def _with_text_evidence(df: DataFrame, model: TextModel, markup: bool) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
+        for b in slices(batches):
             raw = b.column(place).to_pylist()
             texts = [(visible(t) if markup else t).encode() if t else b"" for t in raw]
             got = [x for _, part in chunks(texts) for x in m.score(part)]

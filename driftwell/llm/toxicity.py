@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .infra import cut, ship
+from .infra import cut, ship, slices
 from .labelled import logistic, probability, training_sample
 from .wordhash import chunks
 
@@ -40,11 +40,11 @@ _SIGN = 28  # what is neither letter nor blank
 #: Deviations by which evidence must exceed chance.
 SURE = 3.5
 #: Tokens and stretches that a worker remembers; past that it starts anew (results don't depend on it).
-CACHE, STRETCHES = 400_000, 300_000
+CACHE, STRETCHES = 60_000, 120_000
 #: Stretches alike, up to the letters around them, from which a table of all surroundings pays, and tables held at most (nor on these).
 OFTEN, TABLES = 4000, 64
 #: Characters of texts that are restored together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TRIM = "\"'.,;:!?()[]{}<>|*#&%$@~-_`^/\\"
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
@@ -747,7 +747,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
+        for b in slices(batches):
             texts = [x or "" for x in b.column(place).to_pylist()]
             p = probability(m.curve, m.all_features(texts))
             cols = [*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))]
