@@ -45,6 +45,11 @@ def padded(c: Column, width: int) -> Column:
     return F.when(F.length(c) < width, F.rpad(c, width, " ")).otherwise(c)
 
 
+def nth(c: Column, i: int) -> Column:
+    """The i-th element (from 0) of an array; null beyond its end."""
+    return F.get(c, F.lit(i))
+
+
 def version(text: Column, default: str = "0.0.0") -> Column:
     """The version of a JSON text; the default where it has none."""
     return F.coalesce(F.nullif(F.get_json_object(text, "$.version"), F.lit("")), F.lit(default))

@@ -127,6 +127,16 @@ def carry_header(lines: DataFrame, group: str, order: str, header: Column) -> Da
     return lines.withColumn("section", F.last(header, ignorenulls=True).over(w))
 
 
+def filled_count(df: DataFrame, column: str) -> DataFrame:
+    """One row: how many values are neither null nor empty."""
+    return df.agg(F.count_if(F.col(column).cast("string") != "").alias("n"))
+
+
+def end_to_end(*arrays: Column) -> Column:
+    """Arrays one after the other; a null one counts as empty."""
+    return F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays])
+
+
 def top(df: DataFrame, column: str, n: int) -> DataFrame:
     """The n most frequent values, ties by value."""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(column)).limit(n)

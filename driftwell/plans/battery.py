@@ -367,3 +367,37 @@ def region_problems(spark, d):
     text = F.when(kind == 0, "a<B>x<E>b").when(kind == 1, "x<E>").when(kind == 2, F.concat(F.lit("<B>x"), F.col("page_id").cast("string"))).when(kind == 3, "<B><B>x<E>").otherwise("<E>x<B>")
     rows = table(spark, d, "pages").select("page_id", text.alias("t"))
     return rows.select("page_id", regions.region_problem(F.col("t"), "<B>", "<E>").alias("problem"), regions.replaced(F.col("t"), "<B>", "<E>", F.lit("new")).alias("replaced"))
+
+
+_STATED = "20 specialized agents and a 21-agent kit\n3 Hook Scripts, 4 hooks, 3 hooks\n- **Total Hooks:** 5\n6 Quality Gates; Should show 7\n8 operational Skills, 7 skills\n9 Commands, 10 commands\ngrep '30 hooks'\n11-agent\n"
+
+
+@query(values("line_no INTEGER, phrase VARCHAR, stated BIGINT, what VARCHAR, derived BIGINT", [
+    (1, "20 specialized agents", 20, "agents", 21), (2, "4 hooks", 4, "hooks", 3), (3, "Total Hooks:** 5", 5, "hooks", 3), (4, "6 Quality Gates", 6, "hooks", 3), (4, "Should show 7", 7, "agents", 21), (5, "7 skills", 7, "skills", 8), (6, "10 commands", 10, "commands", 9), (8, "11-agent", 11, "agents", 21),
+]))
+def count_rules(spark, d):
+    rows = textscan.stated_numbers(textscan.lines(spark.createDataFrame([(_STATED,)], "text string")), {"agents": 21, "hooks": 3, "skills": 8, "commands": 9})
+    return rows.select("line_no", "phrase", "stated", "what", "derived")
+
+
+@query(values("name VARCHAR, type VARCHAR, subject VARCHAR", [
+    ("bad", "invalid-effort", "huge"), ("bad", "missing-a-bootstrap", "mcp__a__boot"), ("bad", "undeclared-tool-server", "a"), ("bad", "unknown-mcp-server", "z"), ("list", "unparseable-mcpservers", ""), ("list", "unparseable-tools", ""), ("none", "unparseable-frontmatter", "missing-frontmatter"), ("open", "unparseable-frontmatter", "unterminated-frontmatter"),
+]))
+def frontmatter_battery(spark, d):
+    good = "---\neffort: high\nmcpServers: [a, b]\ntools: Read, mcp__a__x, mcp__a__boot\n---\n"
+    bad = "---\neffort: huge\nmcpServers: z\ntools: mcp__a__x\n---\n"
+    rows = [("good", good), ("bad", bad), ("none", "text"), ("list", "---\nmcpServers:\n  - a\ntools:\n---\n"), ("open", "---\neffort: huge\n")]
+    return documents.frontmatter_problems(spark.createDataFrame(rows, "name string, text string"), ["low", "high"], ["a", "b"], [("a", ["mcp__a__boot"])])
+
+
+@query("""
+SELECT lang, count(*) FILTER (WHERE text <> '') AS n, CAST(sum(2 + CASE WHEN lang = 'de' THEN 0 ELSE 1 END) AS BIGINT) AS n_parts, min(lang) AS second FROM documents GROUP BY 1""")
+def small_helpers(spark, d):
+    docs = table(spark, d, "documents")
+    parts = relational.end_to_end(F.array(F.lit("x"), F.col("lang")), F.when(F.col("lang") != "de", F.array(F.lit("y"))))
+    out = None
+    for k in ("de", "en", "es", "fr"):
+        some = docs.where(F.col("lang") == k)
+        one = relational.filled_count(some, "text").crossJoin(some.agg(F.sum(F.size(parts)).alias("n_parts"), F.min(fn.nth(parts, 1)).alias("second"), F.min(F.coalesce(fn.nth(parts, 9), F.lit(k))).alias("lang")))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out.where("lang is not null").select("lang", F.col("n").cast("long").alias("n"), "n_parts", "second")
