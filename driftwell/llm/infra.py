@@ -151,6 +151,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        del b
+        pa.default_memory_pool().release_unused()
 
 
 #: Bytes of records that a task gathers before it sends them.

@@ -95,8 +95,8 @@ class TextModel:
         return out
 
 
-def _with_text_evidence(df: DataFrame, model: TextModel, markup: bool) -> DataFrame:
-    """df with ll: by language, the tempered log-likelihood of `text` (null if it has no letter)."""
+def _with_text_evidence(df: DataFrame, model: TextModel, markup: bool, with_text: bool = False) -> DataFrame:
+    """df, without its text unless with_text, and ll: by language, the tempered log-likelihood of `text` (null if it has no letter)."""
     held = df.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES x 65536 doubles
     names = df.columns
     place = names.index("text")
@@ -108,10 +108,10 @@ def _with_text_evidence(df: DataFrame, model: TextModel, markup: bool) -> DataFr
             texts = [(visible(t) if markup else t).encode() if t else b"" for t in raw]
             got = [x for _, part in chunks(texts) for x in m.score(part)]
             ll = [None if not x[-1] else (TEXT_WEIGHT * x[:-1]).tolist() for x in got]
-            cols = [c for i, c in enumerate(b.columns) if i != place]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(ll, pa.list_(pa.float64()))], names=[*[n for n in names if n != "text"], "ll"])
+            kept = [i for i in range(len(names)) if with_text or i != place]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(ll, pa.list_(pa.float64()))], names=[*(names[i] for i in kept), "ll"])
 
-    return df.mapInArrow(run, df.drop("text").schema.add("ll", T.ArrayType(T.DoubleType())))
+    return df.mapInArrow(run, (df.select("*") if with_text else df.drop("text")).schema.add("ll", T.ArrayType(T.DoubleType())))
 
 
 def _best(scores: Column) -> Column:
@@ -150,15 +150,15 @@ def fuse(df: DataFrame, model: TextModel, id_col: str | None, text_col: str, url
     # a language's code as a part of the path, else the top domain
     suffix = F.coalesce(blank(F.regexp_extract(url, r"^[a-z]+://[^/]+/([a-z]{2})(?:/|$)", 1)), blank(F.regexp_extract(url, r"^[a-z]+://[^/:?#]*\.([a-z]{2,})(?:[/:?#]|$)", 1)))
     declared = blank(F.lower(F.regexp_extract(text, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))) if markup else F.lit(None).cast("string")
-    carried = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-    again = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+    carried = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep) if c != text_col]
+    again = [F.col("text" if c == text_col else f"k{i}").alias(c) for i, c in enumerate(keep)]
     named = lambda: [F.col("id").alias(id_col)] if id_col else []
     ident = F.col(f"`{id_col}`") if id_col else F.lit(None).cast("long")
     rows = df.select(ident.alias("id"), text.alias("text"), host.alias("host"), suffix.alias("suffix"), declared.alias("declared"), *carried)
     if not n:
         return rows.select(*named(), *again, F.lit("und").alias("lang"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_lang"), "declared")
     rows = rows.withColumn("domain", F.when(F.col("host").contains("."), F.substring_index("host", ".", -2)).otherwise(F.col("host")))
-    seen = cut(_with_text_evidence(rows, model, markup).withColumn("best", _best(F.col("ll"))), "evidence")
+    seen = cut(_with_text_evidence(rows, model, markup, text_col in keep).withColumn("best", _best(F.col("ll"))), "evidence")
 
     # grouped counts: of hosts, their domains, and all (n numbers)
     per = [F.count_if(F.col("best") == i).alias(f"c{i}") for i in range(n)]

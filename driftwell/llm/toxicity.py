@@ -69,9 +69,10 @@ _WORDS = re.compile(r"[^\W\d_]+")
 def _kinds() -> np.ndarray:
     """By code point: 0 a blank, 1 to 26 the letters a to z of either case, 27 another letter, _SIGN anything else."""
     kind = np.full(0x110000, _SIGN, np.uint8)
-    every = [chr(i) for i in range(0x110000)]
-    kind[[i for i, x in enumerate(every) if _LETTER.match(x)]] = 27
-    kind[[i for i, x in enumerate(every) if x.isspace()]] = 0
+    for i in range(0x110000):
+        x = chr(i)
+        if x.isalnum() or x.isspace():
+            kind[i] = 27 if _LETTER.match(x) else 0 if x.isspace() else _SIGN
     kind[97:123] = kind[65:91] = np.arange(1, 27)
     return kind
 
@@ -687,8 +688,14 @@ def _evidence(sample: DataFrame, lm: list) -> dict[str, float]:
             for at, part in chunks(b.column(0).to_pylist(), TOGETHER):
                 for text, fixed, y in zip(part, restored(part, held.value), labels[at : at + len(part)], strict=True):
                     seen[y].update({g for w in words_of(text, fixed, held.value) for g in grams(w)})
-        for y, n in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([y] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["gram", "y", "n"])
+                    if len(seen[y]) > 50_000:
+                        yield told(seen, y)
+        yield told(seen, 0)
+        yield told(seen, 1)
+
+    def told(seen: dict[int, Counter], y: int) -> pa.RecordBatch:
+        n, seen[y] = seen[y], Counter()
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([y] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["gram", "y", "n"])
 
     first = sample.where("f = 0")
     ones, zeros = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0))
