@@ -11,6 +11,7 @@ one group takes them all or rounds no longer lessen them.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -26,8 +27,8 @@ from .infra import cut, row_id, ship
 
 #: Pieces that a worker remembers; past it only those asked for again stay (results don't depend on it).
 CACHE = 150_000
-#: Pieces that go to the library as one text.
-TOGETHER = 20_000
+#: The byte-level pattern. Fixed value.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces in a group, and rounds at most (a round leaves half of the groups or is the last).
 GROUP, MOST_ROUNDS = 20_000, 40
 #: Where a text may be cut before a space: after a letter, a digit or a visible sign. A match of the byte-level pattern never goes on from there to a space.
@@ -38,7 +39,9 @@ _RARE = tuple(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x20
 
 
 class _ByteBPE:
-    """Ids of texts by the tokenizers library, with a cache of the pieces that begin with a space."""
+    """Ids of texts as the tokenizers library gives them, with a cache of the pieces that begin with a space.
+
+    New pieces go to the library, or to another public one that gives the same ids faster."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,23 +51,18 @@ class _ByteBPE:
         self.lib.no_padding()
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        special = [(i, t.content) for i, t in sorted(self.lib.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.normalized)]
-        self.mark, self.marker = special[0] if special else (None, None)
+        self.marks = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.quick = _quick(json.loads(self.lib.to_str()))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         # the fast form leaves out offsets, which nobody reads here; ids are the same
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False))]
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
-        """The ids of many short texts: they go to the library in long ones, with a special token (which nothing is merged with) between them."""
-        if self.marker is None or any(self.marker in t for t in texts):
+        """The ids of many short texts: by the quick form where there is one and the text holds no added token."""
+        if self.quick is None or any(m in t for m in self.marks for t in texts):
             return self._library(texts)
-        out: list[bytes] = []
-        joined = [self.marker.join(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)]
-        for ids in (np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)):
-            raw, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
-            out += [raw[i:j] for i, j in zip([0, *(i + 4 for i in at)], [*at, len(raw)], strict=True)]
-        return out
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(self.quick, texts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
@@ -80,6 +78,25 @@ class _ByteBPE:
         return [b"".join(map(look, c)) for c in chunks]
 
 
+def _quick(spec: dict) -> Callable[[str], list[int]] | None:
+    """A faster encoder of the same vocabulary, for plain byte-level BPE whose tokens are numbered in the order of their merges; else None."""
+    import tiktoken
+
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+        return None
+    # the printable form of a byte: itself, or the next sign from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    added = {t["content"] for t in spec["added_tokens"]}
+    if len(merges) + 256 != len([t for t in vocab if t not in added]) or any(vocab.get(x + y) != 256 + i for i, (x, y) in enumerate(merges)) or any(c not in vocab for c in byte_of):
+        return None
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in added}
+    return tiktoken.Encoding("byte-level", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def _cut(text: str) -> list[str]:
     """The text in pieces that the pattern takes one by one: cut before each space that no white space precedes."""
     if any(c in text for c in _COMMON) or (not text.isascii() and any(c in text for c in _RARE)) or "\0" in text:
