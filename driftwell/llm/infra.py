@@ -20,10 +20,13 @@ value holds many records at any size: with 40,000 records a bucket of 1 MiB, som
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +149,23 @@ def blobs(bucket: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return bucket[cuts].astype(np.int32), data.cast(pa.binary())
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def working(owner: str, clear: Callable[[], object]) -> None:
+    """To be called by a task: what other operators left in this worker's caches goes, and its memory back to the system; clear empties the owner's."""
+    others = [k for k in _held if k != owner]
+    for k in others:
+        _held.pop(k)()
+    _held[owner] = clear
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows: what Python makes of a part is freed before the next."""
     for b in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .infra import cut, ship, slices
+from .infra import cut, ship, slices, working
 from .wordhash import chunks
 
 #: Languages a model may have (its table is broadcast: 0.5 MB each; more raise), strength of priors, weight of a byte pair.
@@ -38,6 +38,7 @@ def pair_counts(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, np.n
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("language", int)
         total: dict[str, np.ndarray] = {}
         for b in batches:
             langs = b.column(1).to_pylist()
@@ -102,6 +103,7 @@ def _with_text_evidence(df: DataFrame, model: TextModel, markup: bool, with_text
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("language", int)  # nothing of its own stays
         m = held.value
         for b in slices(batches):
             raw = b.column(place).to_pylist()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .infra import cut, row_id, ship
+from .infra import cut, row_id, ship, working
 
 #: Pieces that a worker remembers; past it only those asked for again stay (results don't depend on it).
 CACHE = 150_000
@@ -124,6 +124,7 @@ def token_pieces(docs: DataFrame, path: str, text_col: str = "text", capacity: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("packing", _load.cache_clear)
         bpe = _load(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .infra import cut, ship, slices
+from .infra import cut, ship, slices, working
 from .labelled import logistic, probability, training_sample
 from .wordhash import chunks
 
@@ -85,6 +85,11 @@ def _among(signs: str) -> np.ndarray:
     return out
 
 
+def _clear() -> None:
+    for f in (_kinds, _classes, _among, _options, _costs):
+        f.cache_clear()
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -105,6 +110,7 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("toxicity", _clear)
         total = np.zeros(_N**3, np.int64)
         for b in batches:
             for _, part in chunks((x or "" for x in b.column(0).to_pylist()), 1 << 20):
@@ -682,6 +688,7 @@ def _evidence(sample: DataFrame, lm: list) -> dict[str, float]:
     held = sample.sparkSession.sparkContext.broadcast(lm)  # a trigram table of fixed size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("toxicity", _clear)
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
             labels = b.column(1).to_pylist()
@@ -753,6 +760,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: st
     place = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("toxicity", _clear)
         m = held.value
         for b in slices(batches):
             texts = [x or "" for x in b.column(place).to_pylist()]

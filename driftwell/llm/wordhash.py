@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .infra import working
+
 U = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _ROUTES = {"byte": 0xD6E8FEB86659FD93, "win": 0xA0761D6478BD642F, "win2": 0xE7037ED1A0B428DB}
@@ -37,6 +39,7 @@ _LOWER[65:91] += 32
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _pow_cache.get(base)
+    working("words", _pow_cache.clear)
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
         inverse = pow(base, -1, 1 << 64)
