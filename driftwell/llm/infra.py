@@ -231,6 +231,7 @@ def counted(df: DataFrame, rid: str = "rid") -> DataFrame:
     place = df.columns.index(rid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("rows", int)  # nothing of its own stays
         for b in batches:
             _, first, n = np.unique(b.column(place).to_numpy(), return_index=True, return_counts=True)
             order = np.argsort(first)
