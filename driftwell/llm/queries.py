@@ -12,6 +12,7 @@ from .embedding_dedup import near_dedup
 from .labelled import HELD_OUT, fold
 from .ngram_join import ngram_join
 from .packing import pack_documents
+from .prefix_trie import TRIE_SQL, shared_starts, trie, turns_in_order
 from .substring_dedup import substring_dedup
 
 
@@ -86,7 +87,12 @@ def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-_ALL = (op1_bpe_encode_decode, op2_nearest_neighbours, op3_toxicity, op4_quality, op5_best_fit_packing, op6_ngram_jaccard_join, op7_substring_dedup, op8_embedding_near_dedup, op9_language_id, op10_chat_rotation, op12_source_mixing)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turns_in_order(table(spark, sf_dir, "conversations"))
+    return trie(shared_starts(turns, every=20, most=4))
+
+
+_ALL = (op1_bpe_encode_decode, op2_nearest_neighbours, op3_toxicity, op4_quality, op5_best_fit_packing, op6_ngram_jaccard_join, op7_substring_dedup, op8_embedding_near_dedup, op9_language_id, op10_chat_rotation, op12_source_mixing, op13_prefix_trie)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -119,4 +125,4 @@ l AS (SELECT a.v AS a, b.v AS b FROM x a JOIN x b ON a.label = b.label AND a.v <
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), n AS (SELECT a AS v, count(*) AS n FROM e GROUP BY 1), {_CLOSURE}
 SELECT s.v AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c.component_id, c.component_id = s.v AS kept FROM s JOIN c ON c.v = s.v LEFT JOIN n ON n.v = s.v"""
 
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_embedding_near_dedup": OP8_SQL, "op10_chat_rotation": chat.ROTATE_SQL, "op12_source_mixing": mixing.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_embedding_near_dedup": OP8_SQL, "op10_chat_rotation": chat.ROTATE_SQL, "op12_source_mixing": mixing.MIX_SQL, "op13_prefix_trie": TRIE_SQL}
