@@ -37,16 +37,21 @@ def _scanned(rows: DataFrame, group: Sequence[str], stretch: str, at: str, kinds
     return both.withColumns({f"_h{i}": _KINDS[k](value(i)).over(w) for i, k in enumerate(kinds)}).where("_row = 1")
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
-    """df and its rows' places in their group, from 0 without gaps, by order (nulls first); rows equal in it are numbered in any order.
+def dealt(df: DataFrame, group: Sequence[str], order: Sequence[str], at: str = "at") -> DataFrame:
+    """df, written by ranges of (group, order), with a number that rises in that order (nulls first) over all rows; in a task (the number's bits from 33 on) it has no gaps.
 
-    Rows are dealt by ranges of (group, order) with a tie-breaker, so no group and no run of
-    equal rows is one task's; the dealt rows are written once, because their ranges come
-    from a sample.  Null is a group like others; an empty table gives an empty one."""
+    A tie-breaker deals equal rows too, so no group and no run of equal rows is one task's.
+    The rows are written because their ranges come from a sample."""
     by = [*group, *order, "_tie"]
     ranged = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*by).sortWithinPartitions(*by)
-    dealt = written(ranged.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    rows = dealt.withColumns({"_task": F.shiftright("_at", 33), "_v0": F.lit(1).cast("long")})
+    return written(ranged.drop("_tie").withColumn(at, F.monotonically_increasing_id()), "dealt")
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+    """df and its rows' places in their group, from 0 without gaps, by order (nulls first); rows equal in it are numbered in any order.
+
+    Null is a group like others; an empty table gives an empty one."""
+    rows = dealt(df, group, order, "_at").withColumns({"_task": F.shiftright("_at", 33), "_v0": F.lit(1).cast("long")})
     return _scanned(rows, group, "_task", "_at", ["sum"], False).select(*df.columns, (F.col("_h0") - 1).alias(name))
 
 
