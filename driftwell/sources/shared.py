@@ -33,10 +33,29 @@ def _at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet below the shared folder and read again; the table goes when the application ends."""
+    """df, written as Parquet below the shared folder and read again; the shuffle files of its making go, the table goes when the application ends or by ``discarded``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     atexit.register(_at_exit, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Removes written tables that no later step reads."""
+    for df in tables:
+        removed(df.sparkSession, df._cut_path)
