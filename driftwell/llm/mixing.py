@@ -107,7 +107,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     limit = thresholds(sized.where("size > 0"), plan.select("source", "budget"))
-    known = plan.join(limit.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "at", "left")
+    known = cut(plan.join(limit.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "at", "left"), "plan")
     rows = sized.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     # rows at a threshold are one document, or equal ones: of these the first that the budget holds, to the nearest
     at = numbered(rows.where("hash = at and size > 0"), ["source"], ["id"], "rank")
