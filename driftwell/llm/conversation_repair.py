@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from driftwell.operators.segments import dealt
 
-from .infra import cut, ship
+from .infra import cut, discard, ship
 
 #: Costs of the edits, and of a truncated turn that stays.
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
@@ -173,7 +173,9 @@ def diagnosed(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     seen = placed.join(again, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("ka") == F.col("x")) & (F.col("kb") == F.col("y")), "left")
     fault = F.when(F.col("fault").eqNullSafe("blank"), "blank").when(F.col("at") > F.col("first"), "duplicate").otherwise(F.col("fault"))
     out = seen.select("conv_id", "turn", "role", "text", "at", F.shiftright("at", BLOCK_BITS).alias("block"), fault.alias("fault"))
-    return cut(out.withColumn("symbol", symbol_of(F.col("role"), F.col("fault"))), "diagnosed")
+    done = cut(out.withColumn("symbol", symbol_of(F.col("role"), F.col("fault"))), "diagnosed")
+    discard(placed, again)
+    return done
 
 
 _SCRIPT = "script string, entry int, cost long"
