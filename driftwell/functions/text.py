@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,8 @@ def filled_object(v: Column, path: str) -> Column:
     """Whether a variant's field is an object with a key at least."""
     x = F.try_variant_get(v, path, "variant")
     return F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("OBJECT<")) & (F.to_json(x) != "{}"), F.lit(False))
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that are computed once a row: they pass a generator, over which no later filter or projection is moved, so none repeats them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

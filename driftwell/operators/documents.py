@@ -21,8 +21,8 @@ def frontmatter_problems(docs: DataFrame, efforts: Sequence[str], servers: Seque
     """(name, type, subject) of all broken rules in docs (name, text).
 
     servers: those known (none: not checked); companions: (server, tools that any use of it requires)."""
-    block = regions.frontmatter(F.col("text"))
-    rows = docs.select("name", regions.frontmatter_problem(F.col("text")).alias("bad"), *[regions.front_value(block, k).alias(k) for k in ("effort", "mcpServers", "tools")])
+    block = F.col("block")
+    rows = regions.with_frontmatter(docs.select("name", "text"), "text", problem="bad").select("name", "bad", *[regions.front_value(block, k).alias(k) for k in ("effort", "mcpServers", "tools")])
     rows = rows.withColumns({"declared": regions.front_list(F.coalesce("mcpServers", F.lit(""))), "used": regions.front_list(F.coalesce("tools", F.lit("")))})
     by = F.array_distinct(F.filter(F.transform("used", lambda t: F.regexp_extract(t, r"\Amcp__([A-Za-z0-9_-]+?)__", 1)), lambda s: s != ""))
     rows = rows.withColumn("by_tools", by)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.functions.text import first_filled
+from driftwell.functions.text import computed, first_filled
 from driftwell.operators import sessions
 
 #: Fields that may name the instance of a report, in order; fixed values.
@@ -77,15 +77,40 @@ def stops(df: DataFrame) -> DataFrame:
 
 
 def to_fold(df: DataFrame, facts: DataFrame, gate_open: Column, name: str = REVIEWER, prefixes: Sequence[str] = ()) -> DataFrame:
-    """Events (event_id, ts, payload) as the session fold takes them: reviews and stops with what git says of their folder.
+    """Events (event_id, ts, payload) as the session fold takes them: reviews and stops with what git says of their folder; df may be a stream.
 
     facts: a row for each cwd, with the columns that gate_open and head need; a folder
-    without facts has no head and never lets a stop be blocked."""
-    seen = routed(payloads(df)).select("event_id", "ts", "v", "handler")
-    r = reviews(seen.where("handler = 'record'"), name, prefixes).select("event_id", "session", "ts", F.lit("review").alias("kind"), "verdict", "instance", "cwd", F.lit(False).alias("continuation"))
-    s = stops(seen.where("handler = 'gate'")).select("event_id", "session", "ts", F.lit("stop").alias("kind"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("instance"), "cwd", "continuation")
+    without facts has no head and never lets a stop be blocked.  A payload is parsed once
+    and its fields are read once, before anything is filtered by them."""
+    parsed = computed(df.select("event_id", "ts", "payload"), v=F.try_parse_json(F.trim("payload")))
+    parsed = parsed.where(F.col("v").isNotNull() & F.startswith(F.trim("payload"), F.lit("{"))).drop("payload")
+    event, tool = F.coalesce(field("hook_event_name"), F.lit("")), F.coalesce(field("tool_name"), F.lit(""))
+    own = event == "SubagentStop"
+    takes = lambda handler: F.greatest(F.lit(False), *[(event == e) & (F.lit(True) if m is None else tool.rlike(rf"\A(?:{m})\z")) for e, m, h in ROUTES if h == handler])
+    seen = computed(
+        parsed,
+        kind=F.when(takes("gate"), "stop").when(takes("record"), "review"),
+        own=own,
+        session=cleaned(F.coalesce(field("session_id"), F.lit(""))),
+        who=F.coalesce(F.when(own, field("agent_type")).otherwise(field("tool_input.subagent_type")), F.lit("")),
+        instance=F.when(own, first_filled(*[field(x) for x in INSTANCE_FIELDS])).otherwise(field("tool_use_id")),
+        cwd=field("cwd"),
+        continuation=or_default(field("stop_hook_active", "boolean"), False),
+    ).where("kind is not null and session <> ''")
+    review = F.col("kind") == "review"
+    seen = seen.where(~review | is_agent(F.col("who"), name, prefixes))
+    filled = lambda p: F.when(field(p, "variant").isNotNull() & ~F.coalesce(field(p) == "", F.lit(False)), field(p, "variant"))
+    said = computed(seen, answer=F.when(review & ~F.col("own"), F.coalesce(filled("tool_response"), filled("tool_output"))), message=F.when(review & F.col("own"), field("last_assistant_message"))).drop("v")
+    text = F.when(F.col("own"), F.col("message")).otherwise(sessions.text_of(F.col("answer")))
+    rows = said.select(
+        "event_id", "session", "ts", "kind",
+        F.when(review, sessions.verdict_of(text)).alias("verdict"),
+        F.when(review, F.nullif(cleaned(F.col("instance")), F.lit(""))).alias("instance"),
+        "cwd",
+        (~review & F.col("continuation")).alias("continuation"),
+    )
     known = facts.select(F.col("cwd"), "head", F.coalesce(gate_open, F.lit(False)).alias("facts_ok"))
-    return r.unionByName(s).join(known, "cwd", "left").withColumn("facts_ok", F.coalesce("facts_ok", F.lit(False)))
+    return rows.join(known, "cwd", "left").withColumn("facts_ok", F.coalesce("facts_ok", F.lit(False)))
 
 
 def decision(reason: Column) -> Column:

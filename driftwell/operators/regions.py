@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.functions.text import computed
+
 
 def count_of(text: Column, literal: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))) / len(literal)).cast("int")
@@ -43,25 +45,35 @@ def inside_lines(lines: DataFrame, group: str, begin: str, end: str) -> DataFram
     return lines.join(at.where("nb = 1 and ne = 1"), group).where("line_no > b and line_no < e").drop("b", "e", "nb", "ne")
 
 
+#: A fence is a line of three dashes and blanks; the pattern of one within a text, and of one that begins it.
+_FENCE, _FIRST = r"(?md)^---[ \t]*(?:\n|\z)", r"\A\x{FEFF}?---[ \t]*(?:\n|\z)"
+
+
 def _fences(text: Column) -> tuple[Column, Column, Column]:
-    """The lines of a text, whether the first is a fence, and the place of the next fence (from 1; 0 without one)."""
-    rows = F.split(F.regexp_replace(F.translate(text, "\r", ""), r"\A\x{FEFF}", ""), "\n")
-    is_fence = lambda x: F.rtrim(F.translate(x, "\t", " ")) == "---"
-    return rows, is_fence(F.get(rows, F.lit(0))), F.array_position(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), is_fence), True).cast("int")
+    """Whether the first line of a text is a fence, what follows that line, and the place of the next fence in it (from 1; 0 without one)."""
+    clean = F.translate(text, "\r", "")
+    feed = F.locate("\n", clean)
+    body = F.when(feed > 0, F.substr(clean, feed + 1)).otherwise("")
+    return clean.rlike(_FIRST), body, F.regexp_instr(body, F.lit(_FENCE))
 
 
 def frontmatter(text: Column) -> Column:
-    """The lines of the block between a fence in the first line and the next one; null without one.  Texts of any length: lines are looked at one by one."""
-    rows, first, at = _fences(text)
-    return F.when(first & (at > 0), F.concat(F.array_join(F.slice(rows, F.lit(2), F.greatest(at - 1, F.lit(0))), "\n"), F.when(at > 1, "\n").otherwise("")))
+    """The lines of the block between a fence in the first line and the next one; null without one.  Nothing behind the block is looked at."""
+    first, body, at = _fences(text)
+    return F.when(first & (at > 0), F.substr(body, F.lit(1), at - 1))
 
 
 def frontmatter_problem(text: Column) -> Column:
     """null, missing-frontmatter (no fence in the first line; a null text) or unterminated-frontmatter."""
-    _, first, at = _fences(text)
+    first, _, at = _fences(text)
     return F.when(~F.coalesce(first, F.lit(False)), "missing-frontmatter").when(at == 0, "unterminated-frontmatter")
 
 
+def with_frontmatter(df: DataFrame, text: str, block: str = "block", problem: str = "problem") -> DataFrame:
+    """df with the block of a text and its problem, each computed once a row however often it is read."""
+    return computed(df, **{block: frontmatter(F.col(text)), problem: frontmatter_problem(F.col(text))})
+
+
 def front_value(block: Column, key: str) -> Column:
     """A key's value without comment and quotes; null if the key is not there, '' if it is empty."""
     raw = F.regexp_extract(block, rf"(?m)^{re.escape(key)}:[ \t]*([^\n]*)", 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.functions.text import computed
 from driftwell.operators import events, merge, regions, relational, report, sessions, textscan
 from driftwell.plans.registry import query
 from driftwell.plans.registry import table as _t
@@ -142,10 +143,9 @@ def frontmatter_first(spark, d):
     kind, body = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
     block = F.concat(F.lit("---\nname: 'doc-"), F.col("doc_id").cast("string"), F.lit("'  # a name\neffort: high\nmodel: "), F.col("lang"), F.lit("\ntools: [Read, mcp__a__x Edit]\n--- \nname: other\n"))
     text = F.when(kind == 0, F.concat(block, body)).when(kind == 1, F.concat(F.lit("---\nname: y\n"), F.regexp_replace(body, "---", "-"))).when(kind == 2, F.concat(F.lit("x"), block)).otherwise("\ufeff---\r\nname: x\r\n---\r\neffort: no\r\n")
-    rows = _t(spark, d, "documents").select("doc_id", text.alias("t"))
-    found = regions.frontmatter(F.col("t"))
-    value = lambda k: regions.front_value(found, k)
-    return rows.select("doc_id", regions.frontmatter_problem(F.col("t")).alias("problem"), value("name").alias("name"), value("effort").alias("effort"), F.array_join(regions.front_list(value("tools")), "|").alias("tools"), value("model").alias("model"))
+    rows = regions.with_frontmatter(computed(_t(spark, d, "documents").select("doc_id", "text", "lang"), t=text).select("doc_id", "t"), "t")
+    fields = computed(rows.select("doc_id", "block", "problem"), **{k: regions.front_value(F.col("block"), k) for k in ("name", "effort", "tools", "model")})
+    return fields.select("doc_id", "problem", "name", "effort", F.array_join(regions.front_list(F.col("tools")), "|").alias("tools"), "model")
 
 
 @query("""
