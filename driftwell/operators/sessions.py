@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 APPROVED, CHANGES = "APPROVED", "CHANGES_REQUIRED"
 #: A verdict line, as a Java pattern. Fixed value.
 VERDICT = r"(?m)^[ \t]*VERDICT:[ \t]*(APPROVED|CHANGES_REQUIRED)[ \t]*$"
+#: Seconds of silence after which a session's state is dropped.
+TTL_S = 7 * 24 * 3600
 #: Blocks allowed in a session without review, and with changes required (one counter).
 BUDGET_NONE, BUDGET_CHANGES = 1, 3
 #: Extension, technology, agent. Fixed values.
@@ -93,23 +95,31 @@ def prepared(events: DataFrame) -> DataFrame:
     return events.select("event_id", keep("session").alias("session"), "ts", "kind", "verdict", F.nullif(keep("instance"), F.lit("")).alias("instance"), "head", flag("facts_ok", True), flag("continuation", False)).where("session <> ''")
 
 
-def fold(events: DataFrame) -> DataFrame:
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp, with or without time zone (the latter as UTC)."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
+def fold(events: DataFrame, ttl_s: float | None = None) -> DataFrame:
     """events: event_id, session, ts, kind (stop or other), verdict, instance, head, and if given facts_ok and continuation.  One row an event: what was done and the state after it.
 
-    Order within a session is ts, then event_id.  An ordered fold takes the events of a
-    session one after the other, so a session is one task's work, in constant memory but for
-    its instance ids.
+    Order within a session is ts, then event_id.  With ttl_s the state is dropped where a
+    session was silent for longer than so many seconds; a stretch between such gaps begins
+    anew.  An ordered fold takes the events of a session one after the other, so a session
+    is one task's work, in constant memory but for its instance ids.
     """
-    keyed = prepared(events)
+    keyed = prepared(events).withColumn("us", F.lit(None).cast("long") if ttl_s is None else micros(F.col("ts")))
+    most = None if ttl_s is None else round(ttl_s * 1_000_000)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, s = None, State()
+        now, s, last = None, State(), 0
         for f in frames:
             f = f.astype(object).where(f.notna(), None)
             out = []
-            for e, session, kind, v, i, h, ok, again in zip(f.event_id, f.session, f.kind, f.verdict, f.instance, f["head"], f.facts_ok, f.continuation, strict=True):
-                if session != now:
+            for e, session, kind, v, i, h, ok, again, us in zip(f.event_id, f.session, f.kind, f.verdict, f.instance, f["head"], f.facts_ok, f.continuation, f.us, strict=True):
+                if session != now or (most is not None and us is not None and last is not None and us - last > most):
                     now, s = session, State()
+                last = us
                 done = step(s, kind, v, i, h, ok, again)
                 out.append((e, session, done, s.verdict, s.head, s.blocks))
             yield pd.DataFrame(out, columns=["event_id", "session", "action", "verdict", "head", "blocks"])

@@ -246,6 +246,21 @@ def verdict_fold(spark, d):
     return sessions.fold(_reviews(spark, d, False))
 
 
+_GAPS_SQL = """
+q AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 1 DAY THEN 1 ELSE 0 END AS gap FROM events),
+k AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM q),
+e AS (SELECT event_id, user_id || '#' || island AS session, event_type = 'view' AS stop, true AS ok, false AS again,
+  CASE event_type WHEN 'purchase' THEN 'APPROVED' WHEN 'error' THEN 'CHANGES_REQUIRED' END AS v,
+  CASE WHEN k % 4 <> 0 THEN CAST(k AS VARCHAR) END AS id, CAST(CAST(floor(value / 100) AS BIGINT) AS VARCHAR) AS h,
+  row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS rn, ts FROM k)"""
+
+
+@query(f"SELECT event_id, split_part(session, '#', 1) AS session, action, verdict, head, blocks FROM ({_fold_sql(_GAPS_SQL)})")
+def verdict_fold_expiring(spark, d):
+    """The fold whose state goes when a session was silent for over a day."""
+    return sessions.fold(_reviews(spark, d, True), ttl_s=24 * 3600)
+
+
 @query(f"SELECT event_id, session, action, verdict, blocks FROM ({_fold_sql(_PLAIN_SQL.format(stop="event_type = 'view'"))}) WHERE action IN ('allow', 'block')")
 def gate_decisions(spark, d):
     return sessions.fold(_reviews(spark, d, True)).where("action in ('allow', 'block')").select("event_id", "session", "action", "verdict", "blocks")

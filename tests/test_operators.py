@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from driftwell.functions import text as fn
 from driftwell.operators import events, merge, migrate, regions, relational, report, rosters, sessions, textscan
 from driftwell.sources import files
-from driftwell.streaming.sessions import stream_fold
 
 
 def rows(df):
@@ -91,14 +90,6 @@ def test_fold(spark):
     assert got == ACTIONS
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    src = tmp_path / "in"
-    spark.createDataFrame(EVENTS, SCHEMA).coalesce(1).write.json(str(src))
-    q = stream_fold(spark.readStream.schema(SCHEMA).json(str(src)), ttl_ms=None).writeStream.format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert rows(spark.table("folded")) == rows(sessions.fold(spark.createDataFrame(EVENTS, SCHEMA)))
-
-
 def test_text_of_response_and_hints(spark):
     docs = ['"a"', '["a", {"text": "b"}, 3]', '{"content": [{"text": "c"}, "d"]}', "7"]
     df = spark.createDataFrame([(d,) for d in docs], "j string")
