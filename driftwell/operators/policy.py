@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import report, textscan
 from driftwell.operators.merge import canonical
+from driftwell.operators.names import used
 
 #: Phrases that broaden the policy. Fixed value.
 FORBIDDEN = r"(?i)blanket|delegate (all|every) shell|all shell (work|execution)|every shell command|any shell command|short commands included"
@@ -63,12 +64,8 @@ def absent(files: DataFrame, paths: Sequence[str], folders: Sequence[str] = ())
 
 
 def used_elsewhere(names: DataFrame, commands: DataFrame) -> DataFrame:
-    """Names that some command holds; both are lists of a registration, the names the shorter one.
-
-    Commands are split into the words that names consist of, so this is an equi join; a name
-    within a longer word is looked for among the distinct words only."""
-    words = commands.select(F.explode(F.array_distinct(F.split("command", r"[^A-Za-z0-9_-]+"))).alias("word")).where("word <> ''").distinct()
-    return names.join(words, F.contains(F.col("word"), F.col("name")), "left_semi")
+    """Names that some command holds, also within a longer word; lists of any length."""
+    return used(names, commands, "command")
 
 
 def same_output(left: DataFrame, right: DataFrame, key: str, drop: str = "first line") -> DataFrame:
