@@ -103,28 +103,6 @@ def settings_branch(exists: Column, template_has: Column, current_has: Column, f
     return F.when(~exists, "created").when(~template_has, "skipped").when(current_has & ~force, "kept").when(current_has, "replaced").otherwise("merged")
 
 
-def drift(checkouts: DataFrame, commits: DataFrame) -> DataFrame:
-    """checkouts (name, head, other) against commits (id, parent): in sync, behind by n, diverged, or unknown.
-
-    behind: head is an ancestor of other; n counts the commits that other has and head has
-    not.  The histories are walked a generation a round, in a recursive query."""
-    spark = checkouts.sparkSession
-    checkouts.createOrReplaceTempView("_drift_checkouts")
-    commits.createOrReplaceTempView("_drift_commits")
-    walk = lambda start: f"""
-        WITH RECURSIVE past(name, id) MAX RECURSION LEVEL 10000 AS (
-          SELECT name, {start} FROM _drift_checkouts WHERE {start} IS NOT NULL
-          UNION ALL SELECT p.name, c.parent FROM past p JOIN _drift_commits c ON c.id = p.id WHERE c.parent IS NOT NULL)
-        SELECT DISTINCT name, id FROM past"""  # noqa: E731, S608
-    mine, theirs = spark.sql(walk("head")), spark.sql(walk("other"))
-    ahead = theirs.join(mine, ["name", "id"], "left_anti").groupBy("name").agg(F.count("*").alias("n"))
-    heads = checkouts.select("name", F.col("head").alias("id"))
-    within = heads.join(theirs, ["name", "id"], "left_semi").select("name", F.lit(True).alias("ancestor"))
-    state = F.when(F.col("head").isNull() | F.col("other").isNull(), "unknown").when(F.col("head") == F.col("other"), "in sync").when(F.col("ancestor"), "behind").otherwise("diverged")
-    out = checkouts.join(within, "name", "left").join(ahead, "name", "left").withColumn("state", state)
-    return out.select("name", "state", F.when(F.col("state") == "behind", F.col("n")).alias("n_behind"))
-
-
 def empty_args(args: Column) -> Column:
     """Whether an argument is empty, which an unresolved variable leaves behind; null is none."""
     return F.coalesce(F.exists(args, lambda x: F.coalesce(x, F.lit("")) == ""), F.lit(False))

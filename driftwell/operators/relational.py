@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.operators.segments import running
+
 
 def parity(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Keys on one side only, tagged left_only or right_only; null keys match nothing."""
@@ -122,9 +124,11 @@ def once(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
 
 
 def carry_header(lines: DataFrame, group: str, order: str, header: Column) -> DataFrame:
-    """Each line with the last header at or before it, per group."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("section", F.last(header, ignorenulls=True).over(w))
+    """Each line with the last header at or before it, per group; order is a whole number, one a line.
+
+    A group of any length is spread: each stretch of lines is scanned on its own, and begins
+    with the last header of those before."""
+    return running(lines, [group], order, {"section": ("last", header)})
 
 
 def filled_count(df: DataFrame, column: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.functions import text as fn
-from driftwell.operators import documents, events, merge, migrate, policy, regions, relational, report, rosters, sessions, textscan
+from driftwell.operators import documents, events, history, merge, migrate, policy, regions, relational, report, rosters, sessions, textscan
 from driftwell.plans.registry import query, table, values
 from driftwell.sources import files
 
@@ -199,7 +199,7 @@ def settings_branches(spark, d):
 @query(values("name VARCHAR, state VARCHAR, n_behind BIGINT", [("same", "in sync", 0), ("old", "behind", 2), ("fork", "diverged", 0), ("blank", "unknown", 0)]))
 def checkout_drift(spark, d):
     commits = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("m", "c"), ("d", "m"), ("x", "a")], "id string, parent string")
-    found = migrate.drift(spark.createDataFrame([("same", "d", "d"), ("old", "b", "m"), ("fork", "x", "d"), ("blank", None, "d")], "name string, head string, other string"), commits)
+    found = history.drift(spark.createDataFrame([("same", "d", "d"), ("old", "b", "m"), ("fork", "x", "d"), ("blank", None, "d")], "name string, head string, other string"), commits)
     return found.select("name", "state", F.coalesce("n_behind", F.lit(0)).cast("long").alias("n_behind"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftwell.operators import names, textscan
+from driftwell.operators import history, names, segments, textscan
 from driftwell.plans.registry import query
 from driftwell.plans.registry import table as _t
 
@@ -44,3 +44,44 @@ def name_list_words(spark, d):
 def name_list_used(spark, d):
     """Names of the list that some page holds."""
     return names.used(_names(spark, d).where("name <> ''").distinct(), _t(spark, d, "pages"), "html")
+
+
+#: A history of four lines of orders, with merges from line items into each of them, and checkouts by nation.
+_HISTORY = """
+c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey >= 4 THEN o_orderkey - 4 END AS parent FROM orders
+  UNION SELECT l_orderkey, l_orderkey - 1 - l_partkey % 29 FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 8 = 0 AND l_orderkey > 29),
+top AS (SELECT max(o_orderkey) AS top FROM orders),
+k AS (SELECT n_name AS name, CASE WHEN n_nationkey % 10 < 9 THEN top - n_nationkey * 17 END AS head, top - n_nationkey % 4 AS other FROM nation, top)"""
+
+
+@query(f"""
+WITH RECURSIVE {_HISTORY},
+past(name, side, id) AS (SELECT name, 'head', head FROM k WHERE head IS NOT NULL UNION SELECT name, 'other', other FROM k
+  UNION SELECT p.name, p.side, c.parent FROM past p JOIN c ON c.id = p.id WHERE c.parent IS NOT NULL),
+a AS (SELECT k.name, count(*) FILTER (WHERE p.id = k.head) > 0 AS ancestor FROM k JOIN past p ON p.name = k.name AND p.side = 'other' GROUP BY 1),
+n AS (SELECT o.name, count(*) AS n FROM past o WHERE side = 'other' AND NOT EXISTS (SELECT 1 FROM past h WHERE h.side = 'head' AND h.name = o.name AND h.id = o.id) GROUP BY 1)
+SELECT name, CASE WHEN head IS NULL THEN 'unknown' WHEN head = other THEN 'in sync' WHEN ancestor THEN 'behind' ELSE 'diverged' END AS state,
+  CASE WHEN head <> other AND ancestor THEN n END AS n_behind FROM k LEFT JOIN a USING (name) LEFT JOIN n USING (name)""")
+def history_drift(spark, d):
+    """How far checkouts are behind, over a history as long as orders."""
+    orders, items = _t(spark, d, "orders"), _t(spark, d, "lineitem")
+    line = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") >= 4, F.col("o_orderkey") - 4).alias("parent"))
+    merged = items.where("l_linenumber = 1 and l_partkey % 8 = 0 and l_orderkey > 29").select(F.col("l_orderkey").alias("id"), (F.col("l_orderkey") - 1 - F.col("l_partkey") % 29).alias("parent"))
+    top = orders.agg(F.max("o_orderkey").alias("top"))
+    k = _t(spark, d, "nation").crossJoin(F.broadcast(top))  # one row
+    checkouts = k.select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 10 < 9, F.col("top") - F.col("n_nationkey") * 17).alias("head"), (F.col("top") - F.col("n_nationkey") % 4).alias("other"))
+    return history.drift(checkouts, line.unionByName(merged))
+
+
+@query(r"""
+WITH b AS (SELECT doc_id, replace(text, chr(13), '') AS t FROM documents WHERE length(text) > 0),
+l AS (SELECT doc_id, unnest(p) AS line, unnest(range(1, len(p) + 1)) AS line_no FROM (SELECT doc_id, string_split(CASE WHEN ends_with(t, chr(10)) THEN left(t, length(t) - 1) ELSE t END, chr(10)) AS p FROM b)),
+h AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-Z][^ ]* [^ ]*[A-Za-z]') THEN line END AS header FROM l),
+s AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section, count(header) OVER (PARTITION BY doc_id ORDER BY line_no) AS nth FROM h)
+SELECT doc_id, md5(section) AS section, nth, count(*) AS n_lines, min(line_no) AS first_line FROM s GROUP BY 1, 2, 3""")
+def section_lines(spark, d):
+    """Lines under each header of documents, headers carried down and counted on the way."""
+    header = F.when(F.col("line").rlike("^[A-Z][^ ]* [^ ]*[A-Za-z]"), F.col("line"))
+    lines = textscan.lines(_t(spark, d, "documents").select("doc_id", "text")).withColumn("line_no", F.col("line_no").cast("long"))
+    carried = segments.running(lines, ["doc_id"], "line_no", {"section": ("last", header), "nth": ("sum", header.isNotNull().cast("long"))})
+    return carried.groupBy("doc_id", F.md5(F.col("section").cast("binary")).alias("section"), "nth").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"))
