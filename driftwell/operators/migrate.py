@@ -12,15 +12,16 @@ from driftwell.operators.merge import names_script
 
 
 def hook_entries(settings: DataFrame, raw: str = "text") -> DataFrame:
-    """(event, grp, pos, nested, matcher, command, args, entry): hooks of a settings text, of the nested and of the flat shape.
+    """settings' other columns and (event, grp, pos, nested, matcher, command, args, entry): hooks of a settings text, of the nested and of the flat shape.
 
     nested: an array of groups with hooks; flat: an array of commands or of objects with a command."""
-    hooks = settings.select(F.posexplode(F.map_entries(F.from_json(raw, "hooks map<string,array<string>>")["hooks"])).alias("e", "kv")).select(F.col("kv.key").alias("event"), F.posexplode("kv.value").alias("grp", "g"))
+    rest = [c for c in settings.columns if c != raw]
+    hooks = settings.select(*rest, F.posexplode(F.map_entries(F.from_json(raw, "hooks map<string,array<string>>")["hooks"])).alias("e", "kv")).select(*rest, F.col("kv.key").alias("event"), F.posexplode("kv.value").alias("grp", "g"))
     nested = F.from_json("g", "matcher string, hooks array<string>")
     rows = hooks.withColumn("n", nested).withColumn("nested", F.coalesce(F.col("n.hooks").isNotNull(), F.lit(False)))
-    each = rows.select("event", "grp", "nested", F.col("n.matcher").alias("matcher"), F.posexplode(F.when(F.col("nested"), F.col("n.hooks")).otherwise(F.array("g"))).alias("pos", "entry"))
+    each = rows.select(*rest, "event", "grp", "nested", F.col("n.matcher").alias("matcher"), F.posexplode(F.when(F.col("nested"), F.col("n.hooks")).otherwise(F.array("g"))).alias("pos", "entry"))
     shape = F.from_json("entry", "command string, args array<string>")
-    return each.withColumn("s", shape).select("event", "grp", "pos", "nested", "matcher", F.coalesce("s.command", F.when(~F.startswith("entry", F.lit("{")), F.col("entry"))).alias("command"), F.col("s.args").alias("args"), "entry")
+    return each.withColumn("s", shape).select(*rest, "event", "grp", "pos", "nested", "matcher", F.coalesce("s.command", F.when(~F.startswith("entry", F.lit("{")), F.col("entry"))).alias("command"), F.col("s.args").alias("args"), "entry")
 
 
 def names_any(command: Column, args: Column, scripts: Sequence[str]) -> Column:
@@ -34,11 +35,12 @@ def hook_plan(settings: DataFrame, scripts: Sequence[str], raw: str = "text") ->
     return hook_entries(settings, raw).withColumn("action", F.when(names_any(F.col("command"), F.col("args"), scripts), "remove").otherwise("keep"))
 
 
-def left_hooks(plan: DataFrame) -> DataFrame:
-    """(event, groups): what a hook plan leaves, groups as arrays of entries in order; empty groups and events are gone."""
+def left_hooks(plan: DataFrame, *keys: str) -> DataFrame:
+    """keys and (event, groups): what a hook plan leaves: groups (matcher, hooks) in order, each with its matcher and its entries; empty groups and events are gone."""
     kept = plan.where("action = 'keep'")
-    groups = kept.groupBy("event", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]).alias("hooks"))
-    return groups.groupBy("event").agg(F.transform(F.array_sort(F.collect_list(F.struct("grp", "hooks"))), lambda x: x["hooks"]).alias("groups"))
+    groups = kept.groupBy(*keys, "event", "grp").agg(F.first("matcher").alias("matcher"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]).alias("hooks"))
+    ordered = F.array_sort(F.collect_list(F.struct("grp", "matcher", "hooks")))
+    return groups.groupBy(*keys, "event").agg(F.transform(ordered, lambda x: F.struct(x["matcher"].alias("matcher"), x["hooks"].alias("hooks"))).alias("groups"))
 
 
 def server_plan(servers: DataFrame, shapes: Sequence[tuple[str, str, Sequence[str | None]]]) -> DataFrame:

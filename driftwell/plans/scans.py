@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftwell.operators import history, names, segments, textscan
+from driftwell.operators import apply, history, migrate, names, segments, textscan
 from driftwell.plans.registry import query
 from driftwell.plans.registry import table as _t
 
@@ -85,3 +85,21 @@ def section_lines(spark, d):
     lines = textscan.lines(_t(spark, d, "documents").select("doc_id", "text")).withColumn("line_no", F.col("line_no").cast("long"))
     carried = segments.running(lines, ["doc_id"], "line_no", {"section": ("last", header), "nth": ("sum", header.isNotNull().cast("long"))})
     return carried.groupBy("doc_id", F.md5(F.col("section").cast("binary")).alias("section"), "nth").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"))
+
+
+@query("""
+WITH k AS (SELECT user_id, event_type AS event, 'm' || CAST(floor(value) AS BIGINT) % 3 AS matcher, CAST(json_extract(props, '$.k') AS BIGINT) % 4 = 0 AS ours FROM events),
+s AS (SELECT user_id, sum(CAST(ours AS INT)) AS n_removed FROM k GROUP BY 1)
+SELECT k.user_id, k.event, k.matcher, count(*) AS n_hooks, CAST(any_value(n_removed) AS BIGINT) AS n_removed FROM k JOIN s ON s.user_id = k.user_id WHERE NOT ours AND n_removed > 0 GROUP BY 1, 2, 3""")
+def hook_removal(spark, d):
+    """What is left in the settings of every user, a group for each matcher, after the plan is applied to their texts."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    command = F.when(k % 4 == 0, F.concat(F.lit("sh /kit/hooks/old-"), F.col("event_type"), F.lit(".sh"))).otherwise(F.concat(F.lit("run "), k.cast("string")))
+    matcher = F.concat(F.lit("m"), (F.floor("value") % 3).cast("string"))
+    groups = _t(spark, d, "events").groupBy("user_id", "event_type", matcher.alias("matcher")).agg(F.collect_list(F.struct(command.alias("command"))).alias("hooks"))
+    hooks = groups.groupBy("user_id", "event_type").agg(F.collect_list(F.struct("matcher", "hooks")).alias("g"))
+    texts = hooks.groupBy("user_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("event_type", "g"))).alias("hooks"), F.lit("x").alias("model"))).alias("text"))
+    scripts = [f"old-{e}.sh" for e in ("signup", "purchase", "view", "click", "error")]
+    edits = apply.hook_edits(texts, migrate.hook_plan(texts, scripts), "user_id")
+    left = migrate.hook_entries(edits.select("user_id", "n_removed", "after"), "after")
+    return left.groupBy("user_id", "event", "matcher").agg(F.count("*").alias("n_hooks"), F.max("n_removed").alias("n_removed"))
