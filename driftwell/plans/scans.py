@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftwell.operators import apply, history, migrate, names, segments, textscan
+from driftwell.operators import apply, history, linediff, migrate, names, segments, textscan
 from driftwell.plans.registry import query
 from driftwell.plans.registry import table as _t
 
@@ -103,3 +103,19 @@ def hook_removal(spark, d):
     edits = apply.hook_edits(texts, migrate.hook_plan(texts, scripts), "user_id")
     left = migrate.hook_entries(edits.select("user_id", "n_removed", "after"), "after")
     return left.groupBy("user_id", "event", "matcher").agg(F.count("*").alias("n_hooks"), F.max("n_removed").alias("n_removed"))
+
+
+@query("""
+WITH p AS (SELECT doc_id, unnest(p) AS line, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+n AS (SELECT doc_id, i, 0 AS k, line FROM p WHERE i % 7 <> 3 UNION ALL SELECT doc_id, i, 1, '+ ' || doc_id || ':' || i FROM p WHERE i % 11 = 5),
+c AS (SELECT doc_id, count(*) FILTER (WHERE i % 7 = 3) AS n_removed, count(*) FILTER (WHERE i % 11 = 5) AS n_added FROM p GROUP BY 1)
+SELECT c.doc_id, n_removed, n_added, md5(string_agg(line, chr(10) ORDER BY i, k)) AS digest FROM c JOIN n ON n.doc_id = c.doc_id GROUP BY 1, 2, 3""")
+def line_differences(spark, d):
+    """Documents against an edited copy (every seventh line gone, a new one after every eleventh): least changes, and the copy rebuilt from the hunks."""
+    line = F.split(F.coalesce("text", F.lit("")), "\n")
+    new = lambda x, i: F.concat(F.when((i + 1) % 7 == 3, F.array().cast("array<string>")).otherwise(F.array(x)), F.when((i + 1) % 11 == 5, F.array(F.concat(F.lit("+ "), F.col("doc_id").cast("string"), F.lit(":"), (i + 1).cast("string")))).otherwise(F.array().cast("array<string>")))
+    pairs = _t(spark, d, "documents").select("doc_id", "text", F.array_join(F.flatten(F.transform(line, new)), "\n").alias("copy"))
+    found = linediff.line_hunks(pairs, "text", "copy").groupBy("doc_id").agg(F.sum("old_count").alias("n_removed"), F.sum("new_count").alias("n_added"), F.collect_list(F.struct("old_from", "old_count", "added")).alias("h"))
+    joined = pairs.select("doc_id", "text").join(found, "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return joined.select("doc_id", zero("n_removed"), zero("n_added"), F.md5(linediff.patched(F.col("text"), F.col("h")).cast("binary")).alias("digest"))
