@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftwell.operators import apply, history, linediff, migrate, names, segments, textscan
+from driftwell.functions.text import computed
+from driftwell.operators import apply, checks, history, linediff, migrate, names, regions, segments, textscan
 from driftwell.plans.registry import query
 from driftwell.plans.registry import table as _t
 
@@ -119,3 +120,75 @@ def line_differences(spark, d):
     joined = pairs.select("doc_id", "text").join(found, "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return joined.select("doc_id", zero("n_removed"), zero("n_added"), F.md5(linediff.patched(F.col("text"), F.col("h")).cast("binary")).alias("digest"))
+
+
+def text_checks() -> checks.Checks:
+    """Ten checks of texts."""
+    out, like = checks.Checks(), lambda p: lambda c: c.rlike(p)
+    for i, (name, severity, scope, wrong, *more) in enumerate([
+        ("tab", "WARN", "line", like("\t")),
+        ("trailing-blank", "INFO", "line", like(" $")),
+        ("long-line", "WARN", "line", lambda c: F.length(c) > 400),
+        ("address", "FAIL", "line", like("[a-z]@[a-z]")),
+        ("four-digits", "INFO", "line", like("[0-9]{4}")),
+        ("no-capital", "WARN", "count", like("^[A-Z]"), 1),
+        ("empty-lines", "INFO", "count", lambda c: c == "", 0, 2),
+        ("many-lines", "INFO", "count", lambda c: c.isNotNull(), 0, 40),
+        ("no-last-newline", "INFO", "text", lambda c: ~F.endswith(c, F.lit("\n"))),
+        ("short", "FAIL", "text", lambda c: F.length(c) < 40),
+    ], 1):
+        out.add(checks.Check(i, name, severity, scope, wrong, *more))
+    return out
+
+
+_CHECKS_SQL = """
+b AS (SELECT doc_id, text, replace(text, chr(13), '') AS t FROM documents),
+l AS (SELECT doc_id, unnest(p) AS line, unnest(range(1, len(p) + 1)) AS line_no FROM (SELECT doc_id, string_split(CASE WHEN ends_with(t, chr(10)) THEN left(t, length(t) - 1) ELSE t END, chr(10)) AS p FROM b WHERE length(t) > 0)),
+n AS (SELECT b.doc_id, count(*) FILTER (WHERE regexp_matches(line, '^[A-Z]')) AS caps, count(*) FILTER (WHERE line = '') AS empties, count(line) AS lines FROM b LEFT JOIN l USING (doc_id) GROUP BY 1),
+found AS (SELECT doc_id, 1 AS number, 'tab' AS name, 'WARN' AS severity, line_no, 1 AS n FROM l WHERE contains(line, chr(9))
+  UNION ALL SELECT doc_id, 2, 'trailing-blank', 'INFO', line_no, 1 FROM l WHERE ends_with(line, ' ')
+  UNION ALL SELECT doc_id, 3, 'long-line', 'WARN', line_no, 1 FROM l WHERE length(line) > 400
+  UNION ALL SELECT doc_id, 4, 'address', 'FAIL', line_no, 1 FROM l WHERE regexp_matches(line, '[a-z]@[a-z]')
+  UNION ALL SELECT doc_id, 5, 'four-digits', 'INFO', line_no, 1 FROM l WHERE regexp_matches(line, '[0-9]{4}')
+  UNION ALL SELECT doc_id, 6, 'no-capital', 'WARN', NULL, caps FROM n WHERE caps < 1
+  UNION ALL SELECT doc_id, 7, 'empty-lines', 'INFO', NULL, empties FROM n WHERE empties > 2
+  UNION ALL SELECT doc_id, 8, 'many-lines', 'INFO', NULL, lines FROM n WHERE lines > 40
+  UNION ALL SELECT doc_id, 9, 'no-last-newline', 'INFO', NULL, 1 FROM b WHERE NOT ends_with(text, chr(10))
+  UNION ALL SELECT doc_id, 10, 'short', 'FAIL', NULL, 1 FROM b WHERE length(text) < 40)"""
+
+
+@query(f"WITH {_CHECKS_SQL} SELECT doc_id, number, name, severity, line_no, n FROM found")
+def ten_checks(spark, d):
+    """Ten checks over all documents in one scan."""
+    return text_checks().run(_t(spark, d, "documents"), "doc_id")
+
+
+@query(f"""WITH {_CHECKS_SQL}, k AS (SELECT * FROM (VALUES (1, 'tab', 'WARN'), (2, 'trailing-blank', 'INFO'), (3, 'long-line', 'WARN'), (4, 'address', 'FAIL'), (5, 'four-digits', 'INFO'), (6, 'no-capital', 'WARN'), (7, 'empty-lines', 'INFO'), (8, 'many-lines', 'INFO'), (9, 'no-last-newline', 'INFO'), (10, 'short', 'FAIL')) v(number, name, severity))
+SELECT k.number, k.name, k.severity, count(f.number) AS n_problems, CASE WHEN count(f.number) = 0 THEN 'PASS' ELSE k.severity END AS verdict FROM k LEFT JOIN found f ON f.number = k.number GROUP BY 1, 2, 3""")
+def checks_summary(spark, d):
+    """The verdict of each of the ten checks, those without a problem too."""
+    return text_checks().summary(text_checks().run(_t(spark, d, "documents"), "doc_id"))
+
+
+_COUNTED = ("region", "nation", "supplier", "customer", "part", "orders")
+
+
+@query("""
+WITH r AS (SELECT '| | |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || label || ' | ' || n || ' |', chr(10) ORDER BY pos) AS rendered FROM (
+  """ + " UNION ALL ".join(f"SELECT {i} AS pos, '{t}' AS label, count(*) AS n FROM {t}" for i, t in enumerate(_COUNTED)) + """))
+SELECT url AS path, CASE WHEN page_id % 4 = 0 THEN 'FRESH' WHEN page_id % 4 = 3 THEN 'missing-end' ELSE 'STALE' END AS state, CASE WHEN page_id % 4 IN (1, 2) THEN 1 ELSE 0 END AS n_hunks,
+  CASE WHEN page_id % 4 = 1 THEN '| orders | ' || (SELECT count(*) FROM orders) || ' |' WHEN page_id % 4 = 2 THEN rendered END AS added FROM pages, r""")
+def numbers_blocks(spark, d):
+    """Blocks of counts in every page: fresh, stale in the last line, empty, or without an end; what a stale one needs."""
+    rendered = checks.numbers_of([(t, _t(spark, d, t)) for t in _COUNTED])
+    kind = F.col("page_id") % 4
+    body = F.when(kind == 1, F.regexp_replace("text", r"\| orders \| [0-9]+", "| orders | 1")).when(kind == 2, "").otherwise(F.col("text"))
+    pages = _t(spark, d, "pages").select("page_id", "url", "html").crossJoin(F.broadcast(rendered))  # one row
+    old = F.concat("html", F.lit("\n<!-- numbers -->\n"), body, F.when(kind == 3, "").otherwise("\n<!-- /numbers -->\n"))
+    rows = computed(pages, old=old, rendered=F.col("text"))
+    current = regions.region(F.col("old"), "<!-- numbers -->", "<!-- /numbers -->")
+    found = computed(rows.select("url", "old", "rendered"), problem=regions.region_problem(F.col("old"), "<!-- numbers -->", "<!-- /numbers -->"), current=F.trim(current, F.lit("\n")))
+    state = F.coalesce("problem", F.when(F.col("current") == F.col("rendered"), "FRESH").otherwise("STALE"))
+    told = found.select(F.col("url").alias("path"), state.alias("state"), "current", "rendered")
+    hunks = linediff.line_hunks(told.where("state = 'STALE'").select("path", "current", "rendered"), "current", "rendered").groupBy("path").agg(F.count("*").alias("n_hunks"), F.first(F.array_join("added", "\n")).alias("added"))
+    return told.select("path", "state").join(hunks, "path", "left").select("path", "state", F.coalesce("n_hunks", F.lit(0)).alias("n_hunks"), "added")
