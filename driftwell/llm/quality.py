@@ -8,7 +8,6 @@ curve fitted on labelled texts that no dictionary was built from makes them a sc
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .infra import ship
+from .infra import ship, slices
 from .labelled import logistic, probability, training_sample
 
 BLOCK, LEVEL = 1024, 3
@@ -61,9 +61,12 @@ def features(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
     return out
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
+#: Bytes of a block that dictionaries are trained on, and blocks a class that the driver trains on: 8 MiB at most.
+TRAIN_BLOCK, TRAIN_BLOCKS = 2048, 4096
+
+
+def _dictionary(blocks: list[bytes], size: int) -> bytes:
     """A dictionary of about `size` bytes: segments of as many texts as possible, by turns."""
-    blocks = [t[a : a + 2048] for t in texts for a in range(0, len(t), 2048)]
     if len(blocks) >= 8 and sum(map(len, blocks)) > 4 * size:
         try:
             return zstandard.train_dictionary(size, blocks).as_bytes()
@@ -72,18 +75,47 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
     return b"".join(blocks)[-size:]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 2000, size: int = 112_640) -> QualityModel:
-    """Dictionaries from fold 0 and a curve from fold 2 of a sample of at most `most` rows a class.
+def _blocks(sample: DataFrame, y: int, most: int) -> list[bytes]:
+    """Blocks of the texts of a class in fold 0, those with the smallest hashes, at most `most`; cut in tasks, so no text reaches the driver whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                for at in range(0, len(t), TRAIN_BLOCK << 10):  # a long text in parts
+                    part = t[at : at + (TRAIN_BLOCK << 10)]
+                    yield pa.RecordBatch.from_arrays([pa.array([part[i : i + TRAIN_BLOCK] for i in range(0, len(part), TRAIN_BLOCK)], pa.binary())], names=["block"])
+
+    cut_up = sample.where((F.col("y") == y) & (F.col("f") == 0)).select("text").mapInArrow(run, "block binary")
+    return [bytes(r["block"]) for r in cut_up.orderBy(F.xxhash64("block"), "block").limit(most).collect()]
+
+
+def _measured(sample: DataFrame, good: bytes, bad: bytes) -> list[tuple[float, ...]]:
+    """(label, features) of the texts outside fold 0, in order of their numbers; measured in tasks."""
+    held = sample.sparkSession.sparkContext.broadcast((good, bad))  # of fixed size
+    names = ["y", *(f"x{i}" for i in range(7))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            x = features(b.column(0).cast(pa.binary()).to_pylist(), *held.value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in (b.column(1).to_numpy().astype(float), *x.T)], names=names)
+
+    rows = sample.where("f <> 0").select("text", "y").mapInArrow(run, ", ".join(f"{c} double" for c in names))
+    return sorted(map(tuple, rows.collect()))  # eight numbers a sampled row
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 2000, size: int = 112_640, blocks: int = TRAIN_BLOCKS) -> QualityModel:
+    """Dictionaries from fold 0 and a curve from fold 2 of a sample of at most `most` rows a class; dictionaries see at most `blocks` blocks a class.
 
-    With no labelled rows of a class, every score is one half."""
-    rows = sorted((r["text"].encode(), r["y"], r["f"]) for r in training_sample(docs, labels, label_col, id_col, text_col, most).collect())
-    random.Random(5).shuffle(rows)
-    good, bad = (_dictionary([t for t, y, f in rows if y == k and f == 0], size) for k in (1, 0))
-    fit = [(t, y) for t, y, f in rows if f != 0]
-    y = np.array([k for _, k in fit], float)
-    if not (good and bad and 0 < y.sum() < len(y)):
+    Texts are cut and measured in tasks: blocks and numbers reach the driver, whole texts
+    don't.  With no labelled rows of a class, every score is one half."""
+    ship(docs.sparkSession)
+    sample = training_sample(docs, labels, label_col, id_col, text_col, most)
+    good, bad = (_dictionary(_blocks(sample, k, blocks), size) for k in (1, 0))
+    fit = np.array(_measured(sample, good, bad) if good and bad else [], float).reshape(-1, 8)
+    y = fit[:, 0]
+    if not 0 < y.sum() < len(y):
         return QualityModel(good, bad, (np.zeros(8), np.zeros(7), np.ones(7)))
-    return QualityModel(good, bad, logistic(features([t for t, _ in fit], good, bad), y))
+    return QualityModel(good, bad, logistic(fit[:, 1:], y))
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score", threshold: float = 0.5) -> DataFrame:

@@ -301,3 +301,27 @@ def test_copies_and_turnless_conversations(spark):
     assert got == plain_trie(rows) and len(got) <= 5
     assert trie_rows(spark, []) == {}
     assert trie_rows(spark, [(None, 1, "u", "x")]) == {}
+
+
+# ---- quality: what reaches the driver
+
+
+def test_long_texts_reach_the_driver_in_blocks(spark):
+    """Texts of a megabyte are cut and measured in tasks; the driver trains on a bounded number of blocks."""
+    from driftwell.llm import quality
+    from driftwell.llm.labelled import training_sample
+
+    rng = random.Random(1)
+    words = [["alpha beta gamma delta"] * 3 + ["clean prose"], ["xx zz qq", "##", "buy now"]]
+    long = lambda y: " ".join(rng.choice(words[y]) + str(rng.randrange(99)) for _ in range(70_000))
+    docs = spark.createDataFrame([(i, long(i % 2)) for i in range(24)], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(24)], "doc_id long, quality int")
+    sample = training_sample(docs, labels, "quality").persist()
+    for y in (0, 1):
+        got = quality._blocks(sample, y, 50)
+        assert len(got) == 50 and max(map(len, got)) <= quality.TRAIN_BLOCK
+    rows = quality._measured(sample, b"x" * 100, b"y" * 100)
+    assert rows and all(len(r) == 8 for r in rows)
+    sample.unpersist()
+    model = quality.train(docs, labels, blocks=400)
+    assert all(r["predicted"] == 1 - r["doc_id"] % 2 for r in quality.score(docs, model).select("doc_id", "predicted").collect())
