@@ -37,8 +37,14 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch, where the session leaves Spark's own bound: a worker holds a batch several times over as Python objects.
+_BATCH, _BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, ("64m", "67108864b", "67108864")
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per application, where they don't have it on their path."""
+    """Give executors this package, once per application, where they don't have it on their path; and bound the session's Arrow batches."""
+    if spark.conf.get(_BATCH, "") in _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(_BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
