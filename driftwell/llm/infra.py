@@ -43,7 +43,7 @@ _BATCH, _BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBat
 
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application, where they don't have it on their path; and bound the session's Arrow batches."""
-    if spark.conf.get(_BATCH, "") in _BATCH_DEFAULT:
+    if spark.conf.get(_BATCH) in _BATCH_DEFAULT:
         spark.conf.set(_BATCH, str(_BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
