@@ -29,8 +29,11 @@ from .wordhash import chunks
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "µ": "u", "§": "s", "%": "", "#": "h"}
 #: Signs that may stand for any letter, or for nothing.
 BLANKS = "*.-_~'`^%#&=/\\,:;"
+#: Scores are multiples of this, so that their sums are exact in either precision and do not hang on the order of terms.
+GRAIN = 2.0**-14
+_grain = lambda x: np.round(np.asarray(x) / GRAIN) * GRAIN
 #: Natural logarithms of what the channel does: a look-alike, a sign put in, a letter repeated or hidden.
-LOOK, PUT_IN, REPEAT, HIDDEN = -0.7, -1.0, -0.4, -4.5
+LOOK, PUT_IN, REPEAT, HIDDEN = (float(_grain(x)) for x in (-0.7, -1.0, -0.4, -4.5))
 #: What a blank inside a word costs, between longer pieces and beside a single letter; one that is a word border costs what the language model says.
 SPLIT, SPLIT_ONE = -4.0, -1.0
 #: A letter that comes just twice is seldom drawn out.
@@ -43,8 +46,8 @@ SURE = 3.5
 CACHE, STRETCHES = 60_000, 120_000
 #: Stretches alike, up to the letters around them, from which a table of all surroundings pays, and tables held at most (nor on these).
 OFTEN, TABLES = 4000, 64
-#: Characters of texts that are restored together.
-TOGETHER = 1 << 19
+#: Characters of texts that are restored together; steps of a search whose scores are held at a time.
+TOGETHER, STEPS = 1 << 19, 1024
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TRIM = "\"'.,;:!?()[]{}<>|*#&%$@~-_`^/\\"
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
@@ -53,15 +56,13 @@ _ODD = re.compile(r"[\W\d_µ]|([^\W\d_])\1\1")
 _OPENING, _CLOSING, _STOPS = "[({<\"'", ".,;:?!)]}>\"'", "\"'.,;:?!()"
 #: Runs of three and more single characters set apart; separators and characters are disjoint classes, so matching is linear.
 _SPACED = re.compile(r"(?<![^\s.*_-])[^\s.*_-](?:[ \t.*_-]++[^\s.*_-](?![^\W\d_]{2})){2,}(?!\w)")
-#: A line drawn with signs: a border, nothing is hidden in it.
-_RULE = re.compile(r"((?:[^\w\s]|_){32,})")
 #: Two and more letters, each unlike the next: whatever stands before them, the search has one state after them.
 _CHAIN = re.compile(r"(?:([^\W\d_µ])(?!\1)(?=[^\W\d_µ]))+[^\W\d_µ]")
 _LETTER = re.compile(r"[^\W\d_µ]")
 _UNITS = re.compile(r"\s+|\S")
 _RUN = re.compile(r"(.)\1\1+")
-#: Runs of one sign or letter count up to 64 of them.
-_LONG_RUN = re.compile(r"((\S)\2{63})\2+")
+#: Of a longer run the search holds these and how many more there are.
+_LONG_RUN = re.compile(r"((\S)\2{63})(\2+)")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -126,13 +127,13 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def language_model(counts: np.ndarray) -> np.ndarray:
-    """log P(c | a b), by interpolation of trigram, bigram and single counts."""
+    """log P(c | a b), by interpolation of trigram, bigram and single counts; to multiples of GRAIN."""
     three = counts.reshape(_N, _N, _N).astype(float)
     two = three.sum(0)
     one = two.sum(0)
     p1 = (one + 1) / (one + 1).sum()
     p2 = (two + 20 * p1) / (two.sum(1, keepdims=True) + 20)
-    return np.log((three + 20 * p2[None]) / (three.sum(2, keepdims=True) + 20))
+    return _grain(np.log((three + 20 * p2[None]) / (three.sum(2, keepdims=True) + 20)))
 
 
 class Trigrams(list):
@@ -141,7 +142,8 @@ class Trigrams(list):
     table: np.ndarray
     single: np.ndarray
     by_last: np.ndarray
-    found: tuple[dict[str, str | bool], dict[str, str | bool]]
+    exact: np.ndarray
+    found: tuple[dict[str, str | bool], dict[str, str | bool], dict[str, str | bool]]
     seen: Counter
     tables: dict[int, tuple[str, np.ndarray]]
 
@@ -156,9 +158,10 @@ class Trigrams(list):
         return {"table": self.table}
 
     def __setstate__(self, state: dict) -> None:
-        self.table, self.found, self.seen, self.tables = state["table"], ({}, {}), Counter(), {}
+        self.table, self.found, self.seen, self.tables = _grain(state["table"]), ({}, {}, {}), Counter(), {}
         self.single = self.table.astype(np.float32)
         self.by_last = np.ascontiguousarray(self.single.transpose(2, 0, 1))
+        self.exact = np.ascontiguousarray(self.table.transpose(0, 2, 1))
 
 
 @lru_cache(maxsize=4096)
@@ -280,47 +283,100 @@ def _after(p: np.ndarray, steps: list[tuple], keeps: list[int | None] | None, lm
     return p
 
 
-def _all_states(states: dict, units: list[str], drawn: list[float], splits: list[float], i: int, lm: np.ndarray, borders: bool, end: float) -> tuple:
-    """The rest of a search from unit i on, over the array of all states; what is read, as a linked list."""
-    p, rows, back = np.full((_N, _N), -np.inf), np.arange(_N), []
+def _step(p: np.ndarray, cost: np.ndarray, stay: np.ndarray, lm: Trigrams) -> np.ndarray:
+    """The scores of all states after one unit."""
+    some = np.flatnonzero(np.isfinite(cost))
+    if len(some) < 12:
+        moved = np.full((_N, _N), -np.inf)
+        for k in some:
+            moved[:, k] = (p + lm.exact[:, k]).max(0) + cost[k]
+    else:
+        moved = (p[:, None] + lm.exact).max(0).T + cost
+    return np.maximum(moved, p + stay)
+
+
+def _steady(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether q is p but for one number added to all: then the same unit once more does the same again."""
+    held = np.isfinite(p)
+    if not np.array_equal(held, np.isfinite(q)):
+        return False
+    d = q[held] - p[held]
+    return bool((d == d[:1]).all())
+
+
+def _all_states(states: dict, units: list[str], often: dict[int, int], drawn: list[float], splits: list[float], i: int, lm: Trigrams, borders: bool, end: float) -> tuple:
+    """The rest of a search from unit i on, over the array of all states; what is read, as a linked list.
+
+    often: how many stand for a unit in the midst of its run.  Runs of one unit end as soon as a step only adds a number to all scores, which is exact
+    (scores are multiples of GRAIN), so a long run costs as much as a short one.  Scores are
+    held for STEPS steps and, of those before, every STEPS steps; the way back makes the
+    others again and looks for one predecessor a step."""
+    p, table = np.full((_N, _N), -np.inf), lm.table
     for k, (q, _, _) in states.items():
         p[k] = q
     other = next((last for (_, b), (_, _, last) in states.items() if b == 27), "")  # the same in all of them
-    for ch, again, split in zip(units[i:], drawn[i:], splits[i:], strict=True):
+    runs: list[list] = []
+    last: tuple = ()
+    for at, (ch, again, split) in enumerate(zip(units[i:], drawn[i:], splits[i:], strict=True), i):
         cost, stay, names, nothing = _costs(ch, again, split, borders)
-        if 27 in names:
-            if names[27] == other:
-                stay[27] = max(stay[27], cost[27] + again)
-            other = names[27]
-        some = np.flatnonzero(np.isfinite(cost))
-        if len(some) < 4:
-            moved, best = np.full((_N, _N), -np.inf), np.zeros((_N, _N), np.int8)
-            for k in some:
-                wide = p + lm[:, :, k]
-                best[:, k] = at = wide.argmax(0)
-                moved[:, k] = wide[at, rows] + cost[k]
-        else:
-            wide = p[:, :, None] + lm
-            best = wide.argmax(0).astype(np.int8)
-            moved = wide.max(0) + cost
-        stayed = p + stay
-        best[stayed >= moved] = -1
-        p = np.maximum(moved, stayed)
-        back.append((best, names, np.where(stay > nothing, "", "\0" + ch)))
-    b, c = divmod(int((p + end * lm[:, :, 0]).argmax()), _N)
-    read = []
-    for best, names, idle in reversed(back):
-        if (a := int(best[b, c])) >= 0:
-            read.append(names[c])
-            b, c = a, b
-        else:
-            read.append(str(idle[c]))
+        same = 27 in names and names[27] == other
+        if last == (ch, again, split, same):
+            runs[-1][1] += often.get(at, 1)
+            continue
+        last = (ch, again, split, same)
+        if same:
+            stay = stay.copy()
+            stay[27] = max(stay[27], cost[27] + again)
+        other = names.get(27, other)
+        runs.append([(cost, stay, names, nothing, ch), 1])
+
+    def onward(p: np.ndarray, at: int, done: int) -> tuple[list[tuple], np.ndarray, int, int]:
+        trail: list[tuple] = []
+        while at < len(runs) and len(trail) < STEPS:
+            step, count = runs[at]
+            q = _step(p, step[0], step[1], lm)
+            times = count - done if count - done > 1 and _steady(p, q) else 1
+            trail.append((p, step, times))
+            p, done = q, done + times
+            if done == count:
+                at, done = at + 1, 0
+        return trail, p, at, done
+
+    starts, trail, at, done = [], [], 0, 0
+    while at < len(runs):
+        starts.append((p, at, done))
+        trail, p, at, done = onward(p, at, done)
+    b, c = divmod(int((p + end * table[:, :, 0]).argmax()), _N)
+    read: list[str] = []
+    for n, start in enumerate(reversed(starts)):
+        for q, (cost, stay, names, nothing, ch), times in reversed(onward(*start)[0] if n else trail):
+            while times:
+                wide = q[:, b] + table[:, b, c]
+                a = int(wide.argmax())
+                idle = q[b, c] + stay[c] >= wide[a] + cost[c]
+                alike = times if idle or a == b == c else 1  # from the same state: so are all before it in the run
+                read.append(names[c] * alike if not idle else "" if stay[c] > nothing else "\0" + ch * alike)
+                times -= alike
+                if not idle:
+                    b, c = a, b
     out = states[b, c][1]
     for x in reversed(read):
         out = (out, x)
     return out
 
 
+def _units(text: str) -> tuple[list[str], dict[int, int]]:
+    """The characters of a text, blanks in a row as one; of long runs 64, with how often the one in their middle stands, by its place."""
+    units: list[str] = []
+    often, done = {}, 0
+    for m in _LONG_RUN.finditer(text):
+        units += _UNITS.findall(text[done : m.start()])
+        often[len(units) + 32] = 1 + len(m[3])
+        units += m[1]
+        done = m.end()
+    return units + _UNITS.findall(text[done:]), often
+
+
 def _drawn(units: list[str]) -> list[float]:
     """What it costs to read each unit as the letter before it once more: letters count as drawn out in runs of three, whatever signs are between."""
     out = [REPEAT if units[max(0, i - 2) : i + 3].count(ch) >= 3 else TWICE for i, ch in enumerate(units)]
@@ -347,14 +403,14 @@ def _search(before: str, middle: str, after: str, lm: Trigrams, borders: bool) -
     The search is exact: it keeps every state, of which there are at most _N * _N."""
     # last two classes -> log-probability, what is read (the last sign and those before), last letter read
     states = {(_class(before[0]), _class(before[1])) if before else (0, 0): (0.0, None, before[-1:])}
-    short = _LONG_RUN.sub(r"\1", middle)
-    units, end = [*before, *_UNITS.findall(short), *after], 0.0 if after else 1.0
+    inner, often = _units(middle)
+    units, end = [*before, *inner, *after], 0.0 if after else 1.0
     costs, splits, class_of = _drawn(units), _splits(units), _CLASS_OF.get
     for i in range(len(before), len(units)):
         ch, drawn = units[i], costs[i]
         options = _options(ch, borders, splits[i])
-        if len(states) * len(options) > 300:
-            at = _all_states(states, units, costs, splits, i, lm.table, borders, end)
+        if len(states) * len(options) > 300 or units[i : i + 16] == [ch] * 16:
+            at = _all_states(states, units, {len(before) + k: n for k, n in often.items()}, costs, splits, i, lm, borders, end)
             break
         new: dict = {}
         for (a, b), (p, out, last) in states.items():
@@ -391,8 +447,7 @@ def _search(before: str, middle: str, after: str, lm: Trigrams, borders: bool) -
             kept.append(x)
         elif borders and not (left and r):
             kept.append(x[1:])
-    got = "".join(kept)
-    return middle + after[:1] if got == short + after[:1] else got
+    return "".join(kept)
 
 
 def _stretches(texts: list[str], lm: Trigrams) -> list[list[list[int]]]:
@@ -472,7 +527,7 @@ def _key(text: str, start: int, end: int, after: int) -> str:
 
 def _settle(texts: list[str], stretches: list[list[list[int]]], lm: Trigrams) -> None:
     """Remembers which easy stretches of the texts, not seen before, are to be left as they are."""
-    found, fresh = lm.found[True], {}
+    found, fresh = lm.found[2], {}
     if len(found) >= STRETCHES:
         found.clear()
     for text, mine in zip(texts, stretches, strict=True):
@@ -487,8 +542,8 @@ def _settle(texts: list[str], stretches: list[list[list[int]]], lm: Trigrams) ->
         found.update((x, False) for x, stays in zip(keys, _stand([fresh[x] for x in keys], lm).tolist(), strict=True) if stays)
 
 
-def _read(shown: str, text: str, stretches: list[list[int]], lm: Trigrams, borders: bool) -> str:
-    found, out, done = lm.found[borders], [], 0
+def _read(shown: str, text: str, stretches: list[list[int]], lm: Trigrams, borders: bool, settled: bool = False) -> str:
+    found, out, done = lm.found[2 if settled else borders], [], 0  # what _settle remembers serves no other search
     for start, end, after, _ in stretches:
         key = _key(text, start, end, after)
         got = found.get(key)
@@ -496,7 +551,7 @@ def _read(shown: str, text: str, stretches: list[list[int]], lm: Trigrams, borde
             got = _search(text[start - 2 : start] if start else "", text[start:end], text[end : end + after], lm, borders)
             got = False if got == text[start : end + (after > 0)] else got
             if end - start < 30:
-                if len(found) >= STRETCHES:
+                if len(found) >= STRETCHES and not settled:
                     found.clear()
                 found[key] = got
         if got is not False:
@@ -509,28 +564,12 @@ def restored(texts: list[str], lm: list) -> list[str]:
     """The texts with their disguised words restored; signs, blanks and capitals that are no disguise stay.
 
     Letters between pairs of unlike letters are searched for one stretch after the other,
-    which gives what a search of a whole text gives.  Time is linear in the text; a line of
-    32 signs and more is a border."""
-    lm, plain, cut_up = Trigrams.of(lm), [], {}
-    for i, text in enumerate(texts):
-        if _RULE.search(text):
-            parts = _RULE.split(text)
-            cut_up[i] = (parts, len(plain))
-            plain += parts[::2]
-        else:
-            cut_up[i] = (None, len(plain))
-            plain.append(text)
-    low = [t.lower() for t in plain]
+    which gives what a search of a whole text gives.  Time is linear in the text."""
+    lm = Trigrams.of(lm)
+    low = [t.lower() for t in texts]
     stretches = _stretches(low, lm) if low else []
     _settle(low, stretches, lm)
-    read = [_read(x if len(x) == len(y) else y, y, st, lm, True) for x, y, st in zip(plain, low, stretches, strict=True)]
-    out = []
-    for i in range(len(texts)):
-        parts, at = cut_up[i]
-        if parts:
-            parts[::2] = read[at : at + (len(parts) + 1) // 2]
-        out.append("".join(parts) if parts else read[at])
-    return out
+    return [_read(x if len(x) == len(y) else y, y, st, lm, True, True) for x, y, st in zip(texts, low, stretches, strict=True)]
 
 
 def restore(text: str, lm: list, borders: bool = False) -> str:
@@ -547,8 +586,6 @@ def readings(token: str, lm: list) -> list[str]:
     plain = token.strip(_TRIM)
     if not _ODD.search(token):
         return [plain]
-    if _RULE.search(token):
-        return list(dict.fromkeys(w for x in _RULE.split(token)[::2] for w in readings(x, lm)))
     lm = Trigrams.of(lm)
     bare = next((i for i, ch in enumerate(token) if ch.isalnum()), len(token))
     lefts = {0, len(token) - len(token.lstrip(_OPENING)), bare}

@@ -263,6 +263,26 @@ def test_restoring_by_stretches_is_the_whole_search():
     assert toxicity.restored(["a " + "-" * 40 + " b1g", "", "x"], lm)[1:] == ["", "x"]
 
 
+def test_long_runs_of_signs(monkeypatch):
+    """No run is too long to be read, what a run skips changes nothing, and sign-heavy text takes little time."""
+    text = np.frombuffer(b"you stupid moron, the idiot and the scum are here. it was a mere three-day stop-over at 10 o'clock! " * 40, np.uint8)
+    lm = toxicity.Trigrams.of(toxicity.language_model(np.bincount((c := toxicity.letter_classes(text.tobytes().decode()))[2:] + 28 * c[1:-1] + 784 * c[:-2], minlength=28**3)).tolist())
+    for n in (1, 31, 32, 64, 65, 1000, 10**6):
+        assert toxicity.restored(["st" + "*" * n + "upid " + "a" * n], lm)[0].startswith("stupid "), n
+    rng = np.random.default_rng(5)
+    tricky = ["".join(x * int(n) for x, n in zip(rng.choice(list("st*upid-. $é1\n@"), 12), rng.choice([1, 2, 40, 90], 12), strict=True)) for _ in range(30)]
+    source = "".join(rng.choice(list("{}();=+-*/<>[]._ abcdeix019\n\"'"), 20_000))
+    leaders = ("." * 31 + " ") * 600
+    began = time.perf_counter()
+    quick = [toxicity.Trigrams.of(lm.table.tolist()), [*tricky, source[:4000]]]
+    toxicity.restored([source, leaders], lm)
+    assert time.perf_counter() - began < 4
+    got = toxicity.restored(quick[1], quick[0])
+    monkeypatch.setattr(toxicity, "_steady", lambda p, q: False)
+    monkeypatch.setattr(toxicity, "STEPS", 7)
+    assert toxicity.restored(quick[1], toxicity.Trigrams.of(lm.table.tolist())) == got
+
+
 def test_time_is_linear(spark):
     lm = toxicity.Trigrams.of(toxicity.language_model(np.arange(28**3) % 7).tolist())
     model = toxicity.ToxicityModel(lm, {"moron$": 3.0}, (np.zeros(6), np.zeros(5), np.ones(5)))
