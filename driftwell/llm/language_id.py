@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from .infra import cut, ship, slices, working
 from .wordhash import chunks
 
-#: Languages a model may have (its table is broadcast: 0.5 MB each; more raise), strength of priors, weight of a byte pair.
-MOST_LANGUAGES, HOST_STRENGTH, DOMAIN_STRENGTH, TEXT_WEIGHT = 256, 20.0, 50.0, 0.25
+#: Languages whose table a task holds at a time (0.5 MB each), strength of priors, weight of a byte pair.
+LANGUAGES, HOST_STRENGTH, DOMAIN_STRENGTH, TEXT_WEIGHT = 256, 20.0, 50.0, 0.25
 _DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.DOTALL | re.IGNORECASE)
 _FOLD = np.arange(256, dtype=np.int64)
 _FOLD[65:91] += 32
@@ -33,8 +33,10 @@ def visible(html: str) -> str:
     return _DROP.sub(" ", html)
 
 
-def pair_counts(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, np.ndarray]:
-    """Byte-pair counts of every language over all labelled documents; summed in tasks, then by language and pair."""
+def pair_counts(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """By language, in the order of names: the byte pairs of all its labelled documents and their counts; summed in tasks, then by language and pair.
+
+    What comes to the driver is at most 65,536 pairs a language, of which texts use some thousands."""
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,54 +53,67 @@ def pair_counts(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, np.n
                     c = _FOLD[np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)]
                     n = np.bincount(c[:-1] * 256 + c[1:], minlength=65536)
                     total[k] = total[k] + n if k in total else n
-        for k, n in total.items():
-            hit = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(n[hit], pa.int64())], names=["lang", "pair", "n"])
+                    if len(total) > LANGUAGES:
+                        yield told(total)
+                        total = {}
+        yield told(total)
+
+    def told(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+        hits = [np.flatnonzero(n) for n in total.values()]
+        names = pa.array([k for k, hit in zip(total, hits, strict=True) for _ in range(len(hit))], pa.string())
+        pairs = np.concatenate([np.zeros(0, np.int64), *hits])
+        counts = np.concatenate([np.zeros(0, np.int64), *(n[hit] for n, hit in zip(total.values(), hits, strict=True))])
+        return pa.RecordBatch.from_arrays([names, pa.array(pairs, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "pair", "n"])
 
     summed = docs.select(F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")).mapInArrow(count, "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n"))
 
-    def whole(table: pa.Table) -> pa.Table:
-        n = np.zeros(65536, np.int64)
-        n[table["pair"].to_numpy()] = table["n"].to_numpy()
-        return pa.table({"lang": table["lang"].slice(0, 1), "counts": pa.array([n.tobytes()], pa.binary())})
-
-    rows = summed.groupBy("lang").applyInArrow(whole, "lang string, counts binary").take(MOST_LANGUAGES + 1)  # one row a language
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"a model may have {MOST_LANGUAGES} languages")
-    return {r["lang"]: np.frombuffer(r["counts"], np.int64).astype(float) for r in sorted(rows)}
+    by = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pair", "n"))).alias("p")).select("lang", "p.pair", "p.n").orderBy("lang")
+    return {r["lang"]: (np.array(r["pair"], np.int32), np.array(r["n"], np.int64)) for r in by.toLocalIterator()}
 
 
 class TextModel:
-    """log P(next byte | byte) for each language, as one table."""
-
-    def __init__(self, counts: dict[str, np.ndarray]):
-        self.langs = list(counts)
-        table = np.zeros((65536, max(1, len(counts))))
-        for i, n in enumerate(counts.values()):
-            c = n.reshape(256, 256)
-            back = (c.sum(0) + 0.1) / (c.sum() + 25.6)
-            table[:, i] = np.log((c + 4 * back) / (c.sum(1, keepdims=True) + 4)).ravel()
-        table[32 * 256 + 32] = 0
-        self.table = table
+    """log P(next byte | byte) for each language, as tables of LANGUAGES languages, of which one is held."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.langs, self.pairs, self.held = list(counts), list(counts.values()), (-1, np.zeros(0))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": (-1, np.zeros(0))}
+
+    def table(self, start: int) -> np.ndarray:
+        """The table of the languages from start on."""
+        if self.held[0] != start:
+            some = self.pairs[start : start + LANGUAGES]
+            table = np.zeros((65536, len(some)))
+            for i, (pair, n) in enumerate(some):
+                c = np.zeros(65536)
+                c[pair] = n
+                c = c.reshape(256, 256)
+                back = (c.sum(0) + 0.1) / (c.sum() + 25.6)
+                table[:, i] = np.log((c + 4 * back) / (c.sum(1, keepdims=True) + 4)).ravel()
+            table[32 * 256 + 32] = 0
+            self.held = start, table
+        return self.held[1]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """For each text, by language: the sum of log-likelihoods of its pairs; last, the number of pairs with a letter."""
-        c = _FOLD[np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)] if texts else np.zeros(1, np.int64)
-        code = c[:-1] * 256 + c[1:]
-        ends = np.cumsum([len(t) + 2 for t in texts]) - 1
-        starts = np.r_[0, ends[:-1] + 1] if texts else ends
         out = np.zeros((len(texts), len(self.langs) + 1))
-        for i in range(len(self.langs)):
-            run = np.r_[0.0, np.cumsum(self.table[code, i])]
-            out[:, i] = run[ends] - run[starts]
-        run = np.r_[0, np.cumsum(code != 32 * 257)]
-        out[:, -1] = run[ends] - run[starts]
+        for start in range(0, max(1, len(self.langs)), LANGUAGES):
+            table = self.table(start)
+            for at, part in chunks(texts):
+                c = _FOLD[np.frombuffer(b" " + b"  ".join(part) + b" ", np.uint8)]
+                code = c[:-1] * 256 + c[1:]
+                ends = np.cumsum([len(t) + 2 for t in part]) - 1
+                starts = np.r_[0, ends[:-1] + 1]
+                for i, values in [*enumerate(table.T, start), (-1, None)]:
+                    run = np.r_[0, np.cumsum(code != 32 * 257 if values is None else values[code])]
+                    out[at : at + len(part), i] = run[ends] - run[starts]
         return out
 
 
 def _with_text_evidence(df: DataFrame, model: TextModel, markup: bool, with_text: bool = False) -> DataFrame:
     """df, without its text unless with_text, and ll: by language, the tempered log-likelihood of `text` (null if it has no letter)."""
-    held = df.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES x 65536 doubles
+    held = df.sparkSession.sparkContext.broadcast(model)  # the counts: at most 65,536 pairs a language
     names = df.columns
     place = names.index("text")
 
@@ -108,7 +123,7 @@ def _with_text_evidence(df: DataFrame, model: TextModel, markup: bool, with_text
         for b in slices(batches):
             raw = b.column(place).to_pylist()
             texts = [(visible(t) if markup else t).encode() if t else b"" for t in raw]
-            got = [x for _, part in chunks(texts) for x in m.score(part)]
+            got = m.score(texts)
             ll = [None if not x[-1] else (TEXT_WEIGHT * x[:-1]).tolist() for x in got]
             kept = [i for i in range(len(names)) if with_text or i != place]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(ll, pa.list_(pa.float64()))], names=[*(names[i] for i in kept), "ll"])
@@ -163,15 +178,17 @@ def fuse(df: DataFrame, model: TextModel, id_col: str | None, text_col: str, url
     seen = cut(_with_text_evidence(rows, model, markup, text_col in keep).withColumn("best", _best(F.col("ll"))), "evidence")
 
     # grouped counts: of hosts, their domains, and all (n numbers)
-    per = [F.count_if(F.col("best") == i).alias(f"c{i}") for i in range(n)]
-    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(n)]
-    hosts = cut(seen.where("host is not null").groupBy("host", "domain").agg(*per), "hosts")
+    votes = cut(seen.groupBy("host", "domain", "best").agg(F.count("*").alias("c")), "votes")
+    by_best = lambda *key: votes.where("host is not null").groupBy(*key, "best").agg(F.sum("c").alias("c")).groupBy(*key).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("best", "c")), lambda x: x["best"].isNotNull())).alias("m"))
+    dense = lambda name: F.expr(f"transform(sequence(0, {n - 1}), i -> coalesce(m[i], 0L))").alias(name)
     # written first: a join right above its aggregation could not split a domain of many hosts
-    domains = cut(hosts.groupBy("domain").agg(*sums).select("domain", F.array(*[f"c{i}" for i in range(n)]).alias("d")), "domains")
-    total = np.array(seen.agg(*per).first(), float) + 1
+    hosts, domains = cut(by_best("host", "domain").select("host", "domain", dense("h")), "hosts"), cut(by_best("domain").select("domain", dense("d")), "domains")
+    total = np.ones(n)
+    for r in votes.where("best is not null").groupBy("best").agg(F.sum("c").alias("c")).collect():  # one row a language
+        total[r["best"]] += r["c"]
     base = F.array(*[F.lit(float(x)) for x in total / total.sum()])
     smooth = lambda own, prior, k: F.zip_with(own, prior, lambda c, p: (c + k * p) / (F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x) + k))
-    prior = hosts.select("host", "domain", F.array(*[f"c{i}" for i in range(n)]).alias("h")).join(domains, "domain").select("host", smooth(F.col("h"), smooth(F.col("d"), base, DOMAIN_STRENGTH), HOST_STRENGTH).alias("prior"))
+    prior = hosts.join(domains, "domain").select("host", smooth(F.col("h"), smooth(F.col("d"), base, DOMAIN_STRENGTH), HOST_STRENGTH).alias("prior"))
 
     out = seen.join(prior, "host", "left").withColumn("prior", F.coalesce("prior", base))
     for s in ("declared", "suffix"):

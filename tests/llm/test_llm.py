@@ -560,6 +560,23 @@ def test_language_id(spark):
     assert language_id.fuse(df.limit(0), model, "page_id", "html", "url").count() == 0
 
 
+def test_more_languages_than_a_table_holds(spark, monkeypatch):
+    """300 languages are told apart, and tables of seven at a time give what one table gives."""
+    rng = random.Random(8)
+    docs, own = [], {}
+    for i in range(300):
+        own[f"l{i:03}"] = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)]
+        docs += [(" ".join(rng.choices(own[f"l{i:03}"], k=60)), f"l{i:03}")]
+    counts = language_id.pair_counts(spark.createDataFrame(docs, "text string, lang string"), "text", "lang")
+    assert list(counts) == sorted(own)
+    asked = [(i, " ".join(rng.choices(own[f"l{i:03}"], k=30))) for i in range(0, 300, 7)]
+    got = language_id.fuse(spark.createDataFrame(asked, "i long, text string"), language_id.TextModel(counts), "i", "text", markup=False).collect()
+    assert len(got) == len(asked) and all(r["lang"] == r["text_lang"] == f"l{r['i']:03}" for r in got)
+    whole = language_id.TextModel(counts).score([t.encode() for _, t in asked])
+    monkeypatch.setattr(language_id, "LANGUAGES", 7)
+    assert (language_id.TextModel(counts).score([t.encode() for _, t in asked]) == whole).all()
+
+
 def plain_fusion(pages, docs):
     """(lang, probability) of each page, by plain counts: the formulas once more, without tables or joins."""
     langs = sorted({k for _, k in docs if k})
