@@ -132,8 +132,10 @@ def n_keys(df: DataFrame, text_col: str, n: int) -> int:
     return 1 << (int(min(max(256, size * 6 // 10 >> 25), _MOST_BUCKETS)) - 1).bit_length()
 
 
-def row_id(*cols: Column) -> Column:
-    return F.xxhash64(*cols)
+def row_id(*cols: Column | str) -> Column:
+    """64 bits of the values and of which of them are null: a hash of values alone passes over nulls, wherever they are."""
+    named = [F.col(c) if isinstance(c, str) else c for c in cols]
+    return F.xxhash64(*named, *[F.isnull(c) for c in named])
 
 
 def bucket_of(rid: Column, n: int) -> Column:
@@ -248,6 +250,23 @@ def counted(df: DataFrame, rid: str = "rid") -> DataFrame:
     return df.mapInArrow(run, df.select("*").schema.add("copies", "long"))
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """A bucket's rows by their numbers (rid, rid2), one of those that are equal, their copies added up.
+
+    So a row has the same place whenever the bucket is read, however its rows came and
+    whichever of them shared a batch, and bucket and place number a row without collisions."""
+    table = table.sort_by([("rid", "ascending"), ("rid2", "ascending")])
+    a, b = table["rid"].to_numpy(), table["rid2"].to_numpy()
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    if new.all():
+        return table
+    out = table.filter(pa.array(new))
+    if "copies" in out.column_names:
+        total = np.add.reduceat(table["copies"].to_numpy(), np.flatnonzero(new))
+        out = out.set_column(out.column_names.index("copies"), "copies", pa.array(total.astype(np.int64)))
+    return out
+
+
 def joined(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
     """The records of all values of a binary column, in order."""
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype=dtype)

@@ -33,16 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .infra import as_bytes, blobs, bucket_of, by_key, counted, cut, discard, gathered, joined, n_buckets, n_keys, row_id, ship
+from .infra import as_bytes, blobs, bucket_of, by_key, counted, cut, discard, gathered, in_order, joined, n_buckets, n_keys, row_id, ship
 from .substring_dedup import _send, shared_places
 from .wordhash import U, Words, mix
 
-_FIRST = "src int, key int, data binary, rid long, rid2 long, n long, d1 long, d2 long"
+_FIRST = "src int, key int, data binary, rid long, rid2 long, v long, n long, d1 long, d2 long"
 _SETS = "src int, key int, data binary, rid long, n long, toks binary"
 _READY = "rid long, n long, toks binary, first binary, single long, c1 double, c2 double"
 _LOCAL = np.dtype([("a", "<u4"), ("b", "<u2"), ("n", "<u4")])
 _DF = np.dtype([("t", "<u8"), ("n", "<u4")])
-_ORDER = [("rid", "ascending"), ("rid2", "ascending")]
 #: Sets of this size and more are heavy at any boundary; it bounds the table of costs on the driver.
 MOST_LIGHT = 512
 #: Documents of a block, as long as a group has at most MOST_BLOCKS blocks; documents of the blocks of larger groups; shingles of a block, about.
@@ -82,11 +81,16 @@ def _depth(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.maximum(1, (n - _need(n, num, den) + 1) // 2)
 
 
+def _vertices(docs: pa.Table) -> np.ndarray:
+    """The numbers of a bucket's rows from here on: bucket and place, so no two rows share one (there are at most 2^22 buckets)."""
+    return (docs["src"].to_numpy().astype(np.int64) << 32) + np.arange(docs.num_rows)
+
+
 def _screen(k: int, num: int, den: int, n_keys: int) -> Callable[[pa.Table], pa.Table]:
-    schema = pa.schema([("src", pa.int32()), ("key", pa.int32()), ("data", pa.binary()), *((c, pa.int64()) for c in ("rid", "rid2", "n", "d1", "d2"))])
+    schema = pa.schema([("src", pa.int32()), ("key", pa.int32()), ("data", pa.binary()), *((c, pa.int64()) for c in ("rid", "rid2", "v", "n", "d1", "d2"))])
 
     def send(table: pa.Table) -> pa.Table:
-        table = table.sort_by(_ORDER)
+        table = in_order(table)
         h, d, n = _sets(as_bytes(table["text"]), k)
         rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
         first = rank < (n - _need(n, num, den) + _depth(n, num, den))[d]
@@ -96,7 +100,7 @@ def _screen(k: int, num: int, den: int, n_keys: int) -> Callable[[pa.Table], pa.
             for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
                 run = np.r_[U(0), np.cumsum(mix(h * U(salt)))]
                 total.append(mix((run[ends] - run[ends - n]) + n.astype(np.uint64) * U(salt)).view(np.int64))
-        info = pa.table({"rid": table["rid"], "rid2": table["rid2"], "n": pa.array(n.astype(np.int64)), "d1": pa.array(total[0]), "d2": pa.array(total[1])})
+        info = pa.table({"rid": table["rid"], "rid2": table["rid2"], "v": pa.array(_vertices(table)), "n": pa.array(n.astype(np.int64)), "d1": pa.array(total[0]), "d2": pa.array(total[1])})
         return pa.concat_tables([sent, info], promote_options="default").select(schema.names).cast(schema)
 
     return send
@@ -107,23 +111,20 @@ def _collect(k: int, num: int, den: int, n_keys: int) -> Callable[[pa.Table, pa.
     schema = pa.schema([("src", pa.int32()), ("key", pa.int32()), ("data", pa.binary()), ("rid", pa.int64()), ("n", pa.int64()), ("toks", pa.binary())])
 
     def send(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        docs = docs.sort_by(_ORDER)
+        docs = in_order(docs)
         at, seen = np.unique(joined(hits["data"], np.dtype("<u4")).astype(np.int64), return_counts=True)
-        rid = docs["rid"].to_numpy()
-        copies = hits["rid"].drop_null().to_numpy()
-        if len(at):
-            new = ~np.isin(rid[at], copies) & np.r_[True, rid[at][1:] != rid[at][:-1]]
-            at, seen = at[new], seen[new]
+        new = ~np.isin(_vertices(docs)[at], hits["rid"].drop_null().to_numpy())
+        at, seen = at[new], seen[new]
         if not len(at):
             return schema.empty_table()
         src = docs["src"][0].as_py()
-        docs = docs.take(pa.array(at))
+        docs = docs.append_column("v", pa.array(_vertices(docs))).take(pa.array(at))
         h, d, n = _sets(as_bytes(docs["text"]), k)
         stays = seen >= _depth(_need(n, num, den), num, den)
         h, n, at, docs = h[stays[d]], n[stays], at[stays], docs.filter(pa.array(stays))
         cuts = np.r_[0, np.cumsum(n)]
         raw = h.astype("<u8").tobytes()
-        sets = pa.table({"src": pa.array(np.full(len(at), src, np.int32)), "rid": docs["rid"], "n": pa.array(n.astype(np.int64)), "toks": pa.array([raw[8 * a : 8 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        sets = pa.table({"src": pa.array(np.full(len(at), src, np.int32)), "rid": docs["v"], "n": pa.array(n.astype(np.int64)), "toks": pa.array([raw[8 * a : 8 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
         tok, count = np.unique(h, return_counts=True)
         rec = np.zeros(len(tok), dtype=_LOCAL)
         rec["a"], rec["b"], rec["n"] = tok >> U(32), (tok >> U(16)).astype(np.uint16), count
@@ -289,17 +290,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("the threshold must be over one half and at most one")
     n = n_buckets(docs, text_col)
     keys = n_keys(docs, text_col, n)
-    # two hashes: a row is known by 128 bits, and rows of one number stay in one order
+    # two hashes: a row is known by 128 bits, and has one place in its bucket; buckets and places are the vertices
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumns({"rid": row_id("id", "text"), "rid2": row_id(F.lit(2), F.col("id"), F.col("text"))})
     thin = counted(own.select("rid", "rid2", "text")).select(bucket_of(F.col("rid"), n).alias("src"), "rid", "rid2", "text")
 
     first = cut(thin.groupBy("src").applyInArrow(_screen(k, num, den, keys), _FIRST), "screen")
-    info = first.where("rid is not null").select("rid", "rid2", "n", "d1", "d2").distinct()
-    rep = info.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep"))
-    member = cut(info.join(rep, ["d1", "d2", "n"], "left").select("rid", "rid2", "n", "rep"), "members")
+    info = first.where("rid is not null").select("rid", "rid2", "v", "n", "d1", "d2")
+    # written first: a join right above its aggregation could not split a set that many rows have
+    rep = cut(info.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("v").alias("rep")), "reps")
+    member = cut(info.join(rep, ["d1", "d2", "n"], "left").select("rid", "rid2", "v", "n", "rep"), "members")
     hits = shared_places(first.where("key is not null").select("src", "key", "data"), "shared")
     discard(first)
-    copies = member.where("rid <> rep").select(bucket_of(F.col("rid"), n).alias("src"), F.lit(None).cast("binary").alias("data"), "rid")
+    copies = member.where("v <> rep").select(bucket_of(F.col("rid"), n).alias("src"), F.lit(None).cast("binary").alias("data"), F.col("v").alias("rid"))
     known = hits.withColumn("rid", F.lit(None).cast("long")).unionByName(copies)
 
     sets = cut(thin.groupBy("src").cogroup(known.groupBy("src")).applyInArrow(_collect(k, num, den, keys), _SETS), "sets")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .infra import as_bytes, blobs, bucket_of, by_key, counted, cut, gathered, joined, n_buckets, n_keys, row_id, ship
+from .infra import as_bytes, blobs, bucket_of, by_key, counted, cut, gathered, in_order, joined, n_buckets, n_keys, row_id, ship
 from .wordhash import Words
 
 #: Perfect difference covers: period -> residues whose differences give every residue. Fixed values.
@@ -82,10 +82,6 @@ def shared_places(sent: DataFrame, label: str) -> DataFrame:
     return cut(gathered(sent).repartition("key").sortWithinPartitions("key").mapInArrow(_meet, _HITS), label)
 
 
-def _ordered(table: pa.Table) -> pa.Table:
-    return table.sort_by([("rid", "ascending"), ("rid2", "ascending"), ("copies", "ascending")])  # rows of equal numbers are equal
-
-
 def _copied(table: pa.Table) -> np.ndarray:
     return table["copies"].to_numpy() > 1
 
@@ -95,7 +91,7 @@ def _anchors(window: int, period: int, n_keys: int) -> Callable[[pa.Table], pa.T
     cover[list(COVERS[period])] = True
 
     def send(table: pa.Table) -> pa.Table:
-        table = _ordered(table)
+        table = in_order(table)
         w = Words(as_bytes(table["text"]))
         h1, ok = w.windows(size), w.inside(size)
         n = len(h1)
@@ -113,7 +109,7 @@ def _extend(window: int, period: int, n_keys: int) -> Callable[[pa.Table, pa.Tab
         at = joined(hits["data"], np.dtype("<u4")).astype(np.int64)
         if not len(at) or not docs.num_rows:
             return _send(0, *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.int64), n_keys)
-        docs = _ordered(docs)
+        docs = in_order(docs)
         w = Words(as_bytes(docs["text"]))
         delta = np.zeros(len(w.hash) + 2, np.int64)  # windows from at + size - window to at hold the anchor
         np.add.at(delta, np.maximum(at + size - window, 0), 1)
@@ -127,7 +123,7 @@ def _extend(window: int, period: int, n_keys: int) -> Callable[[pa.Table, pa.Tab
 
 def _finish(window: int, extra: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def keep(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        docs = _ordered(docs)
+        docs = in_order(docs)
         texts = as_bytes(docs["text"])
         w = Words(texts)
         at = joined(hits["data"], np.dtype("<u4")).astype(np.int64)
@@ -167,7 +163,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -
     whole = [f"c{i}" for i in range(len(keep))]
     keys = n_keys(docs, text_col, n)
     hashed = [F.to_json(F.struct(c)) if _nested(named, c) else F.col(c) for c in whole]
-    # two hashes: a row is known by 128 bits, and rows of one number stay in one order
+    # two hashes: a row is known by 128 bits, and has one place in its bucket
     own = counted(named.withColumn("rid2", row_id(F.lit(2), *hashed)).withColumn("rid", row_id(*hashed))).withColumn("src", bucket_of(F.col("rid"), n))
     thin = own.select("src", "rid", "rid2", "copies", text.alias("text"))
     hits = shared_places(thin.groupBy("src").applyInArrow(_anchors(window, period, keys), _BLOB), "anchors")
@@ -181,4 +177,5 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -
 
 
 def _nested(df: DataFrame, c: str) -> bool:
-    return df.schema[c].dataType.typeName() in ("map", "variant")
+    """Whether values of c hold others: maps cannot be hashed, and a hash passes over nulls within the others."""
+    return df.schema[c].dataType.typeName() in ("map", "variant", "struct", "array")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -477,6 +478,37 @@ def test_ngram_join_edges(spark):
     assert ngram_join(df.limit(0)).count() == 0
 
 
+def unsettled(df):
+    """df, whose rows come in another order and in other batches each time it is read."""
+
+    def run(batches):
+        rows = [b.slice(i, 1) for b in batches for i in range(b.num_rows)]
+        random.SystemRandom().shuffle(rows)
+        yield from rows[::2]
+        if rows[1::2]:
+            yield pa.Table.from_batches(rows[1::2]).combine_chunks().to_batches()[0]
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_inputs_that_come_otherwise_each_time(spark):
+    rows = [*documents(), *documents()[:30], *documents()[:30], (9001, "a b c d e " * 12)]
+    df = unsettled(as_rows(spark, rows).repartition(3))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join(df).collect())
+    alone = brute_join([*documents(), rows[-1]], 4, 85, 100)
+    assert got == Counter((i, *alone[i]) for i, _ in rows)
+    out = substring_dedup(df)
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect()) == brute_substring(rows, 35)
+
+
+def test_rows_whose_nulls_are_elsewhere(spark):
+    text = "a b c d e f g h"
+    df = spark.createDataFrame([("x", None, text), (None, "x", text), ("x", None, text)], "u string, v string, text string")
+    assert Counter((r["u"], r["v"], r["n_removed"]) for r in substring_dedup(df, window=6).collect()) == {("x", None, 8): 2, (None, "x", 8): 1}
+    ids = spark.createDataFrame([("a b c d e", None), (None, "a b c d e"), ("z", "a b c d e")], "doc_id string, text string")
+    assert Counter(map(tuple, ngram_join(ids).collect())) == {("a b c d e", 0, "a b c d e"): 1, (None, 2, "z"): 1, ("z", 2, "z"): 1}
+
+
 # ---- op7
 
 
