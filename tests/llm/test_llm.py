@@ -491,9 +491,11 @@ def unsettled(df):
     return df.mapInArrow(run, df.schema)
 
 
-def test_inputs_that_come_otherwise_each_time(spark):
+def test_inputs_that_come_otherwise_each_time(spark, request):
     rows = [*documents(), *documents()[:30], *documents()[:30], (9001, "a b c d e " * 12)]
     df = unsettled(as_rows(spark, rows).repartition(3))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # so that other rows share a batch each time
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"))
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join(df).collect())
     alone = brute_join([*documents(), rows[-1]], 4, 85, 100)
     assert got == Counter((i, *alone[i]) for i, _ in rows)
