@@ -183,45 +183,52 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
         pa.default_memory_pool().release_unused()
 
 
-#: Bytes of records that a task gathers before it sends them.
-_GATHER = 64 << 20
+#: Bytes of records that a task gathers before it sends them, and of those that it sends at a time.
+_GATHER, _SENT = 64 << 20, 4 << 20
 
 
 def gathered(sent: DataFrame) -> DataFrame:
     """(key, srcs, sizes, data) of (src, key, data): the values of a task for one key as one, with their origins and lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("records", int)  # nothing of its own stays
         held: dict[int, list[tuple[int, bytes]]] = {}
         size = 0
 
-        def flush() -> pa.RecordBatch:
-            keys = sorted(held)
-            srcs, sizes = (pa.array([np.array([f(x) for x in held[k]], "<u4").tobytes() for k in keys], pa.binary()) for f in (lambda x: x[0], lambda x: len(x[1])))
-            data = pa.array([b"".join(d for _, d in held[k]) for k in keys], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), srcs, sizes, data], names=["key", "srcs", "sizes", "data"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            """What is held, a part at a time: it goes as it is sent."""
+            rows, part = [], 0
+            for k in sorted(held):
+                own = held.pop(k)
+                rows.append((k, *(np.array([f(x) for x in own], "<u4").tobytes() for f in (lambda x: x[0], lambda x: len(x[1]))), b"".join(d for _, d in own)))
+                part += len(rows[-1][3])
+                if part > _SENT or not held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["key", "srcs", "sizes", "data"])
+                    rows, part = [], 0
 
         for b in batches:
             for s, k, d in zip(*(b.column(c).to_pylist() for c in ("src", "key", "data")), strict=True):
                 held.setdefault(k, []).append((s, d))
                 size += len(d)
             if size > _GATHER:
-                yield flush()
-                held.clear()
+                yield from flush()
                 size = 0
-        if held:
-            yield flush()
+        yield from flush()
 
     return sent.select("src", "key", "data").mapInArrow(run, "key int, srcs binary, sizes binary, data binary")
 
 
 def by_key(batches: Iterator[pa.RecordBatch], itemsize: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
-    """(key, origin of each record, records) of gathered rows that come sorted by key."""
+    """(key, origin of each record, records) of gathered rows that come sorted by key; of keys below 0, without the origins (records of any size)."""
     held: list[tuple[bytes, bytes, bytes]] = []
     now = None
 
     def whole() -> tuple[int, np.ndarray, bytes]:
-        srcs, sizes = (np.frombuffer(b"".join(x[i] for x in held), "<u4").astype(np.int64) for i in (0, 1))
-        return now, np.repeat(srcs, sizes // itemsize), b"".join(x[2] for x in held)
+        data = b"".join(x[2] for x in held)
+        if now < 0:
+            return now, np.zeros(0, np.int64), data
+        srcs, sizes = (np.frombuffer(b"".join(x[i] for x in held), "<u4") for i in (0, 1))
+        return now, np.repeat(srcs.astype(np.int64), sizes // itemsize), data
 
     for batch in batches:
         for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "srcs", "sizes", "data")), strict=True):

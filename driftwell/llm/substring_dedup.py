@@ -60,11 +60,11 @@ def _send(src: int, h1: np.ndarray, h2: np.ndarray, at: np.ndarray, n_keys: int,
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per key bucket (rows come sorted by it): the places of fingerprints that came more than once, by bucket of origin."""
-    for key, src, data in by_key(batches, 1):
+    for key, src, data in by_key(batches, _REC.itemsize):
         if key < 0:  # places that go home at once
             yield pa.RecordBatch.from_arrays([pa.array([-1 - key], pa.int32()), pa.array([data], pa.binary())], names=["src", "data"])
             continue
-        rec, src = np.frombuffer(data, dtype=_REC), src[:: _REC.itemsize]
+        rec = np.frombuffer(data, dtype=_REC)
         h = (rec["a"].astype(np.uint64) << np.uint64(16)) | rec["b"]
         order = np.lexsort((rec["c"], h))
         h, c = h[order], rec["c"][order]

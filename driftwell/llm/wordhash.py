@@ -3,7 +3,9 @@
 A word is a maximal run of bytes other than space and 0x09-0x0D.  All work is
 done on one concatenated byte buffer with numpy, so a batch costs a few passes
 over its bytes and no Python loop over words.  Fingerprints are polynomials
-modulo 2**64 over a fixed pseudo-random byte table, finished by a bit mixer.
+modulo 2**64 over a fixed pseudo-random byte table, finished by a bit mixer; they
+are made stretch by stretch, so that eight-byte numbers for each byte of a batch
+are never held at once.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ U = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _ROUTES = {"byte": 0xD6E8FEB86659FD93, "win": 0xA0761D6478BD642F, "win2": 0xE7037ED1A0B428DB}
 _pow_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of a stretch of words (a longer word is a stretch of its own); fingerprints don't depend on it.
+STRETCH = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,12 +77,21 @@ class Words:
         self.doc = np.searchsorted(upto, self.starts, side="right").astype(np.int64)
         self.counts = np.bincount(self.doc, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.counts)))
-        base = _ROUTES["byte"]
-        up, down = _powers(base, len(buf) + 1)
+        self.hash = np.empty(len(self.starts), np.uint64)
+        i = 0
+        while i < len(self.starts):
+            at = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, at + STRETCH, side="right")))
+            self.hash[i:j] = self._hashes(buf[at : self.ends[j - 1]], self.starts[i:j] - at, self.ends[i:j] - at, lower)
+            i = j
+
+    @staticmethod
+    def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+        up, down = _powers(_ROUTES["byte"], len(buf) + 1)
         with np.errstate(over="ignore"):
             total = np.zeros(len(buf) + 1, dtype=np.uint64)
             np.cumsum(_TABLE[_LOWER[buf] if lower else buf] * up[: len(buf)], out=total[1:])
-            self.hash = mix((total[self.ends] - total[self.starts]) * down[self.starts] + U(_MULT))
+            return mix((total[ends] - total[starts]) * down[starts] + U(_MULT))
 
     def windows(self, k: int, route: str = "win") -> np.ndarray:
         """Fingerprint of the k words from each word on; only those of ``inside(k)`` mean anything."""
