@@ -15,8 +15,9 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,12 @@ class _ByteBPE:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.marks = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.quick = _quick(json.loads(self.lib.to_str()))
+        spec = json.loads(self.lib.to_str())
+        self.quick = _quick(spec)
+        # of each token, the bytes it stands for: a printable sign each
+        vocab = spec["model"]["vocab"] if self.quick else {}
+        self.bytes_of = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocab.values())] = [len(t) for t in vocab]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         # the fast form leaves out offsets, which nobody reads here; ids are the same
@@ -64,16 +70,32 @@ class _ByteBPE:
             return self._library(texts)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(self.quick, texts)]
 
+    def _inner(self, texts: list[str]) -> Iterable[bytes]:
+        """The ids of many pieces that were cut out within texts, as one text: each begins with a space and ends in
+        no white space, so the pattern cuts where they meet, and the bytes of the tokens tell where that is."""
+        whole = "".join(texts)
+        if self.quick is None or any(m in whole for m in self.marks):
+            return self._pieces(texts)
+        ids, ends = np.array(self.quick(whole), "<u4"), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        if not whole.isascii():  # from signs to bytes
+            ends = np.r_[np.flatnonzero((np.frombuffer(raw := whole.encode(), np.uint8) & 0xC0) != 0x80), len(raw)][ends]
+        at = 4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right")
+        raw = ids.tobytes()
+        return (raw[a:b] for a, b in pairwise([0, *at.tolist()]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known, self.before = {}, self.known
         chunks = [_cut(t) for t in texts]
         fresh = set().union(*chunks) - self.known.keys()
         again = fresh & self.before.keys()
-        self.known.update((x, self.before[x]) for x in again)
-        fresh = list(fresh - again)
-        if fresh:
-            self.known.update(zip(fresh, self._pieces(fresh), strict=True))
+        self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        fresh -= again
+        outer = list(fresh & {x for c in chunks for x in (c[0], c[-1])})
+        inner = list(fresh.difference(outer))
+        for new, ids in ((outer, self._pieces), (inner, self._inner)):
+            if new:
+                self.known.update(zip(new, ids(new), strict=True))
         look = self.known.__getitem__
         return [b"".join(map(look, c)) for c in chunks]
 

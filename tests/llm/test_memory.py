@@ -1,12 +1,13 @@
-"""What the operators hold in a worker, and that results don't depend on how it is divided."""
+"""What the operators hold and do in a worker, and that results don't depend on how it is divided."""
 
 import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from driftwell.llm import infra, wordhash
+from driftwell.llm import infra, packing, wordhash
 
 
 def test_words_hold_no_long_numbers_for_each_byte(monkeypatch):
@@ -47,3 +48,15 @@ def test_gathered_records_are_sent_in_parts():
         assert got[key][1] == b"".join(r[2] for r in own)
         assert got[key][0].tolist() == ([] if key < 0 else np.repeat([r[0] for r in own], 2000).tolist())
     assert list(infra.gathered(_Frame())(iter([]))) == []
+
+
+def test_new_pieces_are_encoded_together():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    own, rng, calls = packing._ByteBPE(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3), []
+    quick = own.quick
+    own.quick = lambda t: calls.append(t) or quick(t)
+    texts = [" ".join("".join(rng.choice("abcdefgh,.é漢0'") for _ in range(rng.randrange(1, 12))) for _ in range(400)) for _ in range(50)]
+    got = own.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in own.lib.encode_batch(texts, add_special_tokens=False)]
+    assert len(calls) <= 2 * len(texts) + 1  # the first and last piece of each text, and the rest
+    assert own.encode(texts) == got and len(calls) <= 2 * len(texts) + 1
