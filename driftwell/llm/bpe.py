@@ -1,7 +1,7 @@
 """BPE encoding and decoding by speculate and verify.
 
-For each word not met before, greedy longest match over the vocabulary proposes tokens.
-A proposal is the BPE encoding exactly if each token is the encoding of its own text
+For each word not met before, greedy longest match over the vocabulary proposes tokens:
+all new words walk the trie of its tokens together, a byte at a time.  A proposal is the BPE encoding exactly if each token is the encoding of its own text
 and no adjacent pair would have merged across its border.  The second is tested for all
 adjacent pairs of all new words at once: both sides of the border are unmerged step by
 step in numpy, the later merge first, and a pair fails when a merge across the border
@@ -28,6 +28,8 @@ from .infra import ship
 
 #: Entries of a worker's word cache; past it the cache starts anew (results don't depend on it).
 CACHE = 150_000
+#: Bytes of a word that walks with the others; longer ones go one by one, so that they don't hold up the rest.
+WALKING = 64
 _END = "</w>"
 #: Controls that str.split() takes for white space, but the vocabulary's pattern doesn't.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
@@ -40,6 +42,39 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class _Table:
+    """Whole numbers by whole numbers from 0 on, looked up many at a time: open addressing, a quarter full at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, none: int):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.value, self.none = np.full(1 << bits, -1, np.int64), np.full(1 << bits, none, np.int64), none
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.key[slot[left]] < 0]
+            put = free[np.unique(slot[free], return_index=True)[1]]
+            self.key[slot[put]], self.value[slot[put]] = keys[put], values[put]
+            left = np.setdiff1d(left, put)
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found, out = self.key[slot], self.value[slot]
+        other = np.flatnonzero(found != keys)
+        other = other[found[other] >= 0]
+        out[other] = self.none
+        while len(other):  # on to the next places, as far as they are taken
+            slot[other] = (slot[other] + 1) & self.mask
+            found = self.key[slot[other]]
+            same = found == keys[other]
+            out[other[same]] = self.value[slot[other[same]]]
+            other = other[~same & (found >= 0)]
+        return out
+
+
 class WordBPE:
     """One vocabulary, its pair tables, and the cache of words met."""
 
@@ -65,13 +100,15 @@ class WordBPE:
             if self.made[t] < 0:
                 self.made[t], self.left[t], self.right[t] = i, self.vocab[a], self.vocab[b]
         keys = np.array([(self.vocab[a] << 32) | self.vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.pair_key, self.pair_rank = keys[order], order
+        self.rank_of = _Table(keys, np.arange(len(keys)), len(keys))
         self.sound = self._sound()
         self.symbols = byte_symbols()
         short = lambda t: t[: -len(_END)] + "\0" if t.endswith(_END) else t  # noqa: E731  the word end as one character
         self.by_text = {short(t): i for t, i in self.vocab.items() if self.sound[i]}
         self.longest = max(map(len, self.by_text))
+        # by byte: its token inside a word, and at its end (none: -1)
+        self.inside, self.final = (np.array([self.vocab.get(c + e, -1) for c in self.symbols], np.int64) for e in ("", _END))
+        self._plant()
         specials = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.split_special = regex.compile(f"({specials})")
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -84,7 +121,7 @@ class WordBPE:
 
         limit: only merges before it count (default: all)."""
         a, b = a.copy(), b.copy()
-        most = np.full(len(a), len(self.pair_key), np.int64) if limit is None else limit.copy()
+        most = np.full(len(a), self.rank_of.none, np.int64) if limit is None else limit.copy()
         ok = np.ones(len(a), bool)
         live = np.arange(len(a))
         while len(live):
@@ -127,19 +164,75 @@ class WordBPE:
                 return None
         return out
 
+    def _plant(self) -> None:
+        """The trie of the proposed tokens: children by node and byte (256: the word's end), tokens by node."""
+        code = {c: i for i, c in enumerate(self.symbols)} | {"\0": 256}
+        child: dict[int, int] = {}
+        token = {}
+        for t, i in self.by_text.items():
+            node = 0
+            for c in t:
+                node = child.setdefault(node * 257 + code[c], len(child) + 1)
+            token[node] = i
+        self.child = _Table(np.array(list(child), np.int64), np.array(list(child.values()), np.int64), -1)
+        self.token_at = np.full(len(child) + 1, -1, np.int64)
+        self.token_at[list(token)] = list(token.values())
+
+    def propose(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, their words) of greedy longest match, in order, for words of so many bytes each; a word that has no match has none."""
+        stop = np.cumsum(size + 1)
+        seq = np.full(int(stop[-1]) if len(stop) else 0, 256, np.int64)
+        seq[np.arange(len(codes)) + np.repeat(np.arange(len(size)), size)] = codes
+        lane, pos = np.arange(len(size)), stop - size - 1
+        node, best, after = np.zeros_like(pos), np.full_like(pos, -1), pos.copy()
+        out, of, none = [], [], []
+        while len(lane):
+            to = self.child.get(node * 257 + seq[np.minimum(pos, len(seq) - 1)])
+            to[pos == stop] = -1
+            go = to >= 0
+            pos = pos + go
+            token = self.token_at[to]  # of those that go on
+            hit = np.flatnonzero(go & (token >= 0) & (pos != stop - 1))
+            best[hit], after[hit] = token[hit], pos[hit]
+            node = np.where(go, to, 0)
+            ended = np.flatnonzero(~go)
+            if not len(ended):
+                continue
+            lost = best[ended] < 0
+            out.append(best[ended[~lost]])
+            of.append(lane[ended[~lost]])
+            none.append(lane[ended[lost]])
+            pos[ended], best[ended] = after[ended], -1
+            over = np.zeros(len(lane), bool)
+            over[ended] = lost | (pos[ended] == stop[ended])
+            if over.any():
+                lane, pos, stop, node, best, after = (x[~over] for x in (lane, pos, stop, node, best, after))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        flat, owner = np.concatenate(out), np.concatenate(of)
+        order = np.argsort(owner, kind="stable")
+        flat, owner = flat[order], owner[order]
+        whole = np.ones(len(size), bool)
+        whole[np.concatenate(none)] = False
+        return flat[whole[owner]], owner[whole[owner]]
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the merge of each pair; the number of merges where there is none."""
-        key = (a << 32) | b
-        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        return np.where(self.pair_key[at] == key, self.pair_rank[at], len(self.pair_key))
+        return self.rank_of.get((a << 32) | b)
 
     def exact(self, shown: list[str]) -> list[np.ndarray]:
-        """For each word: merges by rank, from the left, until none applies; all words advance together."""
+        """For each word (in signs, and its end): merges by rank, from the left, until none applies; all words advance together."""
         vocab = self.vocab
         tok = np.array([vocab[c] for s in shown for c in (*s[:-2], s[-2] + _END)], np.int64)
-        owner = np.repeat(np.arange(len(shown)), [len(s) - 1 for s in shown])
-        none = len(self.pair_key)
-        out: list[np.ndarray] = [tok[:0]] * len(shown)
+        return self._merge(tok, np.array([len(s) - 1 for s in shown], np.int64))
+
+    def _merge(self, tok: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The same for words that are so many tokens each."""
+        if (tok < 0).any():
+            raise KeyError("a byte that the vocabulary lacks")
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        none = self.rank_of.none
+        out: list[np.ndarray] = [tok[:0]] * len(sizes)
         while len(tok):
             rank = np.full(len(tok), none)
             inner = np.flatnonzero(owner[1:] == owner[:-1])
@@ -165,25 +258,37 @@ class WordBPE:
 
     def learn(self, words: list[str]) -> None:
         """Puts the encodings of new words into the cache."""
-        shown = ["".join([self.symbols[c] for c in w.encode()]) + "\0" for w in words]
-        tokens = [self.greedy(s) for s in shown]
-        flat = np.array([t for x in tokens for t in x or ()], np.int64)
-        size = np.array([len(x or ()) for x in tokens], np.int64)
-        owner = np.repeat(np.arange(len(words)), size)
-        bad = np.zeros(len(words), bool)
+        raw = [w.encode() for w in words]
+        codes, size = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        walks = size <= WALKING
+        flat, owner = self.propose(codes[np.repeat(walks, size)], size[walks])
+        owner = np.flatnonzero(walks)[owner]
+        long = [(i, t) for i in np.flatnonzero(~walks).tolist() if (t := self.greedy("".join([self.symbols[c] for c in raw[i]]) + "\0"))]
+        if long:
+            flat, owner = np.concatenate([flat, *(t for _, t in long)]), np.concatenate([owner, *(np.full(len(t), i) for i, t in long)])
+        bad = np.bincount(owner, minlength=len(words)) == 0
         inner = owner[1:] == owner[:-1]
         bad[owner[1:][inner][~self.compatible(flat[:-1][inner], flat[1:][inner])]] = True
         self.proposed += len(words)
-        bad |= np.array([t is None for t in tokens], bool)
+        self.failed += int(bad.sum())
         again = np.flatnonzero(bad)
-        self.failed += len(again)
-        for i, t in zip(again.tolist(), self.exact([shown[i] for i in again]), strict=True):
-            tokens[i] = t
-        for w, t in zip(words, tokens, strict=True):
-            self.words[w] = np.array(t, "<u4").tobytes()
+        of, last = codes[np.repeat(bad, size)], np.cumsum(size[again]) - 1
+        tok = self.inside[of]
+        tok[last] = self.final[of[last]]
+        for i, t in zip(again.tolist(), self._merge(tok, size[again]), strict=True):
+            self.words[words[i]] = t.astype("<u4").tobytes()
+        good = ~bad[owner]
+        flat, owner = flat[good].astype("<u4").tobytes(), owner[good]
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
+        ends = 4 * np.r_[first[1:], len(owner)][: len(first)]
+        for i, x, y in zip(owner[first].tolist(), (4 * first).tolist(), ends.tolist(), strict=True):
+            self.words[words[i]] = flat[x:y]
 
     def _parts(self, chunk: str) -> list[str]:
-        if not chunk.isascii():
+        if chunk.isascii():
+            if chunk.isalpha():  # one run of letters
+                return [chunk.lower()]
+        else:
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # lower case goes by character, without the final sigma
         return self.pattern.findall(chunk.lower())
 
@@ -200,12 +305,12 @@ class WordBPE:
         fresh = list(set().union(*split) - self.chunks.keys())
         parts = [[c] if c in self.special else self._parts(c) for c in fresh]
         for t, i in self.special.items():
-            self.words.setdefault(t, np.array([i], "<u4").tobytes()) if t in fresh else None
+            self.words.setdefault(t, np.array([i], "<u4").tobytes())
         new = list({p for x in parts for p in x} - self.words.keys())
         if new:
             self.learn(new)
         for c, x in zip(fresh, parts, strict=True):
-            self.chunks[c] = b"".join([self.words[p] for p in x])
+            self.chunks[c] = self.words[x[0]] if len(x) == 1 else b"".join([self.words[p] for p in x])
         look = self.chunks.__getitem__
         return [b"".join(map(look, x)) for x in split]
 

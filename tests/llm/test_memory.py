@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from driftwell.llm import infra, packing, wordhash
+from driftwell.llm import bpe, infra, packing, wordhash
 
 
 def test_words_hold_no_long_numbers_for_each_byte(monkeypatch):
@@ -60,3 +60,24 @@ def test_new_pieces_are_encoded_together():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in own.lib.encode_batch(texts, add_special_tokens=False)]
     assert len(calls) <= 2 * len(texts) + 1  # the first and last piece of each text, and the rest
     assert own.encode(texts) == got and len(calls) <= 2 * len(texts) + 1
+
+
+def test_new_words_are_proposed_together(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, lib, rng = bpe.WordBPE(path), Tokenizer.from_file(path), random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 20))) for _ in range(2000)]
+    words = list(dict.fromkeys([*words, *("".join(chr(rng.randrange(0x250, 0x3000)) for _ in range(5)) for _ in range(200)), "!" * 40, "\0", "x", "e" * 300, "漢" * 30]))
+    raw = [w.encode() for w in words]
+    flat, owner = own.propose(np.frombuffer(b"".join(raw), np.uint8), np.array(list(map(len, raw))))
+    for i, w in enumerate(raw):
+        assert flat[owner == i].tolist() == (own.greedy("".join(own.symbols[c] for c in w) + "\0") or [])
+    assert len(own.propose(np.zeros(0, np.uint8), np.zeros(0, np.int64))[0]) == 0
+    calls, alone = [], own.greedy
+    monkeypatch.setattr(own, "greedy", lambda w: calls.append(w) or alone(w))
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(len(w) > bpe.WALKING for w in calls) and len(calls) < 5  # long words alone
