@@ -184,11 +184,12 @@ def numbers_blocks(spark, d):
     kind = F.col("page_id") % 4
     body = F.when(kind == 1, F.regexp_replace("text", r"\| orders \| [0-9]+", "| orders | 1")).when(kind == 2, "").otherwise(F.col("text"))
     pages = _t(spark, d, "pages").select("page_id", "url", "html").crossJoin(F.broadcast(rendered))  # one row
-    old = F.concat("html", F.lit("\n<!-- numbers -->\n"), body, F.when(kind == 3, "").otherwise("\n<!-- /numbers -->\n"))
+    old = F.concat(F.coalesce("html", F.lit("")), F.lit("\n<!-- numbers -->\n"), body, F.when(kind == 3, "").otherwise("\n<!-- /numbers -->\n"))
     rows = computed(pages, old=old, rendered=F.col("text"))
     current = regions.region(F.col("old"), "<!-- numbers -->", "<!-- /numbers -->")
     found = computed(rows.select("url", "old", "rendered"), problem=regions.region_problem(F.col("old"), "<!-- numbers -->", "<!-- /numbers -->"), current=F.trim(current, F.lit("\n")))
     state = F.coalesce("problem", F.when(F.col("current") == F.col("rendered"), "FRESH").otherwise("STALE"))
-    told = found.select(F.col("url").alias("path"), state.alias("state"), "current", "rendered")
-    hunks = linediff.line_hunks(told.where("state = 'STALE'").select("path", "current", "rendered"), "current", "rendered").groupBy("path").agg(F.count("*").alias("n_hunks"), F.first(F.array_join("added", "\n")).alias("added"))
-    return told.select("path", "state").join(hunks, "path", "left").select("path", "state", F.coalesce("n_hunks", F.lit(0)).alias("n_hunks"), "added")
+    told = computed(found, state=state)
+    stale = lambda c: F.when(F.col("state") == "STALE", F.col(c)).alias(c)
+    hunks = linediff.with_hunks(told.select(F.col("url").alias("path"), "state", stale("current"), stale("rendered")), "current", "rendered")
+    return hunks.select("path", "state", F.size("hunks").cast("long").alias("n_hunks"), F.array_join(F.get("hunks", F.lit(0))["added"], "\n").alias("added"))
