@@ -2,7 +2,7 @@
 
 The history is laid out in chains: each commit continues the chain of its first parent, if
 it is the child chosen for that, and its generation is its place in the chain from the oldest
-on; places are found by pointer doubling.  What can be reached in a chain from a commit of it
+on; places are found by pointer doubling between stops, and those of the stops likewise.  What can be reached in a chain from a commit of it
 is the commit's place and all below, so what is visited is one number a chain, however many
 commits it has.  A frontier round follows the edges between chains that start in what
 was reached since the last round; merges that lead to what is visited lead nowhere.
@@ -10,13 +10,85 @@ was reached since the last round; merges that lead to what is visited lead nowhe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from driftwell.sources.shared import discarded, written
 
 #: Rounds of doubling at most; a history that needs more has a circle.
 _ROUNDS = 48
+#: Links that one task walks at most (some 100 bytes each); and how far apart stops are among more.
+_WALK, _APART = 1 << 20, 32
+
+
+def _walked(links: DataFrame) -> DataFrame:
+    """_placed by one task, which holds all links; chain is null where they lead into a circle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, pa_schema)
+        ids = rows["id"].combine_chunks()
+        at = pc.index_in(rows["to"].combine_chunks(), value_set=ids, skip_nulls=True)
+        root = at.is_null().to_numpy(zero_copy_only=False)
+        to = np.where(root, np.arange(len(ids)), at.fill_null(0).to_numpy())
+        far = np.where(root, 0, rows["step"].to_numpy())
+        for _ in range(len(ids).bit_length()):
+            if root[to].all():
+                break
+            to, far = to[to], far + far[to]
+        chain = ids.take(pa.array(np.where(root[to], to, -1), pa.int64(), mask=~root[to]))
+        table = pa.Table.from_arrays([ids, chain, pa.array(far, pa.int64())], names=["id", "chain", "place"])
+        yield from table.to_batches(max_chunksize=1 << 16)
+
+    pa_schema = to_arrow_schema(links.schema)
+    kind = links.schema["id"].dataType
+    schema = StructType([StructField("id", kind), StructField("chain", kind), StructField("place", LongType())])
+    return written(links.coalesce(1).mapInArrow(run, schema), "walked")
+
+
+def _placed(links: DataFrame, level: int = 0) -> DataFrame:
+    """(id, chain, place) of links (id, to, step), written: the first of the list that an id lies in (to is null there), and the steps from there.
+
+    Up to _WALK links are walked by one task.  Of more, each goes by doubling to the next
+    stop, one of _APART by hash, or to its list's first; then the stops are such a list."""
+    if links.count() <= _WALK:
+        out = _walked(links)
+        if not out.where("chain is null").isEmpty():
+            raise ValueError("the history has a circle")
+        return out
+    stop = lambda c: F.pmod(F.xxhash64(F.lit(level), c), F.lit(_APART)) == 0
+    begun = links.select("id", F.coalesce("to", "id").alias("chain"), F.col("step").alias("place"), (F.col("to").isNotNull() & ~F.coalesce(stop(F.col("to")), F.lit(True))).alias("open"))
+    now, ends = written(begun, "places"), []
+    for _ in range(_ROUNDS):
+        ends.append(now)
+        if now.where("open").isEmpty():
+            break
+        up = _all(ends).where("not open").unionByName(now.where("open"))
+        up = up.select(F.col("id").alias("chain"), F.col("chain").alias("next"), F.col("place").alias("far"), F.col("open").alias("still"))
+        moved = now.where("open").join(up, "chain").select("id", F.col("next").alias("chain"), (F.col("place") + F.col("far")).alias("place"), F.col("still").alias("open"))
+        now = written(moved, "places")
+    else:
+        raise ValueError("the history has a circle")
+    reached = _all(ends).where("not open").withColumn("on", (F.col("chain") != F.col("id")) & stop(F.col("chain"))).drop("open")
+    stops = written(reached.where(stop(F.col("id"))).withColumn("to", F.when(F.col("on"), F.col("chain"))), "stops")
+    lists = _placed(written(stops.select("id", "to", F.when(F.col("on"), F.col("place")).otherwise(0).cast("long").alias("step")), "links"), level + 1)
+    first = stops.where("to is null").select(F.col("id").alias("chain"), F.col("chain").alias("begin"), F.col("place").alias("before"))
+    whole = lists.join(first, "chain").select(F.col("id").alias("chain"), "begin", (F.col("place") + F.col("before")).alias("before"))
+    behind = reached.where("on").join(whole, "chain").select("id", F.col("begin").alias("chain"), (F.col("place") + F.col("before")).alias("place"))
+    out = written(reached.where("not on").drop("on").unionByName(behind), "places")
+    discarded(*ends, stops)
+    return out
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def laid_out(commits: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -36,17 +108,8 @@ def laid_out(commits: DataFrame, more: DataFrame | None = None) -> tuple[DataFra
     ids = (ids if more is None else ids.unionByName(more.select("id"))).where("id is not null").distinct()
     first = edges.groupBy("id").agg(F.max_by("parent", F.struct(-F.col("nth"), "parent")).alias("parent"))
     link = written(first.groupBy("parent").agg(F.max("id").alias("id")).select("id", F.col("parent").alias("to")), "links")
-    now = written(ids.join(link, "id", "left").select("id", F.coalesce("to", "id").alias("chain"), F.col("to").isNotNull().cast("long").alias("place"), F.col("to").isNotNull().alias("open")), "places")
-    for _ in range(_ROUNDS):
-        if now.where("open").isEmpty():
-            break
-        up = now.select(F.col("id").alias("chain"), F.col("chain").alias("next"), F.col("place").alias("far"), F.col("open").alias("still"))
-        moved = now.where("open").join(up, "chain").select("id", F.col("next").alias("chain"), (F.col("place") + F.col("far")).alias("place"), F.col("still").alias("open"))
-        before, now = now, written(now.where("not open").unionByName(moved), "places")
-        discarded(before)
-    else:
-        raise ValueError("the history has a circle")
-    places = now.select("id", "chain", "place")
+    links = written(ids.join(link, "id", "left").select("id", "to", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("step")), "places")
+    places = _placed(links)
     between = edges.join(link.withColumnRenamed("to", "parent"), ["id", "parent"], "left_anti")
     end = places.select(F.col("id").alias("parent"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
     crossing = written(between.join(places, "id").join(end, "parent").select("chain", "place", "to_chain", "to_place"), "crossing")

@@ -66,8 +66,8 @@ SELECT name, CASE WHEN head IS NULL THEN 'unknown' WHEN head = other THEN 'in sy
 def history_drift(spark, d):
     """How far checkouts are behind, over a history as long as orders."""
     orders, items = _t(spark, d, "orders"), _t(spark, d, "lineitem")
-    line = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") >= 4, F.col("o_orderkey") - 4).alias("parent"))
-    merged = items.where("l_linenumber = 1 and l_partkey % 8 = 0 and l_orderkey > 29").select(F.col("l_orderkey").alias("id"), (F.col("l_orderkey") - 1 - F.col("l_partkey") % 29).alias("parent"))
+    line = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") >= 4, F.col("o_orderkey") - 4).alias("parent"), F.lit(1).alias("nth"))
+    merged = items.where("l_linenumber = 1 and l_partkey % 8 = 0 and l_orderkey > 29").select(F.col("l_orderkey").alias("id"), (F.col("l_orderkey") - 1 - F.col("l_partkey") % 29).alias("parent"), F.lit(2).alias("nth"))
     top = orders.agg(F.max("o_orderkey").alias("top"))
     k = _t(spark, d, "nation").crossJoin(F.broadcast(top))  # one row
     checkouts = k.select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 10 < 9, F.col("top") - F.col("n_nationkey") * 17).alias("head"), (F.col("top") - F.col("n_nationkey") % 4).alias("other"))

@@ -77,3 +77,30 @@ def test_circle_and_nothing(spark):
 def test_ancestors(spark):
     got = history.ancestors(spark.createDataFrame([("k", "d"), ("l", "b")], "key string, id string"), spark.createDataFrame([("d", "c"), ("d", "b"), ("c", "a"), ("b", "a"), ("e", "d")], "id string, parent string"))
     assert sorted(tuple(r) for r in got.select("key", "id").collect()) == [("k", x) for x in "abcd"] + [("l", "a"), ("l", "b")]
+
+
+def test_lists_between_stops(spark, monkeypatch):
+    """Places by stops and stops of stops are those of a walk; so is a circle told from a list."""
+    monkeypatch.setattr(history, "_WALK", 20)
+    rng = random.Random(4)
+    names = rng.sample([f"{x:06x}" for x in range(10**6)], 1500)
+    starts = sorted(rng.sample(range(1500), 9)) + [1500]
+    rows = [(names[i], names[i - 1]) for i in range(1500) if i not in starts and i > starts[0]]
+    want = {(names[i], names[a], i - a) for a, b in zip(starts, starts[1:]) for i in range(a, b)}
+    lone = spark.createDataFrame([(names[a],) for a in starts[:-1]], "id string")
+    places, crossing = history.laid_out(spark.createDataFrame(rows, "id string, parent string"), lone)
+    assert {(r["id"], r["chain"], r["place"]) for r in places.collect()} == want and crossing.isEmpty()
+    with pytest.raises(ValueError, match="circle"):
+        history.laid_out(spark.createDataFrame([*rows, *[(f"x{i}", f"x{(i + 1) % 90}") for i in range(90)]], "id string, parent string"))
+
+
+def test_a_line_of_orders_is_one_chain(spark, monkeypatch):
+    """The history of the query has four lines and a few rounds, whatever its merges are."""
+    from driftwell.plans import scans
+
+    seen, rounds = [], []
+    laid_out, written = history.laid_out, history.written
+    monkeypatch.setattr(history, "laid_out", lambda *a: seen.append(laid_out(*a)) or seen[-1])
+    monkeypatch.setattr(history, "written", lambda df, label: rounds.append(label) or written(df, label))
+    scans.history_drift(spark, "/root/testdata/sf0.001").collect()
+    assert seen[0][0].select("chain").distinct().count() == 4 and rounds.count("front") < 12
