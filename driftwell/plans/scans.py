@@ -37,8 +37,8 @@ _MARKED = "regexp_replace({}, '([A-Za-z0-9_]+)', chr(1) || '\\1' || chr(1), 'g')
 SELECT name, count(*) AS n_lines FROM m JOIN w ON contains(m.line, w.marked) GROUP BY 1""")
 def name_list_words(spark, d):
     """The same for names as whole words."""
-    found = names.held(textscan.lines(_t(spark, d, "documents").select("doc_id", "text")), _names(spark, d), whole_word=True)
-    return found.groupBy("name").agg(F.count("*").alias("n_lines"))
+    found = names.counted(textscan.lines(_t(spark, d, "documents").select("text")), _names(spark, d), whole_word=True)
+    return found.withColumnRenamed("n_rows", "n_lines")
 
 
 @query(f"WITH {_NAMES} SELECT name FROM n WHERE EXISTS (SELECT 1 FROM pages WHERE contains(html, n.name))")

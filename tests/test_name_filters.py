@@ -1,13 +1,17 @@
 """Name lists by filters against plain search."""
 
+import os
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from driftwell.operators import names
 
+DATA = "/root/testdata/sf0.001"
+
 
 def has(text, name, whole):
     return bool(re.search(rf"(?<![A-Za-z0-9_]){re.escape(name)}(?![A-Za-z0-9_])", text)) if whole else name in text
@@ -68,3 +72,15 @@ def test_used_sends_names_alone(spark):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert re.findall(r"MapInArrow run\([^)]*\)(?:#\d+)?, \[([^\]]*)\]", plan) and not re.search(r"MapInArrow run\([^)]*\)(?:#\d+)?, \[t#", plan)
     assert [r["name"] for r in found.orderBy("name").collect()] == ["a", "b"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["name_list_words"])
+def test_a_list_of_many_parts_is_one_pass(spark, monkeypatch, name):
+    """However long the list is, texts are read once and their lines are not copied."""
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(names, "PART", 500)
+    found = entry.queries()[name](spark, DATA)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 1 and found.columns == ["name", "n_lines"]
