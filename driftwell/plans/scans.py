@@ -26,8 +26,8 @@ def _names(spark, d):
 @query(f"WITH {_LINES}, {_NAMES} SELECT name, count(*) AS n_lines FROM l JOIN n ON contains(l.line, n.name) GROUP BY 1")
 def name_list_scan(spark, d):
     """How many lines of documents hold each of a long list of names."""
-    found = names.held(textscan.lines(_t(spark, d, "documents").select("doc_id", "text")), _names(spark, d))
-    return found.groupBy("name").agg(F.count("*").alias("n_lines"))
+    found = names.counted(textscan.lines(_t(spark, d, "documents").select("text")), _names(spark, d))
+    return found.withColumnRenamed("n_rows", "n_lines")
 
 
 _MARKED = "regexp_replace({}, '([A-Za-z0-9_]+)', chr(1) || '\\1' || chr(1), 'g')"

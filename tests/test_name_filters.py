@@ -75,7 +75,7 @@ def test_used_sends_names_alone(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["name_list_words"])
+@pytest.mark.parametrize("name", ["name_list_scan", "name_list_words"])
 def test_a_list_of_many_parts_is_one_pass(spark, monkeypatch, name):
     """However long the list is, texts are read once and their lines are not copied."""
     import __spark_entry__ as entry
